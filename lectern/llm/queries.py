@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import read
 from lectern.llm.mixing import entropy_mix
+from lectern.llm.packing import pack
+from lectern.llm.quality import fit_quality, score_quality
 from lectern.llm.urlfilter import filter_urls
 
 
@@ -16,6 +18,23 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"))
 
 
+def tokenizer_path() -> str:
+    """The vocabulary of op6, from the folder of public tokenizers."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    network = fit_quality(docs, read(spark, sf_dir, "labels"))
+    return score_quality(docs, network).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = entropy_mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -23,6 +42,8 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
+    "op6_pack": op6_pack,
+    "op7_quality": op7_quality,
     "op10_mix": op10_mix,
 }
 
