@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import read
 from lectern.llm.mixing import entropy_mix
+from lectern.llm.omh import near_classes
 from lectern.llm.packing import pack
 from lectern.llm.quality import fit_quality, score_quality
 from lectern.llm.urlfilter import filter_urls
@@ -35,6 +36,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, network).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(read(spark, sf_dir, "documents"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = entropy_mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op6_pack": op6_pack,
     "op7_quality": op7_quality,
+    "op9_near": op9_near,
     "op10_mix": op10_mix,
 }
 
