@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.chat import chat_digests, chat_windows
 from lectern.llm.common import read
+from lectern.llm.linededup import dedup_lines
 from lectern.llm.merkle import fingerprint_edits
 from lectern.llm.mixing import entropy_mix
 from lectern.llm.omh import near_classes
@@ -27,6 +28,11 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(read(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"))
 
@@ -60,6 +66,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_fingerprint": op2_fingerprint,
+    "op3_line_dedup": op3_line_dedup,
     "op4_url_filter": op4_url_filter,
     "op6_pack": op6_pack,
     "op7_quality": op7_quality,
