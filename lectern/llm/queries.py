@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.chat import chat_digests, chat_windows
 from lectern.llm.common import read
+from lectern.llm.hamming import sign_codes, top_k
 from lectern.llm.linededup import dedup_lines
 from lectern.llm.merkle import fingerprint_edits
 from lectern.llm.mixing import entropy_mix
@@ -54,6 +55,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, network).select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 100 is a query, against all rows (itself among them)."""
+    codes = sign_codes(read(spark, sf_dir, "embeddings"))
+    return top_k(codes, codes.filter("vec_id % 100 = 0"))
+
+
 def op9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(read(spark, sf_dir, "documents"))
 
@@ -70,8 +77,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op6_pack": op6_pack,
     "op7_quality": op7_quality,
+    "op8_hamming": op8_hamming,
     "op9_near": op9_near,
     "op10_mix": op10_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: fixed rules of op4, as op4_url_filter has them
+ORACLE_SQL: dict[str, str] = {
+    "op4_url_filter": """
+        WITH rules(verdict, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+        rest AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+        parts AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+        met AS (SELECT p.page_id, p.host, p.path, u.host || u.path AS rule, u.verdict,
+                       row_number() OVER (PARTITION BY p.page_id ORDER BY length(u.host || u.path) DESC NULLS LAST) AS k
+                FROM parts p LEFT JOIN rules u ON (p.host = u.host OR ends_with(p.host, '.' || u.host)) AND starts_with(p.path, u.path))
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM met WHERE k = 1""",
+    "op8_hamming": """
+        WITH bits AS (SELECT vec_id, list_transform(range(64), lambda i: CASE WHEN coalesce(embedding[i + 1], 0) > 0 THEN 1 ELSE 0 END) AS b
+                      FROM embeddings WHERE embedding IS NOT NULL),
+        pairs AS (SELECT q.vec_id AS query_id, r.vec_id AS vec_id, CAST(list_sum(list_transform(range(64), lambda i: abs(q.b[i + 1] - r.b[i + 1]))) AS INTEGER) AS distance
+                  FROM bits q, bits r WHERE q.vec_id % 100 = 0),
+        ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance FROM pairs)
+        SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10""",
+}
