@@ -37,6 +37,8 @@ class Limits:
     loss: int = 4096
 
 
+#: Letters that lower-casing and composing leave as single letters, then marks: two separate tokens to split.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Python's str.split parts words at these four too; they are no white space in Unicode.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -55,11 +57,37 @@ class WordCache:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.room, self.new, self.old = room, {}, {}
+        self.room, self.new, self.old, self.cores, self.marks = room, {}, {}, {}, {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words: letters and the marks after them are known apart, and far fewer."""
+        if not self.closes.any():
+            self.new.update(zip(words, self._direct(words), strict=True))
+            return
+        parts = [(w, _PLAIN.fullmatch(w)) for w in words]
+        odd = [w for w, m in parts if not m]
+        self.new.update(zip(odd, self._direct(odd), strict=True))
+        split = [(w, m[1].lower(), m[2]) for w, m in parts if m]
+        marks = sorted({p for _, _, p in split}.difference(self.marks))
+        self.marks.update(zip(marks, self._direct(marks), strict=True))
+        cores = sorted({c for _, c, _ in split}.difference(self.cores))
+        if cores:  # one call for all: a token that closes a word tells where the next begins
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            self.cores.update(zip(cores, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+        self.new.update((w, self.cores[c] + self.marks[p]) for w, c, p in split)
+        if len(self.cores) > self.room:
+            self.cores = {}
+        if len(self.marks) > 10_000:
+            self.marks = {"": b""}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [t.split() for t in texts]
         missing = set().union(*words).difference(self.new)
@@ -68,8 +96,7 @@ class WordCache:
         missing.difference_update(known)
         unknown = sorted(missing)
         for at in range(0, len(unknown), 4096):
-            part = unknown[at : at + 4096]
-            self.new.update(zip(part, self._direct(part), strict=True))
+            self._learn(unknown[at : at + 4096])
         ids = self.new.__getitem__
         out = [b"".join(map(ids, ws)) for ws in words]
         if len(self.new) > self.room:
