@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern.llm.chat import chat_digests, chat_windows
 from lectern.llm.common import read
 from lectern.llm.hamming import sign_codes, top_k
+from lectern.llm.htmlgbt import extract_main_text
 from lectern.llm.linededup import dedup_lines
 from lectern.llm.merkle import fingerprint_edits
 from lectern.llm.mixing import entropy_mix
@@ -38,6 +39,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(read(spark, sf_dir, "pages"))
+
+
 def tokenizer_path() -> str:
     """The vocabulary of op6, from the folder of public tokenizers."""
     import public_tokenizers
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprint": op2_fingerprint,
     "op3_line_dedup": op3_line_dedup,
     "op4_url_filter": op4_url_filter,
+    "op5_main_text": op5_main_text,
     "op6_pack": op6_pack,
     "op7_quality": op7_quality,
     "op8_hamming": op8_hamming,
