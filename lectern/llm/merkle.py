@@ -9,9 +9,9 @@ content-defined runs of words carry 32-bit leaf hashes; the likeness of two tree
 overlap of their leaves, and 1 exactly where the roots agree.
 
 Defined cases: null text is empty and has a root of its own; two empty texts are alike (1), an
-empty and another are not (0); a text without line breaks is one paragraph; rows of one doc_id
-share one successor, whose text is that of the least hash; a null id comes first; the successor of
-a single document is itself; an empty table gives no rows.
+empty and another are not (0); a text without line breaks is one paragraph; of rows with one doc_id
+the next is the one of the next text hash; a null id comes first; the next of a single document is
+itself; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import spool, text_or_empty
+from lectern.llm.common import text_or_empty
 
-#: A run of words ends after a word whose last character has a code point divisible by three.
+#: A leaf ends at a line break, or at a blank after a word whose last character has a code point divisible by three.
 _ENDS = "".join(f"\\u{c:04x}" for c in range(0x21, 0x250) if c % 3 == 0)
-LEAF = rf"(?s).{{1,160}}?(?:[{_ENDS}]\s+|$)|.{{1,160}}"
+LEAF_END = rf"\n|[ \t\u3000](?<=[{_ENDS}][ \t\u3000])|(?<=[\u3001\u3002\uff01\uff0c\uff1f])"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -47,7 +47,11 @@ def tree(text: Column) -> Column:
         return F.struct(let(ends, sections).alias("sections"), n.alias("n"))
 
     def whole(paragraphs: Column) -> Column:
-        leaves = F.flatten(F.transform(paragraphs, lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda x: F.hash(x))))
+        def hashed(runs: Column) -> Column:  # a run without an end of its own is cut by length
+            cut = lambda x: F.when(F.length(x) > 200, F.transform(F.regexp_extract_all(x, F.lit("(?s).{1,64}"), F.lit(0)), lambda y: F.hash(y))).otherwise(F.array(F.hash(x)))
+            return F.when(F.exists(runs, lambda x: F.length(x) > 200), F.flatten(F.transform(runs, cut))).otherwise(F.transform(runs, lambda x: F.hash(x)))
+
+        leaves = F.filter(let(F.split(text, LEAF_END, -1), hashed), lambda x: x != 42)  # 42: the hash of an empty leaf
         top = let(F.transform(paragraphs, lambda p: F.sha2(p, 256)), grouped)
         return let(
             top,
@@ -81,41 +85,41 @@ def edit_span(a: Column, b: Column) -> Column:
     )
 
 
-def successors(docs: DataFrame) -> DataFrame:
-    """(doc_id, next_id, need): each id's successor in ascending order (the last one's is the first), and a quarter of its text's length.
+def in_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``docs`` (doc_id, text) with ``block``, their range of ids, and ``last``: 1 for a copy of the next block's first row.
 
-    Ids are dealt out by range; only one row per range meets in one task, to close the gaps between ranges.
+    The cut points are quantiles, as many as the session has shuffle partitions, and so are the first
+    ids: nothing else reaches the driver. Every block has a row of its own.
     """
-    spark = docs.sparkSession
-    n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = docs.groupBy("doc_id").agg(F.max(F.floor(F.length(text_or_empty()) / 4)).alias("need"))
-    ids = spool(ids.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).withColumn("block", F.spark_partition_id()))
-    # a null id sorts first, so ids travel in a struct that is never null itself
-    firsts = ids.groupBy("block").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first"))
-    around = W.orderBy("block")
-    firsts = firsts.withColumn("next_block", F.coalesce(F.lead("first").over(around), F.first("first").over(around.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
-    here = W.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first())
-    inner = ids.withColumn("next", F.lead(F.struct("doc_id")).over(here))
-    return inner.join(firsts, "block").select("doc_id", "need", F.when(F.col("next").isNull(), F.col("next_block.doc_id")).otherwise(F.col("next.doc_id")).alias("next_id"))
+    n = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    marks = [i / n for i in range(1, n)]
+    seen = docs.agg(F.min("doc_id").alias("least"), F.percentile_approx("doc_id", marks, 1000 * n if n < 100 else 100_000).alias("cuts")).first()
+    cuts = sorted({c for c in seen["cuts"] or [] if c > seen["least"]})
+    block = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
+    docs = docs.withColumn("block", F.when(F.col("doc_id").isNull(), 0).otherwise(block).cast("int"))
+    firsts = docs.groupBy("block").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("null_first")).collect()
+    ids = [r["first"] for r in firsts if r["first"] is not None and not r["null_first"]]
+    head = docs.filter(F.col("doc_id").isin(ids) | (F.col("doc_id").isNull() if any(r["null_first"] for r in firsts) else F.lit(False)))
+    head = head.withColumn("k", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).filter("k = 1").drop("k")
+    blocks = len(firsts)
+    head = head.withColumn("block", F.pmod(F.col("block") - 1, F.lit(max(blocks, 1))))
+    return docs.withColumn("last", F.lit(0)).unionByName(head.withColumn("last", F.lit(1))), blocks
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every whole text and of its edited text, in which the last quarter gives way to the start of the next document."""
-    docs = docs.select("doc_id", text_or_empty().alias("text"))
-    succ = spool(successors(docs))
-    here = succ.select(F.col("doc_id").alias("id"), "next_id")
-    a = docs.join(here, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
-    # the successor sends its start and its leaves, not its text
-    before = succ.select(F.col("next_id").alias("id"), F.col("doc_id").alias("prev_id"), "need")
-    one = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    b = docs.withColumn("k", F.row_number().over(one)).filter("k = 1").join(before, F.col("doc_id").eqNullSafe(F.col("id")))
-    b = b.select("prev_id", F.substring("text", F.lit(1), F.col("need").cast("int")).alias("start"), F.col("need").alias("n_start"), tree(F.col("text")).alias("next_tree"))
-    b = b.select("prev_id", "start", F.col("next_tree.root").alias("next_root"), F.col("next_tree.leaves").alias("next_leaves"))
-    both = a.join(b, F.col("doc_id").eqNullSafe(F.col("prev_id")))
+    """Fingerprints of every whole text and of its edited text, in which the last quarter gives way to the start of the next document.
+
+    Texts are shuffled once, by range of ids; the next row of a range is read over a sorted window.
+    """
+    docs, blocks = in_blocks(docs.select("doc_id", text_or_empty().alias("text")))
+    docs = docs.repartition(max(blocks, 1), "block").select("doc_id", "block", "last", "text", F.xxhash64("text").alias("h"), tree(F.col("text")).alias("t"))
+    here = W.partitionBy("block").orderBy("last", F.col("doc_id").asc_nulls_first(), "h")
+    following = F.lead(F.struct("text", F.col("t.root").alias("root"), F.col("t.leaves").alias("leaves"))).over(here)
+    both = docs.withColumn("following", following).filter("last = 0")
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("start", F.lit(1), cut))
-    out = both.select("doc_id", n.cast("long").alias("n_chars"), tree(F.col("text")).alias("t"), edited.alias("edited"), "next_root", "next_leaves")
+    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("following.text", F.lit(1), cut))
+    out = both.select("doc_id", n.cast("long").alias("n_chars"), "t", edited.alias("edited"), F.col("following.root").alias("next_root"), F.col("following.leaves").alias("next_leaves"))
     out = out.select("doc_id", "n_chars", "t", F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("edited")).alias("e"), "next_root", "next_leaves")
     t, e = F.col("t"), F.col("e")
     return out.select(
