@@ -1,10 +1,445 @@
-"""All queries of the library and the SQL that each must agree with."""
+"""All queries of the library over the driver's tables, and the SQL that each must agree with.
+
+The tables stand in for the domain: documents for library documents (a chunk each, or pages of so
+many lines), embeddings for their vectors, conversations for chats. Scores are rounded to six
+digits before they are ranked, so that two engines agree on ties.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W
+from pyspark.sql import functions as F
+
+from lectern.functions import patterns as P
+from lectern.functions import text as T
+from lectern.operators import catalog, chunking, cleaning, identity, memory, retrieval
+from lectern.sources.pages import paged, table
+from lectern.streaming import ingest
+
+QUESTION = "re ing"
+_AT = "TIMESTAMP '2024-01-01 00:00:00'"
+_STOP = "[" + ", ".join(f"'{w}'" for w in P.ENGLISH_STOP_WORDS) + "]"
+_SPLIT = r"string_split_regex(lower({}), '[^\p{{L}}\p{{N}}_]+')"
+_WORDS = "list_filter(" + _SPLIT + ", lambda w: w <> '' AND NOT list_contains(" + _STOP + ", w))"
+_NORMAL = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ---- the tables as the domain ---------------------------------------------------------------
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    doc = table(spark, d, "documents")
+    return doc.select(
+        F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("document_id"), F.col("doc_id").cast("int").alias("chunk_index"),
+        F.substring_index("text", "\n", 1).alias("section_title"), F.col("lang").alias("source_file_name"), "text",
+    )
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("label").cast("string").alias("document_id"), "embedding")
+
+
+def _first_vector(spark: SparkSession, d: str) -> list[float]:
+    return list(table(spark, d, "embeddings").filter("vec_id = 0").select("embedding").first()[0])
+
+
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as messages; the order over all chats is made of the conversation's and the turn's number."""
+    c = table(spark, d, "conversations")
+    order = F.col("conv_id") * 100_000 + F.col("turn") + 1
+    return c.select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("message_id"), order.alias("message_order"), F.col("conv_id").cast("string").alias("chat_id"),
+        F.upper("role").alias("role"), F.coalesce("text", F.lit("")).alias("content"), F.lit(1).alias("context_version"), F.expr(_AT).alias("created_at"),
+    )
+
+
+def _chats(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    return c.select(F.col("conv_id").cast("string").alias("chat_id"), F.lit(P.DEFAULT_TITLE).alias("title"), F.lit(1).alias("context_version"), F.expr(_AT).alias("created_at"), F.timestamp_seconds(F.col("conv_id") + 1_704_067_200).alias("updated_at"))
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    """Each conversation is about the documents of the same number and of the number before."""
+    c = table(spark, d, "conversations").select("conv_id").distinct()
+    doc = table(spark, d, "documents").select("doc_id")
+    pairs = c.select("conv_id", F.explode(F.array(F.col("conv_id"), F.col("conv_id") - 1)).alias("doc_id")).join(doc, "doc_id")
+    return pairs.select(F.col("conv_id").cast("string").alias("chat_id"), F.col("doc_id").cast("string").alias("document_id"), F.expr(_AT).alias("attached_at"))
+
+
+def _summaries(spark: SparkSession, d: str) -> DataFrame:
+    """A summary of the first turn of every conversation that starts with a system turn."""
+    c = table(spark, d, "conversations").filter("turn = 0 AND role = 'system'")
+    return c.select(F.col("conv_id").cast("string").alias("chat_id"), F.lit(1).alias("context_version"), F.concat(F.lit("system: "), F.col("lang") if "lang" in c.columns else F.lit("set")).alias("summary"), (F.col("conv_id") * 100_000 + 1).alias("summarized_through_order"), F.expr(_AT).alias("updated_at"))
+
+
+_MESSAGES_SQL = "SELECT CAST(conv_id AS VARCHAR) AS chat_id, conv_id * 100000 + turn + 1 AS message_order, upper(role) AS role, coalesce(text, '') AS content FROM conversations"
+_STATE_SQL = f"""messages AS ({_MESSAGES_SQL}),
+    summaries AS (SELECT CAST(conv_id AS VARCHAR) AS chat_id, 'system: set' AS summary, conv_id * 100000 + 1 AS marker FROM conversations WHERE turn = 0 AND role = 'system'),
+    state AS (SELECT m.*, s.summary FROM messages m LEFT JOIN summaries s USING (chat_id) WHERE message_order > coalesce(marker, 0)),
+    memory AS (SELECT *, (count(*) OVER (PARTITION BY chat_id) > 4 AND row_number() OVER (PARTITION BY chat_id ORDER BY message_order DESC) > 2) AS to_summary FROM state)"""
+
+
+def _memory(spark: SparkSession, d: str) -> DataFrame:
+    return memory.split_memory(memory.memory_state(_chats(spark, d), _messages(spark, d), _summaries(spark, d)), above=4, keep=2)
+
+
+# ---- vectors ---------------------------------------------------------------------------------
+_COSINE = "round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6)"
+_VECTOR_SQL = f"""SELECT CAST(row_number() OVER (ORDER BY score DESC, chunk_id) AS INTEGER) AS rank, chunk_id, score FROM (
+    SELECT CAST(e.vec_id AS VARCHAR) AS chunk_id, {_COSINE} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q %s) WHERE score > 0 ORDER BY score DESC, chunk_id LIMIT 20"""
+
+
+@query(_VECTOR_SQL % "")
+def cosine_topk(spark, d):
+    return retrieval.vector_search(_vectors(spark, d), _first_vector(spark, d), 20, digits=6).select("rank", "chunk_id", "score")
+
+
+@query(_VECTOR_SQL % "WHERE e.label IN (1, 2, 3)")
+def cosine_topk_in_docs(spark, d):
+    return retrieval.vector_search(_vectors(spark, d), _first_vector(spark, d), 20, ["1", "2", "3"], digits=6).select("rank", "chunk_id", "score")
+
+
+# ---- lexical -----------------------------------------------------------------------------------
+def _bm25_sql(fields: dict[str, str], where: str = "") -> str:
+    one = "\n UNION ALL ".join(f"SELECT CAST(doc_id AS VARCHAR) AS chunk_id, source AS document_id, '{f}' AS field, {float(P.FIELD_BOOSTS[f])} AS boost, {_WORDS.format(c)} AS words FROM documents" for f, c in fields.items())
+    tf = "len(list_filter(words, lambda w: w = '{0}'))"
+    a, b = QUESTION.split()
+    part = "ln(1 + (n - df{0} + 0.5) / (df{0} + 0.5)) * tf{0} / (tf{0} + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))"
+    return f"""WITH fields AS ({one}),
+    counted AS (SELECT chunk_id, document_id, field, boost, len(words) AS dl, {tf.format(a)} AS tf0, {tf.format(b)} AS tf1 FROM fields),
+    stats AS (SELECT field, count(*) FILTER (dl > 0) AS n, avg(dl) FILTER (dl > 0) AS avgdl, count(*) FILTER (tf0 > 0) AS df0, count(*) FILTER (tf1 > 0) AS df1 FROM counted GROUP BY field),
+    scored AS (SELECT chunk_id, round(max(boost * ({part.format(0)} + {part.format(1)})), 6) AS score FROM counted JOIN stats USING (field) WHERE tf0 > 0 AND tf1 > 0 {where} GROUP BY chunk_id),
+    keyword AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, chunk_id) AS INTEGER) AS rank, chunk_id, score FROM scored ORDER BY score DESC, chunk_id LIMIT 20)"""
+
+
+_CONTENT = {"content": "coalesce(text, '')"}
+_TWO_FIELDS = {"section_title": "string_split(coalesce(text, ''), chr(10))[1]", "content": "coalesce(text, '')"}
+
+
+def _keyword(spark, d, boosts, ids=None):
+    return retrieval.bm25_search(retrieval.index_source(_chunks(spark, d)), QUESTION, 20, ids, {f: P.FIELD_BOOSTS[f] for f in boosts}, digits=6)
+
+
+@query(_bm25_sql(_CONTENT) + " SELECT rank, chunk_id, score FROM keyword")
+def bm25_topk(spark, d):
+    return _keyword(spark, d, _CONTENT).select("rank", "chunk_id", "score")
+
+
+@query(_bm25_sql(_TWO_FIELDS, "AND document_id IN ('src0', 'src1', 'src2')") + " SELECT rank, chunk_id, score FROM keyword")
+def bm25_best_fields(spark, d):
+    return _keyword(spark, d, _TWO_FIELDS, ["src0", "src1", "src2"]).select("rank", "chunk_id", "score")
+
+
+@query(f"WITH w AS (SELECT unnest({_WORDS.format("coalesce(text, '')")}) AS term FROM documents) SELECT term, count(*) AS n FROM w GROUP BY term")
+def term_counts(spark, d):
+    p = retrieval.postings(retrieval.index_source(_chunks(spark, d)), ["content"])
+    return p.groupBy("term").agg(F.sum("tf").alias("n"))
+
+
+# ---- fusion ------------------------------------------------------------------------------------
+@query(_bm25_sql(_CONTENT) + f""", vector AS ({_VECTOR_SQL % ""}),
+    fused AS (SELECT coalesce(v.chunk_id, k.chunk_id) AS chunk_id, v.rank AS vector_rank, k.rank AS keyword_rank, round(coalesce(1.0 / (60 + v.rank), 0) + coalesce(1.0 / (60 + k.rank), 0), 6) AS rrf_score
+              FROM vector v FULL JOIN keyword k ON v.chunk_id = k.chunk_id)
+    SELECT CAST(row_number() OVER (ORDER BY rrf_score DESC, least(coalesce(vector_rank, 99), coalesce(keyword_rank, 99)), chunk_id) AS INTEGER) AS rank, chunk_id, vector_rank, keyword_rank, rrf_score,
+           round(least(1.0, rrf_score / (2.0 / 61)), 6) AS score
+    FROM fused ORDER BY rank LIMIT 10""")
+def hybrid_rrf(spark, d):
+    hits = retrieval.hybrid_search(cosine_topk(spark, d), bm25_topk(spark, d), 10, threshold=None, digits=6)
+    return hits.select("rank", "chunk_id", "vector_rank", "keyword_rank", "rrf_score", "score")
+
+
+@query(f"SELECT rank, chunk_id, score, 'vector' AS retrieval_mode FROM ({_VECTOR_SQL % ''}) WHERE rank <= 5")
+def hybrid_vector_fallback(spark, d):
+    nothing = retrieval.bm25_search(retrieval.index_source(_chunks(spark, d)), "the of", 20)
+    return retrieval.hybrid_search(cosine_topk(spark, d), nothing, 5).select("rank", "chunk_id", "score", "retrieval_mode")
+
+
+@query()
+def redundancy_select(spark, d):
+    """The greedy choice among fused candidates: each depends on those chosen before (held against a plain version in the tests)."""
+    chunks = _chunks(spark, d)
+    v = cosine_topk(spark, d).join(chunks, "chunk_id")
+    k = bm25_topk(spark, d).join(chunks, "chunk_id")
+    return retrieval.hybrid_search(v, k, 10, digits=6).select("rank", "chunk_id", "score", "retrieval_mode")
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_NORMAL.format("coalesce(text, '')")} AS t FROM documents), s AS (
+      SELECT doc_id, t, CASE WHEN t = '' OR len(string_split(t, ' ')) < 5 THEN [] ELSE list_distinct(list_transform(range(1, len(string_split(t, ' ')) - 3), lambda i: array_to_string(list_slice(string_split(t, ' '), i, i + 4), ' '))) END AS g FROM w)
+    SELECT a.doc_id, b.doc_id AS next_id, round(CASE WHEN least(len(a.g), len(b.g)) = 0 THEN CASE WHEN a.t = b.t THEN 1.0 ELSE 0.0 END ELSE len(list_intersect(a.g, b.g)) / least(len(a.g), len(b.g)) END, 6) AS overlap
+    FROM s a JOIN s b ON b.doc_id = a.doc_id + 1""")
+def shingle_overlap(spark, d):
+    doc = table(spark, d, "documents").select("doc_id", "text")
+    s = doc.select("doc_id", T.shingles(F.col("text")).alias("g"), T.normalized_words(F.col("text")).alias("t"))
+    b = s.select(F.col("doc_id").alias("next_id"), F.col("g").alias("h"), F.col("t").alias("u"))
+    overlap = F.round(T.overlap_coefficient(F.col("g"), F.col("h"), F.col("t") == F.col("u")), 6)
+    return s.join(b, F.col("next_id") == F.col("doc_id") + 1).select("doc_id", "next_id", overlap.alias("overlap"))
+
+
+# ---- identity -------------------------------------------------------------------------------------
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS fingerprint FROM documents")
+def doc_fingerprints(spark, d):
+    return table(spark, d, "documents").select("doc_id", identity.fingerprint(F.coalesce("text", F.lit(""))).alias("fingerprint"))
+
+
+_PAGES_SQL = """lines AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    numbered AS (SELECT doc_id, source, ls, unnest(range(1, CAST(ceil(len(ls) / {n}.0) AS BIGINT) + 1)) AS page_number FROM lines),
+    paged AS (SELECT CAST(doc_id AS VARCHAR) AS document_key, source, CAST(page_number AS INTEGER) AS page_number, array_to_string(list_slice(ls, (page_number - 1) * {n} + 1, page_number * {n}), chr(10)) AS text FROM numbered)"""
+
+
+@query(f"WITH {_PAGES_SQL.format(n=40)} SELECT document_key, page_number, document_key || ':' || page_number AS page_id, length(text) AS n_chars, sha256(text) AS fingerprint FROM paged")
+def page_split(spark, d):
+    return paged(table(spark, d, "documents")).select("document_key", "page_number", "page_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("fingerprint"))
+
+
+def _page_chunks(spark, d):
+    p = paged(table(spark, d, "documents"))
+    return p.select(F.col("document_key").alias("document_fingerprint"), (F.col("page_number") - 1).alias("chunk_index"), "text")
+
+
+@query(f"""WITH {_PAGES_SQL.format(n=40)}, named AS (SELECT document_key, page_number - 1 AS i, sha256(text) AS chunk_fingerprint, md5(document_key || ':' || (page_number - 1) || ':' || sha256(text)) AS h FROM paged)
+    SELECT document_key AS document_fingerprint, i AS chunk_index, chunk_fingerprint,
+      substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-3' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS chunk_id FROM named""")
+def stable_chunk_ids(spark, d):
+    return identity.with_chunk_identity(_page_chunks(spark, d)).select("document_fingerprint", "chunk_index", "chunk_fingerprint", "chunk_id")
+
+
+@query(f"WITH {_PAGES_SQL.format(n=40)} SELECT document_key AS document_fingerprint, sha256(document_key || string_agg(chr(31) || text, '' ORDER BY page_number)) AS ingestion_fingerprint, count(*) AS n_chunks FROM paged GROUP BY document_key")
+def ingestion_fingerprint(spark, d):
+    return identity.ingestion_fingerprints(_page_chunks(spark, d))
+
+
+@query("""WITH expected AS (SELECT source AS document_id, lang AS ingestion_fingerprint, count(*) AS n_chunks FROM documents GROUP BY ALL),
+      stored AS (SELECT source AS document_id, lang AS ingestion_fingerprint, count(*) AS stored_count FROM documents WHERE lang <> 'de' OR n_chars > 500 GROUP BY ALL)
+    SELECT document_id, ingestion_fingerprint, n_chunks, coalesce(stored_count, 0) AS stored_count, coalesce(stored_count, 0) = n_chunks AS skipped FROM expected LEFT JOIN stored USING (document_id, ingestion_fingerprint)""")
+def duplicate_ingest(spark, d):
+    doc = table(spark, d, "documents").select(F.col("source").alias("document_id"), F.col("lang").alias("ingestion_fingerprint"), "n_chars")
+    expected = doc.groupBy("document_id", "ingestion_fingerprint").agg(F.count(F.lit(1)).alias("n_chunks"))
+    return identity.ingestion_plan(expected, doc.filter("ingestion_fingerprint <> 'de' OR n_chars > 500"))
+
+
+@query("SELECT doc_id FROM documents WHERE NOT (lang <> 'en' AND lang <> 'fr')")
+def supersede_old(spark, d):
+    """Of each source, English is the current ingestion, and French rows have no fingerprint: both stay."""
+    doc = table(spark, d, "documents")
+    stored = doc.select("doc_id", F.col("source").alias("document_id"), F.when(F.col("lang") != "fr", F.col("lang")).alias("ingestion_fingerprint"))
+    current = doc.select(F.col("source").alias("document_id")).distinct().withColumn("ingestion_fingerprint", F.lit("en"))
+    return identity.without_superseded(stored, current).select("doc_id")
+
+
+# ---- cleaning and structure -------------------------------------------------------------------------
+_NORMAL_LINE = r"""CASE WHEN regexp_matches(l, '^\s*$') THEN '' ELSE repeat(' ', least(40, length(regexp_extract(l, '^\s*')) + 3 * (length(regexp_extract(l, '^\s*')) - length(replace(regexp_extract(l, '^\s*'), chr(9), '')))))
+      || regexp_replace(regexp_replace(regexp_replace(l, '^\s+', ''), '[\p{Zs}\t\x0B\f]+', ' ', 'g'), '\s+$', '') END"""
+
+
+@query(f"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(160), ' '), '\\r\\n?', chr(10), 'g'), '\\n$', '') AS t FROM documents),
+    n AS (SELECT doc_id, CASE WHEN t = '' THEN [] ELSE list_transform(string_split(t, chr(10)), lambda l: {_NORMAL_LINE}) END AS ls FROM t)
+    SELECT doc_id, len(ls) AS n_lines, md5(array_to_string(ls, chr(10))) AS digest FROM n""")
+def normalize_lines(spark, d):
+    doc = table(spark, d, "documents").select("doc_id", cleaning.normalized_lines(F.col("text"), compose=False).alias("ls"))
+    return doc.select("doc_id", F.size("ls").cast("long").alias("n_lines"), F.md5(F.array_join("ls", "\n")).alias("digest"))
+
+
+_CANON = r"trim(lower(regexp_replace(line, '(?i)\bpage\s+\d+\s+(?:of|/)\s*\d+\b', 'page # of #', 'g')))"
+
+
+@query(f"""WITH {_PAGES_SQL.format(n=5)}, l AS (SELECT document_key, page_number, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM paged),
+    f AS (SELECT *, row_number() OVER (PARTITION BY document_key, page_number ORDER BY i) AS a, row_number() OVER (PARTITION BY document_key, page_number ORDER BY i DESC) AS z FROM l WHERE trim(line) <> ''),
+    c AS (SELECT DISTINCT document_key, page_number, {_CANON} AS line FROM f WHERE a <= 3 OR z <= 3),
+    n AS (SELECT document_key, count(*) AS pages FROM paged GROUP BY document_key)
+    SELECT document_key, line, count(*) AS n FROM c JOIN n USING (document_key) GROUP BY document_key, line, pages HAVING pages >= 2 AND count(*) >= greatest(2, ceil(pages * 0.6)) AND line <> ''""")
+def repeated_margins(spark, d):
+    p = paged(table(spark, d, "documents"), 5).withColumn("lines", F.transform(F.split("text", "\n", -1), T.normalize_line))
+    lined = p.withColumn("margins", cleaning.margin_indexes(F.col("lines")))
+    found = cleaning.repeated_margins(lined).select("document_key", F.explode("repeated").alias("line"))
+    counted = lined.select("document_key", F.explode(F.array_distinct(F.transform("margins", lambda i: T.canonical_margin(F.get("lines", i))))).alias("line")).groupBy("document_key", "line").agg(F.count(F.lit(1)).alias("n"))
+    return found.join(counted, ["document_key", "line"])
+
+
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t\r\f\x0B]*\n[ \t\r\f\x0B]*', chr(10), 'g'), '^\s+|\s+$', '', 'g'), '-\n(\p{Ll})', '\1', 'g'), '\n', ' ', 'g')) AS digest FROM documents""")
+def join_wrapped_prose(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(T.join_wrapped(F.coalesce("text", F.lit("")))).alias("digest"))
+
+
+_TITLE = r"""(len(ws) <= 14 AND NOT regexp_matches(c, '[.?!;:{}]$') AND len(list_filter(ws, lambda w: regexp_matches(w, '\p{L}'))) > 0
+      AND 2 * len(list_filter(ws, lambda w: regexp_matches(w, '^[^\p{L}]*\p{Lu}'))) >= len(list_filter(ws, lambda w: regexp_matches(w, '\p{L}'))))"""
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), c AS (SELECT doc_id, regexp_replace(line, '^\s+|\s+$', '', 'g') AS c FROM l),
+    w AS (SELECT doc_id, c, string_split_regex(c, '\s+') AS ws FROM c),
+    v AS (SELECT doc_id, CAST(CASE WHEN length(c) > 140 OR c = '' THEN 0 WHEN regexp_matches(c, '^\d+(\.\d+)*[.)]?\s+.+$') THEN length(regexp_extract(c, '^\d+(\.\d+)*')) - length(replace(regexp_extract(c, '^\d+(\.\d+)*'), '.', '')) + 1
+        WHEN regexp_matches(c, '^#{{1,6}}\s+.+$') THEN length(regexp_extract(c, '^#+')) WHEN regexp_matches(c, '(?i)^(concept|how it works|practical considerations?|examples?|engineering notes?|chunking checkpoints?)$') THEN 2
+        WHEN {_TITLE} THEN 2 ELSE 0 END AS INTEGER) AS level FROM w)
+    SELECT doc_id, level, count(*) AS n FROM v GROUP BY doc_id, level""")
+def heading_levels(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
+    return lines.groupBy("doc_id", T.heading_level(F.col("line")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, regexp_replace(unnest(string_split(coalesce(text, ''), chr(10))), '^\s+|\s+$', '', 'g') AS c FROM documents)
+    SELECT doc_id, count(*) FILTER (regexp_matches(c, '^([-*•‣◦▪▫●○■□‒–—⁃∙]|\d+[.)]|[A-Za-z][.)])\s+.+$')) AS list_lines,
+      count(*) FILTER (regexp_matches(c, '(?i)^\s*(page\s+)?[-–—]?\s*(\d+|[ivxlcdm]+)(\s*(of|/)\s*\d+)?\s*[-–—]?\s*$')) AS page_numbers,
+      count(*) FILTER (c IN ('{', '}') OR starts_with(c, '@') OR (regexp_matches(c, '^(public|private|protected|static|final|abstract|class|interface|enum|record|void|return|if|else|for|while|try|catch|package|import|throw|throws)\b.*$') AND regexp_matches(c, '[;{}(]'))
+        OR regexp_matches(c, '^(([\w.$<>?\[\],]+\s+)+\w+\s*=.+;|[\w.$]+\s*\([^;]*\);)$') OR (contains(c, '->') AND (contains(c, '=') OR ends_with(c, ';')))) AS code_lines
+    FROM l GROUP BY doc_id""")
+def line_kinds(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("c"))
+    n = lambda c: F.sum(c.cast("long"))
+    c = F.col("c")
+    return lines.groupBy("doc_id").agg(n(T.is_list_line(c)).alias("list_lines"), n(T.is_page_number(F.trim(c))).alias("page_numbers"), n(T.is_code_line(c, P.CODE_WORDS_CLEANING)).alias("code_lines"))
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\p{L}{1,4}|\p{N}{1,3}|[^\s\p{L}\p{N}]')) AS tokens FROM documents")
+def token_estimate(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.estimate_tokens(F.col("text")).cast("long").alias("tokens"))
+
+
+@query()
+def clean_pages(spark, d):
+    out = cleaning.clean_pages(paged(table(spark, d, "documents")))
+    return out.select("document_key", "page_number", "source_file_name", "text", "text_cleaned", "source_original_character_count", "source_cleaned_character_count", "removed_margin_line_count")
+
+
+@query()
+def chunk_documents(spark, d):
+    out = chunking.chunk_pages(cleaning.clean_pages(paged(table(spark, d, "documents"))))
+    return out.select("document_key", "chunk_index", "text", "structural_boundary", "content_token_count", "overlap_token_count", "page_numbers", "page_chunk_index", "page_chunk_count", "section_title", "continues_from_previous_page")
+
+
+@query()
+def ingest_documents(spark, d):
+    out = ingest.ingest(paged(table(spark, d, "documents")))
+    return out.select("document_id", "chunk_index", "chunk_id", "chunk_fingerprint", "ingestion_fingerprint")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS document_key, regexp_matches(coalesce(text, ''), '\\S') AS has_text FROM documents")
+def documents_with_text(spark, d):
+    return cleaning.documents_with_text(paged(table(spark, d, "documents")))
+
+
+# ---- catalog and chats ----------------------------------------------------------------------------------
+@query("""WITH d AS (SELECT sha256(coalesce(text, '')) AS f, min(doc_id) AS id, min(doc_id) FILTER (lang = 'en') AS en FROM documents GROUP BY 1)
+    SELECT CAST(coalesce(en, id) AS VARCHAR) AS document_id, f AS content_fingerprint, 'PROCESSING' AS status, CASE WHEN en IS NULL THEN 0 ELSE 1 END AS chunk_count FROM d""")
+def register_documents(spark, d):
+    """English documents are known already; all are registered (again): known ones keep id and count."""
+    doc = table(spark, d, "documents").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_fingerprint"), "doc_id", "lang")
+    at = F.expr(_AT)
+    first = doc.groupBy("content_fingerprint").agg(F.min("doc_id").alias("id"), F.min(F.when(F.col("lang") == "en", F.col("doc_id"))).alias("en"))
+    known = first.filter("en IS NOT NULL").select(F.col("en").cast("string").alias("document_id"), "content_fingerprint", F.lit("old.pdf").alias("original_file_name"), F.lit("READY").alias("status"), F.lit(1).alias("chunk_count"), at.alias("created_at"), at.alias("updated_at"))
+    new = first.select("content_fingerprint", F.col("id").cast("string").alias("document_id"), F.lit("new.pdf").alias("original_file_name"))
+    return catalog.register(known, new, at).select("document_id", "content_fingerprint", "status", "chunk_count")
+
+
+_LINKS_SQL = "(SELECT c.conv_id, d.doc_id FROM (SELECT DISTINCT conv_id FROM conversations) c JOIN documents d ON d.doc_id = c.conv_id OR d.doc_id = c.conv_id - 1)"
+
+
+@query(f"""SELECT CAST(c.conv_id AS VARCHAR) AS chat_id, coalesce(max(dn), 0) AS document_count, count(*) AS message_count FROM conversations c
+    LEFT JOIN (SELECT conv_id, count(*) AS dn FROM {_LINKS_SQL} GROUP BY conv_id) l ON l.conv_id = c.conv_id GROUP BY c.conv_id""")
+def chat_summaries(spark, d):
+    return catalog.chat_summaries(_chats(spark, d), _links(spark, d), _messages(spark, d)).select("chat_id", "document_count", "message_count")
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS chat_id, count(*) AS n, md5(string_agg(role || ':' || coalesce(text, ''), '|' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id""")
+def chat_messages_nested(spark, d):
+    documents = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("original_file_name"), F.lit("READY").alias("status"))
+    detail = catalog.chat_detail(_chats(spark, d), _links(spark, d), documents, _messages(spark, d), spark.createDataFrame([], catalog.SOURCES))
+    text = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["text"])), "|")
+    return detail.select("chat_id", F.size("messages").cast("long").alias("n"), F.md5(text).alias("digest"))
+
+
+@query(f"SELECT CAST(l.conv_id AS VARCHAR) AS chat_id, CAST(l.doc_id AS VARCHAR) AS document_id, d.source AS original_file_name FROM {_LINKS_SQL} l JOIN documents d USING (doc_id)")
+def chat_documents(spark, d):
+    documents = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("original_file_name"))
+    return catalog.chat_attached(_links(spark, d), documents).select("chat_id", "document_id", "original_file_name")
+
+
+@query(f"""WITH gone AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system')
+    SELECT 'chats' AS name, count(DISTINCT conv_id) AS n FROM conversations WHERE conv_id NOT IN (FROM gone) UNION ALL
+    SELECT 'chat_documents', count(*) FROM {_LINKS_SQL} WHERE conv_id NOT IN (FROM gone) UNION ALL
+    SELECT 'messages', count(*) FROM conversations WHERE conv_id NOT IN (FROM gone) UNION ALL SELECT 'summaries', 0""")
+def cascade_delete(spark, d):
+    m = _messages(spark, d)
+    left = catalog.delete_chats(m.filter("role = 'SYSTEM'").select("chat_id"), _chats(spark, d), _links(spark, d), m, spark.createDataFrame([], catalog.SOURCES), _summaries(spark, d))
+    counts = [left[k].agg(F.lit(k).alias("name"), F.count(F.lit(1)).alias("n")) for k in ("chats", "chat_documents", "messages", "summaries")]
+    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, regexp_replace(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS t FROM conversations)
+    SELECT conv_id, turn, CASE WHEN t = '' THEN 'New chat' WHEN length(t) > 60 THEN rtrim(substr(t, 1, 59)) || '…' ELSE t END AS title FROM t""")
+def question_titles(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", T.title(F.col("text"), P.QUESTION_TITLE_LENGTH).alias("title"))
+
+
+@query("SELECT source AS document_id, count(*) AS stored_count, count(*) FILTER (lang = 'en') AS indexed_count FROM documents GROUP BY source HAVING count(*) <> count(*) FILTER (lang = 'en')")
+def index_backfill(spark, d):
+    c = _chunks(spark, d)
+    return retrieval.backfill_plan(c, retrieval.index_source(c.filter("source_file_name = 'en'")))
+
+
+# ---- memory and prompts -----------------------------------------------------------------------------------
+@query(f"WITH {_STATE_SQL} SELECT chat_id, message_order, to_summary FROM memory")
+def memory_window(spark, d):
+    return _memory(spark, d).select("chat_id", "message_order", "to_summary")
+
+
+@query(f"""WITH {_STATE_SQL} SELECT chat_id, max(message_order) AS marker, md5('Existing rolling summary:' || chr(10) || coalesce(any_value(summary), '(none)') || chr(10) || chr(10) || 'New conversation messages to incorporate:' || chr(10)
+    || string_agg(chr(10) || '--- ' || role || ' message ---' || chr(10) || content, '' ORDER BY message_order)) AS digest FROM memory WHERE to_summary GROUP BY chat_id""")
+def summary_inputs(spark, d):
+    return memory.summary_inputs(_memory(spark, d)).select("chat_id", "marker", F.md5("summary_input").alias("digest"))
+
+
+@query(f"""WITH {_STATE_SQL}, last AS (SELECT chat_id, max_by(content, message_order) AS previous FROM memory WHERE NOT to_summary AND role = 'USER' GROUP BY chat_id), known AS (SELECT chat_id, max(summary) AS summary FROM memory GROUP BY chat_id)
+    SELECT c.chat_id, CASE WHEN previous IS NULL AND summary IS NULL THEN 'And then?' ELSE coalesce('Older conversation context: ' || summary || chr(10), '') || coalesce('Previous question: ' || previous || chr(10), '') || 'Current question: And then?' END AS query
+    FROM (SELECT DISTINCT chat_id FROM messages) c LEFT JOIN last USING (chat_id) LEFT JOIN known USING (chat_id)""")
+def retrieval_query(spark, d):
+    questions = _chats(spark, d).select("chat_id", F.lit(" And then? ").alias("question"))
+    return memory.retrieval_queries(_memory(spark, d), questions)
+
+
+_CONTEXT_SQL = """SELECT conv_id, string_agg(chr(10) || '[Source ' || (turn + 1) || ']' || chr(10) || 'Document: Unknown' || chr(10) || 'Document ID: ' || conv_id || chr(10) || 'Section: ' || role || chr(10) || 'Pages: Unknown'
+    || chr(10) || 'Content:' || chr(10) || coalesce(text, '') || chr(10) || '[/Source ' || (turn + 1) || ']' || chr(10), '' ORDER BY turn) AS context FROM conversations GROUP BY conv_id"""
+
+
+@query(f"SELECT conv_id, 'User question:' || chr(10) || 'Why?' || chr(10) || chr(10) || 'Sources retrieved from the selected documents:' || chr(10) || context || chr(10) AS message FROM ({_CONTEXT_SQL})")
+def grounded_context(spark, d):
+    hits = table(spark, d, "conversations").select("conv_id", (F.col("turn") + 1).alias("rank"), F.coalesce("text", F.lit("")).alias("text"), F.col("conv_id").alias("document_id"), F.col("role").alias("section_title"))
+    context = memory.grounded_contexts(hits, "conv_id")
+    return context.select("conv_id", memory.grounded_message(F.lit("Why?"), F.col("context")).alias("message"))
+
+
+@query("SELECT * EXCLUDE (k) FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 3")
+def basic_chat_window(spark, d):
+    m = table(spark, d, "conversations").withColumns({"chat_id": F.col("conv_id"), "message_order": F.col("turn")})
+    return memory.basic_window(m, 3).select("conv_id", "turn", "role")
+
+
+# ---- progress and citations ---------------------------------------------------------------------------------
+@query("""SELECT conv_id AS document_id, turn AS batch, CAST(least(5, 2 * count(*) OVER w) AS BIGINT) AS completed, CAST(sum(length(coalesce(text, ''))) OVER w AS BIGINT) AS tokens
+    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)""")
+def embedding_progress(spark, d):
+    b = table(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("batch"), F.lit(2).alias("chunks"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("tokens"), F.lit(5).alias("total"))
+    return ingest.embedding_progress(b)
+
+
+@query("""SELECT conv_id, turn, unnest([0, 1, 2]) AS place, unnest([CAST(turn AS INTEGER) + 1, 7, 2]) AS source_rank FROM conversations""")
+def citation_extract(spark, d):
+    answers = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("k"), F.concat(F.lit("["), F.coalesce("text", F.lit("")), F.lit(" [Source "), (F.col("turn") + 1).cast("string"), F.lit(", source 7] x [Source 3](#a) [SOURCE 2]")).alias("text"))
+    return memory.citations(answers, "k").select("k.conv_id", "k.turn", "place", "source_rank")
+
+
+@query("SELECT conv_id, turn, 'token' AS event, role AS data FROM conversations UNION ALL SELECT conv_id, turn, 'message', 'a' || chr(10) || 'b' FROM conversations")
+def decoded_events(spark, d):
+    bodies = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("event: token\ndata: "), "role", F.lit("\n\ndata:a\r\ndata: b\r\n\r\nevent: ping\n\n")).alias("body"))
+    return ingest.decoded_events(bodies).select("conv_id", "turn", "event", "data")
