@@ -7,6 +7,7 @@ of one chunk, or of neighbours, is worked out afterwards in expressions and wind
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
@@ -313,7 +314,7 @@ class Chunker:
 DRAFT_SCHEMA = (
     "document_key string, chunk_index int, text string, contains_code boolean, contains_list boolean, contains_heading boolean, section_title string, "
     "subsection_titles array<string>, max_heading_level int, structural_boundary string, source_document_ids array<string>, page_numbers array<int>, "
-    "content_token_count int, overlap_token_count int, estimated_token_count int, source_original_character_count int, source_cleaned_character_count int"
+    "content_token_count int, overlap_token_count int, estimated_token_count int, source_original_character_count int, source_cleaned_character_count int, ingestion_fingerprint string"
 )
 
 
@@ -331,14 +332,16 @@ def chunk_pages(cleaned: DataFrame, estimate: Estimate = default_estimate) -> Da
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["page_number", "page_id"], kind="stable")
         source = [(Page(i, int(n), int(o), int(c)), t) for i, n, o, c, t in zip(rows.page_id, rows.page_number, rows.original, rows.cleaned, rows.text, strict=True)]
-        maker = Chunker(estimate)
+        drafts = Chunker(estimate).chunks(source)
+        # as identity.ingestion_fingerprints has it, while the document's chunks are together
+        whole = hashlib.sha256(rows.document_key.iloc[0].encode() + b"".join(b"\x1f" + d.text.encode("utf-8", "replace") for d in drafts)).hexdigest()
         return pd.DataFrame(
             [
                 (
                     rows.document_key.iloc[0], k, d.text, "CODE" in d.kinds, "LIST" in d.kinds, d.heading, d.section or "", list(d.subsections), d.level, d.boundary,
-                    [p.id for p in d.pages], list(dict.fromkeys(p.number for p in d.pages)), d.tokens, d.overlap, estimate(d.text), sum(p.original for p in d.pages), sum(p.cleaned for p in d.pages),
+                    [p.id for p in d.pages], list(dict.fromkeys(p.number for p in d.pages)), d.tokens, d.overlap, estimate(d.text), sum(p.original for p in d.pages), sum(p.cleaned for p in d.pages), whole,
                 )
-                for k, d in enumerate(maker.chunks(source))
+                for k, d in enumerate(drafts)
             ],
             columns=[c.strip().split(" ")[0] for c in DRAFT_SCHEMA.split(", ")],
         )

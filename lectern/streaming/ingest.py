@@ -20,8 +20,7 @@ def ingest(pages: DataFrame, estimate=chunking.default_estimate) -> DataFrame:
     """Pages to identified chunks, as a batch."""
     chunks = chunking.chunk_pages(cleaning.clean_pages(pages), estimate)
     chunks = chunks.withColumns({"document_id": F.col("document_key"), "document_fingerprint": F.col("document_key")})
-    chunks = identity.with_chunk_identity(chunks)
-    return chunks.join(identity.ingestion_fingerprints(chunks).drop("n_chunks"), "document_fingerprint")
+    return identity.with_chunk_identity(chunks)
 
 
 def stream_ingest(spark: SparkSession, inbox: str, store: str, checkpoint: str, max_files: int = 100):

@@ -67,3 +67,13 @@ def test_metadata(spark):
     assert (a.section_title, b.section_title) == ("1. First", "2. Second") and b.page_numbers == [1, 2] and b.spans_pages
     assert (a.page_chunk_index, b.page_chunk_index, b.page_chunk_count) == (0, 1, 2) and b.starts_new_topic and b.source_original_character_count == 62
     assert b.heading_path == ["2. Second"] and not b.continues_from_previous_page
+
+
+def test_ingestion_fingerprint_is_that_of_the_chunk_texts(spark):
+    from lectern.operators.identity import ingestion_fingerprints
+    from lectern.streaming.ingest import ingest
+
+    df = spark.createDataFrame([("d", 1, "d:1", "1. A\n\nWords é.\n\n2. B\n\nMore.", "f"), ("e", 1, "e:1", "Plain.", "f")], "document_key string, page_number int, page_id string, text string, file_name string")
+    chunks = ingest(df)
+    want = {r.document_fingerprint: r.ingestion_fingerprint for r in ingestion_fingerprints(chunks.drop("ingestion_fingerprint")).collect()}
+    assert {r.document_id: r.ingestion_fingerprint for r in chunks.collect()} == want
