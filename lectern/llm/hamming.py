@@ -63,9 +63,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         active = q.filter(F.col("dk").isNull() | (F.col("dk") > F.col("covered")))
         tables = F.when(F.col("dk").isNull(), SEGMENTS).otherwise(F.least(F.lit(SEGMENTS), F.col("dk") - (SEGMENTS * s - 1)))
         active = active.withColumn("tables", tables)
-        probes = active.withColumn("one", F.lit(1)).join(mask_row, "one").select("q", "tables", "masks", F.posexplode(F.array(*[_segment(F.col("q"), j) for j in range(SEGMENTS)])).alias("j", "own")).filter("j < tables")
-        probes = probes.select("q", "j", F.explode(F.transform("masks", lambda m: m.bitwiseXOR(F.col("own")))).alias("value"))
-        found = probes.join(index, ["j", "value"]).select("q", "j", "code", "least", "n", _distance(F.col("q"), F.col("code")).alias("distance"))
+        probes = active.withColumn("one", F.lit(1)).join(mask_row, "one").select("q", "dk", "tables", "masks", F.posexplode(F.array(*[_segment(F.col("q"), j) for j in range(SEGMENTS)])).alias("j", "own")).filter("j < tables")
+        probes = probes.select("q", "dk", "j", F.explode(F.transform("masks", lambda m: m.bitwiseXOR(F.col("own")))).alias("value"))
+        found = probes.join(index, ["j", "value"]).select("q", "dk", "j", "code", "least", "n", _distance(F.col("q"), F.col("code")).alias("distance"))
+        # what lies beyond the k-th distance so far is of no use
+        found = found.filter(F.col("dk").isNull() | (F.col("distance") <= F.col("dk"))).drop("dk")
         # a code is taken from the first table that reaches it, in the first round that does
         parts = [_distance(_segment(F.col("q"), j).cast("long"), _segment(F.col("code"), j).cast("long")) for j in range(SEGMENTS)]
         nearest = F.least(*parts)
