@@ -51,7 +51,7 @@ class WordCache:
     and the frequent words known.
     """
 
-    def __init__(self, path: str, room: int = 500_000):
+    def __init__(self, path: str, room: int = 1_200_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
@@ -94,7 +94,7 @@ class WordCache:
         known = [w for w in missing if w in self.old]
         self.new.update((w, self.old[w]) for w in known)
         missing.difference_update(known)
-        unknown = sorted(missing)
+        unknown = list(missing)
         for at in range(0, len(unknown), 4096):
             self._learn(unknown[at : at + 4096])
         ids = self.new.__getitem__
