@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import patterns as P
 from lectern.functions import text as T
-from lectern.operators import catalog, chunking, cleaning, identity, memory, retrieval
+from lectern.operators import catalog, chunking, cleaning, identity, memory, preview, retrieval
 from lectern.sources.pages import paged, table
 from lectern.streaming import ingest
 
@@ -329,6 +329,12 @@ def documents_with_text(spark, d):
     return cleaning.documents_with_text(paged(table(spark, d, "documents")))
 
 
+@query("""SELECT CAST(doc_id AS INTEGER) AS chunk_index, length(text) AS n, string_split(text, chr(10))[1] AS section_title, -1 AS page_number, FALSE AS contains_code FROM documents ORDER BY doc_id LIMIT 20""")
+def chunk_preview(spark, d):
+    shown = preview.preview(_chunks(spark, d), 20)
+    return shown.select("chunk_index", F.length("text").alias("n"), "section_title", "page_number", "contains_code")
+
+
 # ---- catalog and chats ----------------------------------------------------------------------------------
 @query("""WITH d AS (SELECT sha256(coalesce(text, '')) AS f, min(doc_id) AS id, min(doc_id) FILTER (lang = 'en') AS en FROM documents GROUP BY 1)
     SELECT CAST(coalesce(en, id) AS VARCHAR) AS document_id, f AS content_fingerprint, 'PROCESSING' AS status, CASE WHEN en IS NULL THEN 0 ELSE 1 END AS chunk_count FROM d""")
