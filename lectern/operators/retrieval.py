@@ -78,8 +78,7 @@ def vector_search(chunks: DataFrame, query: list[float], top_k: int | None = Non
 
 def analyzed(text: Column) -> Column:
     """Lower-case words without stop words; repeats stay, they are the term frequency."""
-    stop = F.array(*[F.lit(w) for w in P.ENGLISH_STOP_WORDS])
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), P.NOT_WORD), lambda w: (w != "") & ~F.array_contains(stop, w))
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), P.NOT_WORD), lambda w: ~w.isin("", *P.ENGLISH_STOP_WORDS))
 
 
 def query_terms(question: str) -> list[str]:
@@ -141,6 +140,31 @@ def bm25_search(source: DataFrame, question: str, top_k: int = P.CANDIDATES, doc
     return ranked(best, top_k)
 
 
+def field_statistics(index: DataFrame) -> DataFrame:
+    """field, n, avgdl of postings: how many chunks have the field, and its mean length."""
+    return index.select("chunk_id", "field", "dl").distinct().groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def bm25_indexed(index: DataFrame, statistics: DataFrame, question: str, top_k: int = P.CANDIDATES, document_ids: list[str] | None = None, boosts: dict[str, float] | None = None, digits: int | None = None) -> DataFrame:
+    """As :func:`bm25_search`, from stored postings: only the rows of the query's terms are read.
+
+    Stored by term (``postings(...).write.partitionBy`` or sorted by term), a query prunes to those
+    terms; the joined sides have one row per field and term.
+    """
+    boosts = boosts or P.FIELD_BOOSTS
+    terms = query_terms(question)
+    mine = index.filter(F.col("term").isin(terms) & F.col("field").isin(list(boosts)))
+    counts = mine.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))  # as many rows as fields and terms
+    scoped = mine.filter(F.col("document_id").isin(document_ids)) if document_ids is not None else mine
+    boost = F.coalesce(*[F.when(F.col("field") == f, float(b)) for f, b in boosts.items()])
+    k1, b = P.BM25_K1, P.BM25_B
+    one = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    rows = scoped.join(F.broadcast(counts), ["field", "term"]).join(F.broadcast(statistics), "field").withColumn("one", one)
+    fields = rows.groupBy("chunk_id", "document_id", "field").agg(F.count(F.lit(1)).alias("met"), F.sum("one").alias("score")).filter(F.col("met") == len(terms))
+    best = fields.withColumn("score", boost * F.col("score")).groupBy("chunk_id", "document_id").agg(F.max("score").alias("score"))
+    return ranked(best.withColumn("score", F.round("score", digits)) if digits is not None else best, top_k)
+
+
 def degraded(search, schema: str, spark) -> DataFrame:
     """A lexical search whose failure costs its results only: an empty table stands for them."""
     try:

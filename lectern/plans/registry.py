@@ -143,6 +143,12 @@ def bm25_best_fields(spark, d):
     return _keyword(spark, d, _TWO_FIELDS, ["src0", "src1", "src2"]).select("rank", "chunk_id", "score")
 
 
+@query(_bm25_sql(_TWO_FIELDS) + " SELECT rank, chunk_id, score FROM keyword")
+def bm25_indexed_topk(spark, d):
+    index = retrieval.postings(retrieval.index_source(_chunks(spark, d)), list(_TWO_FIELDS))
+    return retrieval.bm25_indexed(index, retrieval.field_statistics(index), QUESTION, 20, boosts={f: P.FIELD_BOOSTS[f] for f in _TWO_FIELDS}, digits=6).select("rank", "chunk_id", "score")
+
+
 @query(f"WITH w AS (SELECT unnest({_WORDS.format("coalesce(text, '')")}) AS term FROM documents) SELECT term, count(*) AS n FROM w GROUP BY term")
 def term_counts(spark, d):
     p = retrieval.postings(retrieval.index_source(_chunks(spark, d)), ["content"])
