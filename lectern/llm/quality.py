@@ -1,9 +1,10 @@
 """Document quality by a byte-level convolutional network in numpy.
 
 A document is read as UTF-8 bytes, whole. Learned filters of ``WIDTH`` bytes slide over every
-byte; their responses are max-pooled over overlapping chunks of ``2 * HALF`` bytes that cover the
-document, a small dense layer turns each chunk into one junk logit, the logits are max-pooled
-over the chunks and a sigmoid gives the probability of label 1.
+byte, and so do filters for repetition, which count over ``BOX`` bytes how many equal the byte so
+many places before. All responses are max-pooled over overlapping chunks of ``2 * HALF`` bytes
+that cover the document, a small dense layer turns each chunk into one junk logit, the logits are
+max-pooled over the chunks and a sigmoid gives the probability of label 1.
 
 Fitting uses a bounded sample of labelled rows (``max_rows``, texts of at most ``max_chars``),
 chosen by hash, without the held-out fifth; scoring covers every document. Only the text is an
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WIDTH, FILTERS, HIDDEN, HALF = 6, 16, 12, 128
+BOX, LAGS = 32, range(2, 33)
 BLOCK = 1 << 18
 
 
@@ -38,7 +40,7 @@ class Network:
         self.w = {
             "conv": r.normal(0, 0.5, (WIDTH, 256, FILTERS)).astype(np.float32),
             "bias": np.zeros(FILTERS, np.float32),
-            "dense": r.normal(0, 0.3, (FILTERS + 1, HIDDEN)).astype(np.float32),
+            "dense": r.normal(0, 0.3, (FILTERS + 2, HIDDEN)).astype(np.float32),
             "hidden": np.zeros(HIDDEN, np.float32),
             "out": r.normal(0, 0.3, HIDDEN).astype(np.float32),
             "shift": np.full(1, -1.0, np.float32),
@@ -63,6 +65,17 @@ class Network:
             out += self.tables[j][two[2 * j : 2 * j + n]]
         return out
 
+    @staticmethod
+    def repeats(raw: np.ndarray) -> np.ndarray:
+        """For each half chunk of zero-padded bytes, the strongest repetition at any lag: 0 to 1."""
+        n = len(raw) // HALF * HALF
+        best = np.zeros(n // BOX, np.uint8)
+        for lag in LAGS:
+            same = np.zeros(n, bool)
+            same[lag:] = (raw[lag:n] == raw[: n - lag]) & (raw[lag:n] != 0)
+            np.maximum(best, same.reshape(-1, BOX).view(np.uint8).sum(axis=1, dtype=np.uint8), out=best)
+        return best.reshape(-1, HALF // BOX).max(axis=1).astype(np.float32) / BOX
+
     def pooled(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Filter maxima of each half chunk, with the share of it that is text."""
         n = max(1, len(raw))
@@ -73,7 +86,12 @@ class Network:
             piece = np.zeros(max(1, end - at) + WIDTH - 1, np.uint8)
             there = np.frombuffer(raw[at : end + WIDTH - 1], np.uint8)
             piece[: len(there)] = there
-            parts.append(np.maximum.reduceat(self.responses(piece), np.arange(0, max(1, end - at), HALF), axis=0))
+            top = np.maximum.reduceat(self.responses(piece), np.arange(0, max(1, end - at), HALF), axis=0)
+            lead = LAGS[-1] if at else 0  # what came before, for the lags
+            padded = np.zeros(HALF * (lead > 0) + len(top) * HALF, np.uint8)
+            seen = np.frombuffer(raw[at - lead : end], np.uint8)
+            padded[HALF * (lead > 0) - lead :][: len(seen)] = seen
+            parts.append(np.column_stack([top, self.repeats(padded)[int(lead > 0) :]]))
         share = np.full(halves, 1.0, np.float32)
         share[-1] = (len(raw) - (halves - 1) * HALF) / HALF
         return np.concatenate(parts), share, np.arange(halves) * HALF
@@ -86,8 +104,8 @@ class Network:
         return np.maximum(maxima[:-1], maxima[1:]), (share[:-1] + share[1:]) / 2
 
     def logits(self, pool: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = np.maximum(pool + self.w["bias"], 0)
-        x = np.concatenate([x, share[:, None]], axis=1)
+        x = np.maximum(pool[:, :FILTERS] + self.w["bias"], 0)
+        x = np.concatenate([x, share[:, None], pool[:, FILTERS:]], axis=1)
         h = np.tanh(x @ self.w["dense"] + self.w["hidden"])
         return h @ self.w["out"] + self.w["shift"], x, h
 
@@ -129,6 +147,7 @@ class Network:
         for (_, b), s, k in zip(small, start, last, strict=False):
             end = s + max(1, len(b))
             maxima[k] = r[k * HALF : end].max(axis=0)
+        maxima = np.column_stack([maxima, self.repeats(raw[: start[-1]])])
         share = np.ones(len(maxima), np.float32)
         share[last] = (np.array([len(x[1]) for x in small]) - (halves - 1) * HALF) / HALF
         first = start[:-1] // HALF
@@ -137,7 +156,7 @@ class Network:
         one = halves == 1
         index = np.concatenate([np.arange(f, f + max(1, h - 1)) for f, h in zip(first, halves, strict=True)])
         owner = np.repeat(np.arange(len(small)), np.maximum(1, halves - 1))
-        pool, fill = np.empty((len(index), FILTERS), np.float32), np.empty(len(index), np.float32)
+        pool, fill = np.empty((len(index), FILTERS + 1), np.float32), np.empty(len(index), np.float32)
         alone = one[owner]
         pool[alone], fill[alone] = maxima[index[alone]], share[index[alone]] / 2
         pool[~alone], fill[~alone] = both[index[~alone]], both_share[index[~alone]]
