@@ -167,7 +167,7 @@ class Page:
                 if not closing:
                     if tag == "head":  # its elements are skipped by name; it may lack an end
                         continue
-                    close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(source, at) if tag not in _CLOSERS else _CLOSERS[tag].search(source, at)
+                    close = _CLOSERS[tag].search(source, at)
                     at = close.end() if close else n if tag in ("script", "style") else at
                 continue
             flush()
