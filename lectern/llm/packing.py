@@ -47,11 +47,11 @@ class WordCache:
     """Token ids, as little-endian unsigned 32-bit bytes, of white-space separated words.
 
     The tokenizer sees each new word once. Exact for tokenizers that drop white space and never
-    join words across it. Two generations of at most ``room`` words each keep the memory bounded
-    and the frequent words known.
+    join words across it. Two generations of at most ``room`` words each, and the letters of three
+    times as many, keep the memory bounded and the frequent words known.
     """
 
-    def __init__(self, path: str, room: int = 1_200_000):
+    def __init__(self, path: str, room: int = 300_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
@@ -83,7 +83,7 @@ class WordCache:
             raw = ids.tobytes()
             self.cores.update(zip(cores, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
         self.new.update((w, self.cores[c] + self.marks[p]) for w, c, p in split)
-        if len(self.cores) > self.room:
+        if len(self.cores) > 3 * self.room:
             self.cores = {}
         if len(self.marks) > 10_000:
             self.marks = {"": b""}
