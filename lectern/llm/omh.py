@@ -4,10 +4,11 @@ A text is its sequence of five-word shingles, each labelled with its occurrence
 all labelled shingles of a text differ. For each of ``TABLES`` hash functions the ``PICK``
 smallest labelled shingles are kept *in text order*; texts that agree on one such tuple, order
 included, meet in a bucket. A bucket is streamed; 256-byte sketches tell each row its closest
-partner among those before it, and that pair is aligned. Then, classes being known, each row is
-aligned, in two more passes, with its closest untested partners in the four closest other classes of the bucket that
-the sketch does not rule out: links inside a class need no proof, so the pairs grow with the rows
-and not with their square. Aligning
+partner among those before it, and that pair is aligned: this finds most classes at little cost.
+Then every pair of a bucket whose classes still differ, and that sketch and sizes do not rule out,
+is aligned as well. A bucket is dealt in blocks, and blocks are compared with blocks over the tasks,
+so that pairs are never rows and no task holds a large bucket; a pair is not
+compared once its classes are joined: links inside a class need no proof. Aligning
 means the longest run of common labelled shingles that rise in both texts within a band around the
 diagonal; the similarity is ``aligned / (n1 + n2 - aligned)``, and 0.8 or more is a link.
 Classes are the connected components of the links.
@@ -37,8 +38,8 @@ from lectern.llm.quality import bounded_batches
 SHINGLE, TABLES, PICK, SKETCH, HOT, GROUPS = 5, 16, 3, 256, 8_000, 64
 #: how far below the threshold a sketch may estimate a pair that is still aligned: four standard errors
 MARGIN = 0.085
-#: partners per row and bucket in each pass: its closest, then the closest of so many other classes
-PASSES = (1, 4, 4)
+#: a block of a bucket has about so many rows, and so many labels, at most
+ROWS, LABELS = 512, 1 << 20
 U = np.uint64
 LARGEST = U(0xFFFFFFFFFFFFFFFF)
 ODD = U(0x9E3779B97F4A7C15)
@@ -169,49 +170,43 @@ def resemblance(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 class Bucket:
-    """The rows of one bucket, as streamed so far."""
+    """The rows of one block of a bucket, as streamed so far."""
 
     def __init__(self) -> None:
-        self.ids, self.sizes, self.classes = np.empty(16, np.int64), np.empty(16, np.int64), np.empty(16, np.int64)
+        self.ids, self.sizes = np.empty(16, np.int64), np.empty(16, np.int64)
         self.sketches, self.count = np.empty((16, SKETCH), np.uint8), 0
 
-    def add(self, node: int, n: int, label: int, sketch: np.ndarray) -> None:
+    def add(self, node: int, n: int, sketch: np.ndarray) -> None:
         if self.count == len(self.ids):
-            for name in ("ids", "sizes", "classes", "sketches"):
+            for name in ("ids", "sizes", "sketches"):
                 x = getattr(self, name)
                 setattr(self, name, np.concatenate([x, np.empty_like(x)]))
         k = self.count
-        self.ids[k], self.sizes[k], self.classes[k], self.sketches[k] = node, n, label, sketch
+        self.ids[k], self.sizes[k], self.sketches[k] = node, n, sketch
         self.count += 1
 
-    def meet(self, node: int, n: int, label: int, tested: np.ndarray | None, sketch: np.ndarray, floor: float, threshold: float, picks: int) -> list[int]:
-        """Earlier rows to align with: the closest untested one of each of the ``picks`` closest other classes."""
-        c = self.count
-        sizes = self.sizes[:c]
-        ok = np.flatnonzero((self.classes[:c] != label) & (np.minimum(sizes, n) >= threshold * np.maximum(sizes, n)))
+    def meet(self, node: int, n: int, sketch: np.ndarray, floor: float, threshold: float) -> list[int]:
+        """The closest earlier row, if any is in reach."""
+        sizes = self.sizes[: self.count]
+        ok = np.flatnonzero(np.minimum(sizes, n) >= threshold * np.maximum(sizes, n))
         found: list[int] = []
         if len(ok):
             near = resemblance(sketch, self.sketches[ok])
-            ok, near = ok[near >= floor], near[near >= floor]
-            if tested is not None and len(ok):
-                new = ~np.isin(self.ids[ok], tested)
-                ok, near = ok[new], near[new]
-            ok = ok[np.argsort(-near, kind="stable")]
-            first = np.sort(np.unique(self.classes[ok], return_index=True)[1])
-            found = self.ids[ok[first[:picks]]].tolist()
-        self.add(node, n, label, sketch)
+            k = near.argmax()
+            found = [int(self.ids[ok[k]])] if near[k] >= floor else []
+        self.add(node, n, sketch)
         return found
 
 
-def sweep_buckets(floor: float, threshold: float, picks: int):
+def sweep_buckets(floor: float, threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, bucket = None, Bucket()
         for rows in batches:
             a, b = [], []
-            for key, node, n, label, tested, sketch in zip(*(rows[c] for c in ("key", "node", "n", "class", "tested", "sketch")), strict=True):
-                if key != at:
-                    at, bucket = key, Bucket()
-                found = bucket.meet(node, n, label, tested, np.frombuffer(sketch, np.uint8), floor, threshold, picks)
+            for key, block, node, n, sketch in zip(*(rows[c] for c in ("key", "block", "node", "n", "sketch")), strict=True):
+                if (key, block) != at:
+                    at, bucket = (key, block), Bucket()
+                found = bucket.meet(node, n, np.frombuffer(sketch, np.uint8), floor, threshold)
                 a += found
                 b += [node] * len(found)
             # texts that share several buckets often meet in one batch
@@ -220,6 +215,121 @@ def sweep_buckets(floor: float, threshold: float, picks: int):
     return run
 
 
+def groups(batches: Iterator[pd.DataFrame]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each two blocks (key, p, q), which stand together in the stream."""
+    held: list[dict[str, np.ndarray]] = []
+    at = None
+    whole = lambda: {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+    for rows in batches:
+        columns = {c: rows[c].to_numpy() for c in rows.columns}
+        k = rows[["key", "p", "q"]].to_numpy(np.int64)
+        starts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(1)]) if len(k) else np.zeros(0, int)
+        for lo, hi in zip(starts, np.r_[starts[1:], len(k)], strict=True):
+            if held and tuple(k[lo]) != at:
+                yield whole()
+                held = []
+            at = tuple(k[lo])
+            held.append({c: v[lo:hi] for c, v in columns.items()})
+    if held:
+        yield whole()
+
+
+def candidates(g: dict[str, np.ndarray], floor: float, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places x, y of the pairs to compare here, and their estimates: of different classes and in reach."""
+    label, n = g["class"], g["n"]
+    x, y, near = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+    if (label == label[0]).all():
+        return x[0], y[0], near[0]
+    sketch = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, SKETCH)
+    first = int((g["side"] == 0).sum())  # rows of block p come first
+    for i in range(first):
+        js = np.arange(i + 1 if g["p"][0] == g["q"][0] else first, len(n))
+        js = js[(label[js] != label[i]) & (np.minimum(n[js], n[i]) >= threshold * np.maximum(n[js], n[i]))]
+        if len(js):
+            e = resemblance(sketch[i], sketch[js])
+            js, e = js[e >= floor], e[e >= floor]
+            x.append(np.full(len(js), i))
+            y.append(js)
+            near.append(e)
+    return np.concatenate(x), np.concatenate(y), np.concatenate(near)
+
+
+def open_rows(floor: float, threshold: float):
+    """The rows of two blocks that have a pair to compare; only their texts are read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups(batches):
+            x, y, _ = candidates(g, floor, threshold)
+            if len(x):
+                k = np.union1d(x, y)
+                yield pd.DataFrame({c: g[c][k] for c in ("key", "p", "q", "side", "node", "class")})
+
+    return run
+
+
+def common_labels(parts: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray | None:
+    """Shared labels of each pair, exactly, all at once; None where pair by pair is less work."""
+    xs, ys = np.unique(x), np.unique(y)
+    used = np.union1d(xs, ys)
+    every, column, times = np.unique(np.concatenate([parts[i] for i in used]), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1  # labels of one text are shared with none
+    width = int(number[-1]) + 1 if len(number) else 0
+    sizes = np.array([len(p) for p in parts])
+    if len(xs) * len(ys) * width > 1000 * (sizes[x] + sizes[y]).sum():
+        return None
+    row = np.repeat(np.arange(len(used)), sizes[used])
+    row, column = row[times[column] > 1], number[column[times[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(xs), len(ys)), np.float32)
+    step = max(1, (1 << 22) // len(used))
+    for lo in range(0, width, step):
+        i, j = np.searchsorted(column, [lo, lo + step])
+        has = np.zeros((len(used), min(step, width - lo)), np.float32)
+        has[row[i:j], column[i:j] - lo] = 1
+        total += has[np.searchsorted(used, xs)] @ has[np.searchsorted(used, ys)].T
+    return total[np.searchsorted(xs, x), np.searchsorted(ys, y)]
+
+
+def align_blocks(floor: float, threshold: float):
+    """Links between the classes of two blocks: every candidate is aligned, unless links so far join its classes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups(batches):
+            x, y, order = candidates(g, floor, threshold)
+            if not len(x):
+                continue
+            parts: list[np.ndarray] = []
+            texts = list(g["text"])
+            for lo, hi in sliced(texts):
+                label, count, _ = labelled_shingles(texts[lo:hi])
+                parts += np.split(label, np.cumsum(count)[:-1])
+            shared = common_labels(parts, x, y)
+            if shared is not None:
+                both = g["n"][x] + g["n"][y]
+                ok = shared >= threshold / (1 + threshold) * both - 1e-3
+                x, y, order = x[ok], y[ok], (shared / (both - shared))[ok]
+            up: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while c in up:
+                    c = up[c]
+                return c
+
+            a, b, s = [], [], []
+            for k in np.argsort(-order, kind="stable"):
+                i, j = x[k], y[k]
+                one, two = find(int(g["class"][i])), find(int(g["class"][j]))
+                if one != two and (similarity := aligned_similarity(parts[i], parts[j], threshold)) >= threshold:
+                    up[max(one, two)] = min(one, two)
+                    a.append(g["node"][i])
+                    b.append(g["node"][j])
+                    s.append(similarity)
+            yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64), "similarity": np.array(s, float)})
+
+    return run
+
+
 def aligned_similarity(x: np.ndarray, y: np.ndarray, threshold: float) -> float:
     """Banded alignment of two sequences of distinct labels; 0 where the threshold is out of reach."""
     n, m = len(x), len(y)
@@ -325,37 +435,38 @@ def link_near(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataF
     live = sketched.filter("n > 0").join(least, [sketched["doc_id"] == least["node"], sketched["digest"] == least["digest"]]).select("node", least["digest"], "n", "sigs", "sketch").dropDuplicates(["node"])
     live = spool(live)
 
-    keys = live.select("node", F.posexplode("sigs").alias("t", "key"), "sigs")
-    keys = keys.select("node", "key", F.element_at("sigs", (F.pmod(F.col("t") + 1, F.lit(TABLES)) + 1).cast("int")).alias("then"))
-    shared = spool(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
-    refined = F.when(F.col("c") > HOT, F.xxhash64("key", "then")).otherwise(F.col("key"))
-    met = spool(keys.join(shared, "key").select("node", refined.alias("key")))
+    keys = live.select("node", "n", F.posexplode("sigs").alias("t", "key"), "sigs")
+    keys = keys.select("node", "n", "key", F.element_at("sigs", (F.pmod(F.col("t") + 1, F.lit(TABLES)) + 1).cast("int")).alias("then"))
+    hot = keys.groupBy("key").agg(F.count(F.lit(1)).alias("h")).filter(F.col("h") > HOT)
+    keys = keys.join(spool(hot), "key", "left").withColumn("key", F.when(F.col("h") > HOT, F.xxhash64("key", "then")).otherwise(F.col("key"))).select("node", "n", "key")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("labels")).filter("c > 1")
+    shared = spool(shared.select("key", F.greatest(F.ceil(F.col("c") / ROWS), F.ceil(F.col("labels") / LABELS)).cast("int").alias("blocks")))
+    met = spool(keys.join(shared, "key").select("node", "key", "blocks", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int").alias("block")))
     # texts that share no bucket are not read again
-    held = spool(met.select("node").distinct().join(live.select("node", "digest", "n", "sketch"), "node"))
+    held = spool(met.select("node").distinct().join(live, "node"))
     texts = spool(rows.join(held.select("node", F.col("digest").alias("held")), (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("held"))).dropDuplicates(["node"]).select("node", "text"))
 
-    tested, classes = None, None
-    for picks in PASSES:
-        if classes is None:
-            known = held.select("node", "n", "sketch", F.col("node").alias("class"), F.lit(None).cast("array<long>").alias("tested"))
-        else:
-            before = tested.groupBy(F.col("b").alias("node")).agg(F.collect_list("a").alias("tested"))
-            known = held.select("node", "n", "sketch").join(classes, "node", "left").join(before, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        stream = met.join(known, "node").repartition(n, "key").sortWithinPartitions("key", "node")
-        pairs = spool(stream.mapInPandas(sweep_buckets(threshold - MARGIN, threshold, picks), "a long, b long").distinct())
-        found = verified(pairs, texts, threshold)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if classes is None:
-            classes = components(found)
-        elif found.isEmpty():
-            break
-        else:  # new links between classes merge them
-            x, y = classes.select(F.col("node").alias("a"), F.col("class").alias("ca")), classes.select(F.col("node").alias("b"), F.col("class").alias("cb"))
-            between = found.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-            merged = components(between).withColumnRenamed("node", "old").withColumnRenamed("class", "new")
-            every = classes.unionByName(found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node", "left_anti").withColumn("class", F.col("node")))
-            classes = spool(every.join(merged, F.col("class") == F.col("old"), "left").select("node", F.coalesce("new", "class").alias("class")))
-    return members, classes
+    stream = met.select("node", "key", "block").join(held.select("node", "n", "sketch"), "node").repartition(n, "key", "block").sortWithinPartitions("key", "block", "node")
+    pairs = spool(stream.mapInPandas(sweep_buckets(threshold - MARGIN, threshold), "a long, b long").distinct())
+    classes = components(verified(pairs, texts, threshold))
+
+    # what is left: all pairs of a bucket that are of different classes
+    at = spool(met.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")))
+    mixed = spool(at.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("key"))
+    two = at.join(mixed, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    two = two.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "class")
+    hashes = held.select("node", "n", "sketch")
+    dealt = lambda df: df.repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q", "side", "node")
+    left = spool(dealt(two.join(hashes, "node")).mapInPandas(open_rows(threshold - MARGIN, threshold), "key long, p int, q int, side int, node long, class long"))
+    found = spool(dealt(left.join(hashes, "node").join(texts, "node")).mapInPandas(align_blocks(threshold - MARGIN, threshold), "a long, b long, similarity double"))
+    if found.isEmpty():
+        return members, classes
+    # new links between classes merge them
+    x, y = classes.select(F.col("node").alias("a"), F.col("class").alias("ca")), classes.select(F.col("node").alias("b"), F.col("class").alias("cb"))
+    between = found.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = components(between).withColumnRenamed("node", "old").withColumnRenamed("class", "new")
+    every = classes.unionByName(found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node", "left_anti").withColumn("class", F.col("node")))
+    return members, spool(every.join(merged, F.col("class") == F.col("old"), "left").select("node", F.coalesce("new", "class").alias("class")))
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -70,3 +70,36 @@ def test_nulls_repeats_and_empty(spark, make_docs):
     assert len(rows) == 4 and {r.class_id for r in rows if r.doc_id == 7} == {7}
     assert all(r.kept for r in rows if r.doc_id is None)
     assert near_classes(df.limit(0)).count() == 0
+
+
+def family(size, planted, r):
+    """Texts of one template, pairwise below 0.8 but for the planted pairs (2 i, 2 i + 1), and their words changed."""
+    base = [f"w{i}" for i in range(800)]
+    out = []
+    for k in range(size):
+        first = k % 2 and k < 2 * planted
+        places = r.sample(range(800), 11)
+        changed = {p: f"x{k}y{p}" for p in places}
+        if first:
+            changed = dict(list(out[-1].items())[:3] + list(changed.items())[:8])
+        out.append(changed)
+    return [" ".join(c.get(i, w) for i, w in enumerate(base)) for c in out]
+
+
+def all_pairs_classes(texts):
+    label, count, _ = labelled_shingles(texts)
+    parts = np.split(label, np.cumsum(count)[:-1])
+    up = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if up[i] != up[j] and aligned_similarity(parts[j], parts[i], 0.8) >= 0.8:
+                low, high = sorted((up[i], up[j]))
+                up = [low if x == high else x for x in up]
+    return dict(enumerate(up))
+
+
+def test_links_among_many_look_alikes(spark, make_docs):
+    texts = family(400, 80, random.Random(7))
+    want = all_pairs_classes(texts)
+    assert len(set(want.values())) < 400
+    assert {x.doc_id: x.class_id for x in near_classes(make_docs(*texts)).collect()} == want
