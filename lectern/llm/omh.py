@@ -7,15 +7,14 @@ included, meet in a bucket. A bucket is streamed; 256-byte sketches tell each ro
 partner among those before it, and that pair is aligned: this finds most classes at little cost.
 Then every pair of a bucket whose classes still differ, and that sketch and sizes do not rule out,
 is aligned as well. A bucket is dealt in blocks, and blocks are compared with blocks over the tasks,
-so that pairs are never rows and no task holds a large bucket; a pair is not
-compared once its classes are joined: links inside a class need no proof. Aligning
+so that pairs are never rows and no task holds a large bucket; a pair is compared in the first bucket
+it shares only, and not once its classes are joined: links inside a class need no proof. Aligning
 means the longest run of common labelled shingles that rise in both texts within a band around the
 diagonal; the similarity is ``aligned / (n1 + n2 - aligned)``, and 0.8 or more is a link.
 Classes are the connected components of the links.
 
-Exact copies are collapsed first (one representative per distinct text). Buckets of more than
-``HOT`` texts are refined by the next tuple, leaders with many followers are split over tasks,
-and components are found by distributed label propagation; nothing is gathered on the driver.
+Exact copies are collapsed first (one representative per distinct text). Leaders with many
+followers are split over tasks, and components are found by distributed label propagation; nothing is gathered on the driver.
 
 Defined cases: null text is empty; empty texts are exact copies of each other; a text of one to
 four words is one shingle; rows of one doc_id count as one document, rows with a null id are
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import spool, text_or_empty
 from lectern.llm.quality import bounded_batches
 
-SHINGLE, TABLES, PICK, SKETCH, HOT, GROUPS = 5, 16, 3, 256, 8_000, 64
+SHINGLE, TABLES, PICK, SKETCH, GROUPS = 5, 16, 3, 256, 64
 #: how far below the threshold a sketch may estimate a pair that is still aligned: four standard errors
 MARGIN = 0.085
 #: a block of a bucket has about so many rows, and so many labels, at most
@@ -235,16 +234,18 @@ def groups(batches: Iterator[pd.DataFrame]) -> Iterator[dict[str, np.ndarray]]:
 
 
 def candidates(g: dict[str, np.ndarray], floor: float, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places x, y of the pairs to compare here, and their estimates: of different classes and in reach."""
-    label, n = g["class"], g["n"]
+    """Places x, y of the pairs to compare here, and their estimates: of different classes, in reach, and in no earlier bucket."""
+    label, n, t = g["class"], g["n"], g["t"][0]
     x, y, near = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
     if (label == label[0]).all():
         return x[0], y[0], near[0]
     sketch = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, SKETCH)
+    sigs = np.stack(list(g["sigs"]))
     first = int((g["side"] == 0).sum())  # rows of block p come first
     for i in range(first):
         js = np.arange(i + 1 if g["p"][0] == g["q"][0] else first, len(n))
         js = js[(label[js] != label[i]) & (np.minimum(n[js], n[i]) >= threshold * np.maximum(n[js], n[i]))]
+        js = js[(sigs[js] == sigs[i]).argmax(1) == t]
         if len(js):
             e = resemblance(sketch[i], sketch[js])
             js, e = js[e >= floor], e[e >= floor]
@@ -262,7 +263,7 @@ def open_rows(floor: float, threshold: float):
             x, y, _ = candidates(g, floor, threshold)
             if len(x):
                 k = np.union1d(x, y)
-                yield pd.DataFrame({c: g[c][k] for c in ("key", "p", "q", "side", "node", "class")})
+                yield pd.DataFrame({c: g[c][k] for c in ("key", "t", "p", "q", "side", "node", "class")})
 
     return run
 
@@ -435,13 +436,10 @@ def link_near(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataF
     live = sketched.filter("n > 0").join(least, [sketched["doc_id"] == least["node"], sketched["digest"] == least["digest"]]).select("node", least["digest"], "n", "sigs", "sketch").dropDuplicates(["node"])
     live = spool(live)
 
-    keys = live.select("node", "n", F.posexplode("sigs").alias("t", "key"), "sigs")
-    keys = keys.select("node", "n", "key", F.element_at("sigs", (F.pmod(F.col("t") + 1, F.lit(TABLES)) + 1).cast("int")).alias("then"))
-    hot = keys.groupBy("key").agg(F.count(F.lit(1)).alias("h")).filter(F.col("h") > HOT)
-    keys = keys.join(spool(hot), "key", "left").withColumn("key", F.when(F.col("h") > HOT, F.xxhash64("key", "then")).otherwise(F.col("key"))).select("node", "n", "key")
+    keys = live.select("node", "n", F.posexplode("sigs").alias("t", "key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("labels")).filter("c > 1")
     shared = spool(shared.select("key", F.greatest(F.ceil(F.col("c") / ROWS), F.ceil(F.col("labels") / LABELS)).cast("int").alias("blocks")))
-    met = spool(keys.join(shared, "key").select("node", "key", "blocks", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int").alias("block")))
+    met = spool(keys.join(shared, "key").select("node", "t", "key", "blocks", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int").alias("block")))
     # texts that share no bucket are not read again
     held = spool(met.select("node").distinct().join(live, "node"))
     texts = spool(rows.join(held.select("node", F.col("digest").alias("held")), (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("held"))).dropDuplicates(["node"]).select("node", "text"))
@@ -454,10 +452,10 @@ def link_near(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataF
     at = spool(met.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")))
     mixed = spool(at.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("key"))
     two = at.join(mixed, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    two = two.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "class")
-    hashes = held.select("node", "n", "sketch")
+    two = two.select("key", "t", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "class")
+    hashes = held.select("node", "n", "sigs", "sketch")
     dealt = lambda df: df.repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q", "side", "node")
-    left = spool(dealt(two.join(hashes, "node")).mapInPandas(open_rows(threshold - MARGIN, threshold), "key long, p int, q int, side int, node long, class long"))
+    left = spool(dealt(two.join(hashes, "node")).mapInPandas(open_rows(threshold - MARGIN, threshold), "key long, t int, p int, q int, side int, node long, class long"))
     found = spool(dealt(left.join(hashes, "node").join(texts, "node")).mapInPandas(align_blocks(threshold - MARGIN, threshold), "a long, b long, similarity double"))
     if found.isEmpty():
         return members, classes

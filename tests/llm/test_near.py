@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
+from lectern.llm import omh
 from lectern.llm.omh import aligned_similarity, components, labelled_shingles, near_classes
 
 
@@ -103,3 +104,12 @@ def test_links_among_many_look_alikes(spark, make_docs):
     want = all_pairs_classes(texts)
     assert len(set(want.values())) < 400
     assert {x.doc_id: x.class_id for x in near_classes(make_docs(*texts)).collect()} == want
+
+
+def test_large_buckets_keep_their_pairs(spark, make_docs, monkeypatch):
+    """A bucket over any limit by size loses no pair: all tables here are dealt in many blocks."""
+    monkeypatch.setattr(omh, "HOT", 2, raising=False)
+    monkeypatch.setattr(omh, "ROWS", 24, raising=False)
+    texts = family(400, 150, random.Random(11))
+    want = all_pairs_classes(texts)
+    assert {x.doc_id: x.class_id for x in near_classes(make_docs(*texts)).collect()} == want
