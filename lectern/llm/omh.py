@@ -35,8 +35,8 @@ from lectern.llm.common import spool, text_or_empty
 from lectern.llm.quality import bounded_batches
 
 SHINGLE, TABLES, PICK, SKETCH, GROUPS = 5, 16, 3, 256, 64
-#: how far below the threshold a sketch may estimate a pair that is still aligned: four standard errors
-MARGIN = 0.085
+#: how far below the threshold a sketch may estimate a pair that is still aligned: 6.4 standard errors of sqrt(0.16 / 256) at 0.8
+MARGIN = 0.16
 #: a block of a bucket has about so many rows, and so many labels, at most
 ROWS, LABELS = 512, 1 << 20
 U = np.uint64
@@ -445,7 +445,7 @@ def link_near(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataF
     texts = spool(rows.join(held.select("node", F.col("digest").alias("held")), (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("held"))).dropDuplicates(["node"]).select("node", "text"))
 
     stream = met.select("node", "key", "block").join(held.select("node", "n", "sketch"), "node").repartition(n, "key", "block").sortWithinPartitions("key", "block", "node")
-    pairs = spool(stream.mapInPandas(sweep_buckets(threshold - MARGIN, threshold), "a long, b long").distinct())
+    pairs = spool(stream.mapInPandas(sweep_buckets(threshold - MARGIN / 2, threshold), "a long, b long").distinct())
     classes = components(verified(pairs, texts, threshold))
 
     # what is left: all pairs of a bucket that are of different classes

@@ -113,3 +113,11 @@ def test_large_buckets_keep_their_pairs(spark, make_docs, monkeypatch):
     texts = family(400, 150, random.Random(11))
     want = all_pairs_classes(texts)
     assert {x.doc_id: x.class_id for x in near_classes(make_docs(*texts)).collect()} == want
+
+
+def test_link_with_a_poor_sketch(spark, make_docs):
+    """Similarity 0.801, estimated as 0.710 by the sketches."""
+    base = [f"w{i}" for i in range(909)]
+    places = {5 * p: f"x{p}" for p in random.Random(6587).sample(range(180), 20)}
+    df = make_docs(" ".join(base), " ".join(places.get(i, w) for i, w in enumerate(base)))
+    assert {r.class_id for r in near_classes(df).collect()} == {0}
