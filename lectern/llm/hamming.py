@@ -11,7 +11,7 @@ Rows of equal code are one index entry with its k smallest ids (all that a top-k
 hot code is one entry; probes and entries meet in an equi-join on (segment, value).
 
 Defined cases: a null embedding, or one with a null id, has no code: it is neither found nor asked for; missing
-dimensions count as zero; ties are broken by id; with fewer than k rows all are returned; repeated rows
+dimensions count as zero, more than 64 are an error; ties are broken by id; with fewer than k rows all are returned; repeated rows
 are ranked each on its own.
 """
 
@@ -26,10 +26,11 @@ SEGMENTS, BITS = 4, 16
 
 
 def sign_codes(table: DataFrame) -> DataFrame:
-    """vec_id, code: bit i says whether dimension i is positive (the first 64 dimensions)."""
+    """vec_id, code: bit i says whether dimension i is positive; more than 64 dimensions are an error."""
     bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.coalesce(F.get(F.col("embedding"), i) > 0, F.lit(False)), F.expr("1L")).otherwise(F.expr("0L")))
     code = F.aggregate(F.reverse(bits), F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b))
-    return table.filter("embedding IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", code.alias("code"))
+    longer = F.raise_error(F.concat(F.lit("an embedding has more than 64 dimensions: "), F.size("embedding").cast("string"))).cast("long")
+    return table.filter("embedding IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", F.when(F.size("embedding") > SEGMENTS * BITS, longer).otherwise(code).alias("code"))
 
 
 def _segment(code, j: int):

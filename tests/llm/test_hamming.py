@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from lectern.llm.hamming import sign_codes, top_k
 from lectern.llm.queries import ORACLE_SQL, op8_hamming
 
@@ -40,3 +42,9 @@ def test_query(spark, sf):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
     assert sorted(map(tuple, op8_hamming(spark, sf).collect())) == sorted(con.sql(ORACLE_SQL["op8_hamming"]).fetchall())
+
+
+def test_longer_embeddings_are_not_cut(spark):
+    t = spark.createDataFrame([(0, [1.0] * 65)], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="more than 64 dimensions"):
+        sign_codes(t).collect()
