@@ -1,21 +1,23 @@
 """Chat formatting with budgeted windows, in Column expressions only.
 
-Every turn costs its text's tokens (a fixed regular estimate) and ``MARKS`` for its marks. Prefix
-sums of these costs cut a conversation into turn-aligned spans: turns whose sum before them falls
-into the same half of the fresh budget share a window, and a turn over half the budget has a window
-alone, so a window never passes the budget unless one turn does. Each window repeats the
-conversation's first system turn and the whole turns of the last ``history`` tokens before it;
-what is repeated bears no loss, so each assistant text is a target once.
+Every turn costs its text's tokens (a fixed regular estimate, as a tokenizer would take Python code) and
+``MARKS`` for its marks. Prefix sums of these costs cut a conversation into turn-aligned spans: turns whose
+sum before them falls into the same half of the fresh budget share a window, and a turn over such a half has a
+window alone. Fresh turns have half of the budget, or what the system turn leaves if that is less. Each window repeats
+the conversation's first system turn and the whole turns of the last ``history`` tokens before it that still fit;
+what is repeated bears no loss, so each assistant text is a target once. A window passes the budget only where
+one turn, or one turn with the system turn, does.
 
 Template: ``<s>`` then ``[INST]role[/INST]text</s>`` per turn. Any of these control strings (or
 the system marks of the same family) inside a role or text gets one backslash more after its
 opening bracket; reading back takes one away.
 
-Prefix sums run over slices of ``SLICE`` turns of a conversation, joined by one row per slice, so
-no task holds a whole conversation.
+Prefix sums run over slices of a conversation, joined by one row per slice, so no task holds a whole
+conversation; only :func:`chat_digests`, whose hashes are of whole conversations, does.
 
 Defined cases: null role or text is empty; a null conv_id is a conversation; turns are ordered by
-turn (nulls first), role, text; repeated rows are turns of their own; an empty table gives no rows.
+turn (nulls first), role, text; repeated rows are turns of their own; a very long turn has a window alone,
+whole; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.merkle import let
+from lectern.llm.common import let, spool
 
 MARKS, SLICE = 4, 256
 #: fixed: control strings of the template's family
@@ -44,55 +46,67 @@ def formatted_turn(role: Column, text: Column) -> Column:
     return F.concat(F.lit("[INST]"), escape(role), F.lit("[/INST]"), escape(text), F.lit("</s>"))
 
 
+def sliced(t: DataFrame) -> DataFrame:
+    """``t`` with ``part`` and ``sub``: slices of a conversation, in its order, of ``SLICE`` turn numbers.
+
+    A slice with many more rows than numbers (turns tied or null) is cut further by turn, role and the start of the text.
+    """
+    none = -(1 << 62)
+    t = t.withColumn("part", F.coalesce(F.floor(F.col("turn") / SLICE), F.lit(none)))
+    keys = ["c", "cn", "part"]
+    hot = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 4 * SLICE).select(*keys, F.lit(True).alias("hot"))
+    if hot.isEmpty():
+        return t.withColumn("sub", F.lit(""))
+    fine = F.struct(F.coalesce("turn", F.lit(none)).alias("turn"), "role", F.substring("text", 1, 24).alias("text"))
+    return t.join(spool(hot), keys, "left").withColumn("sub", F.when(F.col("hot"), fine).otherwise(F.struct(F.lit(none).alias("turn"), F.lit("").alias("role"), F.lit("").alias("text")))).drop("hot")
+
+
 def chat_windows(turns: DataFrame, budget: int = 2048, history: int = 512) -> DataFrame:
     """conv_id, first_turn, last_turn (ordinals), n_repeated, tokens, over_budget, formatted, loss_spans per window.
 
     ``turns``: conv_id, turn, role, text. ``loss_spans``: array of (start, length) in code points of ``formatted``.
+    Texts are shuffled twice: to their slice, and to the window (and the next ones that repeat them).
     """
-    fresh = budget // 2
-    half = fresh // 2
-    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    t = t.withColumn("cost", (F.regexp_count("text", F.lit(TOKEN)) + MARKS).cast("long")).withColumn("big", (F.col("cost") > half).cast("long"))
-    t = t.withColumn("part", F.floor(F.col("turn") / SLICE))
-    inside = W.partitionBy("conv_id", "part").orderBy("turn", "role", "text")
-    upto = inside.rowsBetween(W.unboundedPreceding, 0)
-    t = t.withColumns({"k": F.row_number().over(inside), "sum": F.sum("cost").over(upto), "bigs": F.sum("big").over(upto)})
-    # one row per slice carries the sums over to the next
-    parts = t.groupBy("conv_id", "part").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("cost").alias("c"), F.sum("big").alias("b"),
-        F.min(F.when(F.col("role") == "system", F.struct("k", "text", "cost"))).alias("system"),
-    )
-    over = W.partitionBy("conv_id").orderBy("part")
-    earlier = over.rowsBetween(W.unboundedPreceding, -1)
-    ahead = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
-    parts = parts.withColumns({"n0": ahead("n"), "c0": ahead("c"), "b0": ahead("b")})
-    parts = parts.withColumn("system", F.when(F.col("system").isNotNull(), F.struct((F.col("system.k") + F.col("n0")).alias("at"), F.col("system.text").alias("text"), F.col("system.cost").alias("cost"))))
-    parts = parts.withColumn("system", F.first("system", ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    parts = parts.select(F.col("conv_id").alias("c_id"), F.col("part").alias("p_no"), "n0", "c0", "b0", "system")
-    t = t.join(parts, F.col("conv_id").eqNullSafe(F.col("c_id")) & F.col("part").eqNullSafe(F.col("p_no")))
-    t = t.select(
-        "conv_id", "role", "text", "cost", "system", (F.col("k") + F.col("n0")).alias("at"),
-        (F.col("sum") + F.col("c0") - F.col("cost")).alias("before"), (F.col("bigs") + F.col("b0") - F.col("big")).alias("bigs"), "big",
-    )
-    t = t.withColumn("span", F.when(F.col("big") == 1, F.lit(-1)).otherwise(F.floor(F.col("before") / half)))
-
-    # the last turns before each turn: blocks of the prefix sum, whose edges are told to the next block
-    block = 64 * max(history, 1)
-    own = F.floor(F.col("before") / block)
-    t = t.withColumn("own", own).withColumn("block", F.explode(F.when(F.col("before") >= (own + 1) * block - history, F.array(own, own + 1)).otherwise(F.array(own))))
-    near = W.partitionBy("conv_id", "block").orderBy("before").rangeBetween(-history, -1)
-    t = t.withColumn("past", F.collect_list(F.struct("at", "role", "text", "cost", "before")).over(near)).filter("block = own")
-
-    turn = F.struct("at", "role", "text", "cost")
-    w = t.groupBy("conv_id", "bigs", "big", "span").agg(
-        F.array_sort(F.collect_list(turn)).alias("new"), F.min_by(F.struct("past", "before"), "at").alias("first"), F.min_by("system", "at").alias("system")
+    none = F.lit(0).cast(turns.schema["conv_id"].dataType)
+    t = turns.select(F.coalesce("conv_id", none).alias("c"), F.col("conv_id").isNull().alias("cn"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    t = sliced(t.withColumn("cost", (F.regexp_count("text", F.lit(TOKEN)) + MARKS).cast("long")))
+    slice_ = ["c", "cn", "part", "sub"]
+    inside = W.partitionBy(*slice_).orderBy("turn", "role", "text")
+    t = t.withColumns({"k": F.row_number().over(inside), "sum": F.sum("cost").over(inside.rowsBetween(W.unboundedPreceding, 0))})
+    # one row per slice carries the sums, and the first system turn, over to the others
+    parts = t.groupBy(*slice_).agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("tokens"), F.min(F.when(F.col("role") == "system", F.struct("k", "cost", "text"))).alias("s"))
+    over = W.partitionBy("c", "cn").orderBy("part", "sub")
+    whole = over.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    ahead = lambda c: F.coalesce(F.sum(c).over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumns({"n0": ahead("n"), "c0": ahead("tokens"), "total": F.sum("tokens").over(whole)})
+    parts = parts.withColumn("s", F.when(F.col("s").isNotNull(), F.struct((F.col("s.k") + F.col("n0")).alias("at"), F.col("s.cost").alias("cost"), F.col("s.text").alias("text"))))
+    parts = parts.select(*slice_, "n0", "c0", "total", F.first("s", ignorenulls=True).over(whole).alias("system"))
+    t = t.join(parts, slice_).withColumns({"at": F.col("k") + F.col("n0"), "before": F.col("sum") + F.col("c0") - F.col("cost")})
+
+    # turns whose sum before them falls into the same half share a window; one over a half ends its span and has a window alone
+    room = budget - F.coalesce("system.cost", F.lit(0))
+    t = t.withColumn("half", F.when(room >= 2, F.least(F.lit(budget // 4), F.floor(room / 2))).otherwise(F.lit(budget // 4)).cast("long"))
+    t = t.withColumn("span", F.floor(F.col("before") / F.col("half")))
+    # the system turn's text goes once to each span
+    first = F.coalesce(F.lag("span").over(W.partitionBy(*slice_).orderBy("k")) != F.col("span"), F.lit(True))
+    t = t.withColumn("system", F.when(first, F.col("system")))
+    reach = F.greatest(F.lit(0), F.least(F.lit(history), room))
+    last = F.least(F.floor((F.col("before") + reach) / F.col("half")), F.floor((F.col("total") - 1) / F.col("half")))
+    t = t.select("c", "cn", "half", "span", "at", "role", "text", "cost", "before", "system", F.explode(F.sequence("span", F.greatest("span", last))).alias("to"))
+    own = F.col("span") == F.col("to")
+    w = t.groupBy("c", "cn", "to", "half").agg(
+        F.array_sort(F.collect_list(F.struct("at", "role", "text", "cost", "before", own.alias("own")))).alias("near"), F.max(F.when(own, F.col("system"))).alias("system")
     )
-    start = F.col("new")[0]["at"]
-    has_system = F.coalesce(F.col("system.at") < start, F.lit(False))
-    w = w.withColumn("head", F.when(has_system, F.array(F.struct(F.col("system.at").alias("at"), F.lit("system").alias("role"), F.col("system.text").alias("text"), F.col("system.cost").alias("cost")))).otherwise(F.slice("new", 1, 0)))
-    room = F.greatest(F.lit(0), F.least(F.lit(history), budget - fresh - F.coalesce(F.when(has_system, F.col("system.cost")), F.lit(0))))
-    kept = F.filter("first.past", lambda x: (x["before"] >= F.col("first.before") - room) & ~(has_system & (x["at"] == F.col("system.at"))))
-    w = w.withColumn("past", F.transform(F.array_sort(kept), lambda x: F.struct(x["at"].alias("at"), x["role"].alias("role"), x["text"].alias("text"), x["cost"].alias("cost"))))
+    kind = lambda small: F.filter("near", lambda x: x["own"] & ((x["cost"] <= F.col("half")) == F.lit(small)))
+    w = w.withColumn("new", F.explode(F.filter(F.array(kind(True), kind(False)), lambda x: F.size(x) > 0)))
+    start = F.col("new")[0]
+    has_system = F.coalesce(F.col("system.at") < start["at"], F.lit(False))
+    plain = lambda x: F.struct(x["at"].alias("at"), x["role"].alias("role"), x["text"].alias("text"), x["cost"].alias("cost"))
+    w = w.withColumn("head", F.when(has_system, F.array(F.struct(F.col("system.at").alias("at"), F.lit("system").alias("role"), F.col("system.text").alias("text"), F.col("system.cost").alias("cost")))).otherwise(F.slice(F.transform("new", plain), 1, 0)))
+    used = F.aggregate("new", F.lit(0).cast("long"), lambda s, x: s + x["cost"]) + F.when(has_system, F.col("system.cost")).otherwise(0)
+    w = w.withColumn("room", F.greatest(F.lit(0), F.least(F.lit(history), budget - used)))
+    past = F.filter("near", lambda x: (x["before"] < start["before"]) & (x["before"] >= start["before"] - F.col("room")) & ~(has_system & (x["at"] == F.col("system.at"))))
+    w = w.withColumns({"past": F.transform(past, plain), "conv_id": F.when(~F.col("cn"), F.col("c"))}).withColumn("new", F.transform("new", plain))
     w = w.withColumn("all", F.concat("head", "past", "new")).withColumn("n_repeated", F.size("head") + F.size("past"))
     w = w.withColumn("pieces", F.transform("all", lambda x: formatted_turn(x["role"], x["text"])))
     w = w.withColumn("tokens", F.aggregate("all", F.lit(0).cast("long"), lambda s, x: s + x["cost"]))

@@ -1,74 +1,94 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections, in Column expressions only.
 
-Paragraphs are the lines of a text; a section ends after a paragraph whose digest starts with one
-of four hex digits, so an edit moves no border but its own. A paragraph's digest is the SHA-256 of
-its text, a section's that of its paragraphs' digests, the root's (the fingerprint) that of its
-sections' digests with their number: equal texts, and only they, have equal roots. Where two roots
-differ, the first and the last differing branch locate the edit. Below the paragraphs, short
-content-defined runs of words carry 32-bit leaf hashes; the likeness of two trees is the Dice
-overlap of their leaves, and 1 exactly where the roots agree.
+Paragraphs are the lines of a text. A paragraph's leaves are short content-defined runs of words (of
+characters, in scripts without blanks): a 64-bit hash each, with the run's length in its lowest bits. A
+paragraph's digest is the SHA-256 of its text and its leaves, a section's that of its paragraphs' digests, the
+root's (the fingerprint) that of its sections' digests with their number: equal texts, and only they, have
+equal roots. A section ends after a paragraph whose digest starts with one of four hex digits, so an edit moves
+no border but its own. Where two roots differ, the first and the last differing branch locate the edit. Equal
+branches share all leaves below them; the likeness of two trees is the share of their text, by the lengths
+of their distinct leaves, that stands below shared ones (Dice), and 1 exactly where the roots agree.
 
 Defined cases: null text is empty and has a root of its own; two empty texts are alike (1), an
-empty and another are not (0); a text without line breaks is one paragraph; of rows with one doc_id
-the next is the one of the next text hash; a null id comes first; the next of a single document is
-itself; an empty table gives no rows.
+empty and another are not (0); a text without line breaks is one paragraph, and a very long one is a row as any other (its
+leaves are half as large as itself); of rows with one doc_id the next is the one of the next text hash; a null id
+comes first; the next of a single document is itself; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import text_or_empty
+from lectern.llm.common import cuts_up_to, let, own_partitions, text_or_empty
+
+
+def _ranges(low: int, high: int, width: int, every: int) -> str:
+    """Blocks of ``width`` code points, one in ``every``, as part of a character class."""
+    return "".join(f"\\u{c:04x}-\\u{min(c + width, high + 1) - 1:04x}" for c in range(low - low % width, high + 1, width) if c // width % every == 0 and c >= low)
 
-#: A leaf ends at a line break, or at a blank after a word whose last character has a code point divisible by three.
-_ENDS = "".join(f"\\u{c:04x}" for c in range(0x21, 0x250) if c % 3 == 0)
-LEAF_END = rf"\n|[ \t\u3000](?<=[{_ENDS}][ \t\u3000])|(?<=[\u3001\u3002\uff01\uff0c\uff1f])"
 
+#: A leaf ends at a blank after a word whose last character is of one third of its alphabet ...
+_LATIN = "".join(f"\\u{c:04x}" for c in range(0x21, 0x250) if c % 3 == 0)
+_LETTERS = _ranges(0x250, 0xDFF, 4, 3) + _ranges(0x10A0, 0x2DFF, 8, 3) + _ranges(0xA000, 0xD7FF, 64, 3) + _ranges(0xE000, 0xF8FF, 64, 3) + _ranges(0xFB00, 0xFFFC, 8, 3)
+#: ... and, in scripts without blanks, after about one character in six.
+_UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u9fff\uf900-\ufaff"
+_SIXTH = _ranges(0xE00, 0xEFF, 4, 6) + _ranges(0x1000, 0x109F, 4, 6) + _ranges(0x1780, 0x17FF, 4, 6) + _ranges(0x3040, 0x30FF, 4, 6) + _ranges(0x3400, 0x9FFF, 64, 6) + _ranges(0xF900, 0xFAFF, 4, 6)
+_BLANK = r"[ \t\u3000]"
+LEAF_END = rf"{_BLANK}(?:(?<=[{_LATIN}].)|(?<=[^\u0000-\u024f].)(?<=[{_LETTERS}{_SIXTH}].))|(?<=[{_UNSPACED}])(?<=[{_SIXTH}])(?!{_BLANK})"
+#: A run of more than so many characters is cut inside its words, and by length where even that finds no border.
+LONG, PIECE = 256, 64
+INNER_END = rf"(?<=[{_LATIN}]{{3}})"
+MARK, LENGTH = "\u0001", 4095
+#: One block of texts has about so many bytes, unless that makes too few for the session's shuffle partitions.
+BLOCK_BYTES = 256 << 20
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once per row."""
-    return F.transform(F.array(value), body)[0]
+
+def leaf(run: Column) -> Column:
+    """64 bits: a hash above, the length (up to 4095) below."""
+    return F.xxhash64(run).bitwiseAND(F.lit(~LENGTH)).bitwiseOR(F.least(F.length(run), F.lit(LENGTH)).cast("long"))
 
 
 def tree(text: Column) -> Column:
     """struct(root, sections, n_paragraphs, leaves) of a text column."""
 
-    def grouped(digests: Column) -> Column:
-        n = F.size(digests)
-        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | F.element_at(digests, i).substr(1, 1).isin("0", "4", "8", "c"))
+    def leaves_of(runs: Column) -> Column:
+        pieces = lambda x: F.when(F.length(x) > LONG, F.regexp_extract_all(x, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).otherwise(F.array(x))
+        inner = lambda x: F.when(F.length(x) > LONG, F.flatten(F.transform(F.split(F.regexp_replace(x, INNER_END, MARK), MARK, -1), pieces))).otherwise(F.array(x))
+        cut = F.when(F.exists(runs, lambda x: F.length(x) > LONG), F.flatten(F.transform(runs, inner))).otherwise(runs)
+        return F.transform(cut, leaf)
 
-        def sections(ends: Column) -> Column:
-            before = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.element_at(ends, F.greatest(k, F.lit(1))))
-            return F.transform(ends, lambda e, k: F.sha2(F.array_join(F.slice(digests, before(k) + 1, e - before(k)), ""), 256))
+    def paragraph(p: Column, marked: Column) -> Column:
+        leaves = leaves_of(F.split(marked, MARK, -1))
+        return let(leaves, lambda x: F.struct(F.sha2(F.concat_ws(MARK, p, F.array_join(x.cast("array<string>"), ",")), 256).alias("digest"), x.alias("leaves")))
 
-        return F.struct(let(ends, sections).alias("sections"), n.alias("n"))
+    def grouped(paragraphs: Column) -> Column:
+        n = F.size(paragraphs)
+        digest = lambda i: F.element_at(paragraphs, i)["digest"]
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | digest(i).substr(1, 1).isin("0", "4", "8", "c"))
 
-    def whole(paragraphs: Column) -> Column:
-        def hashed(runs: Column) -> Column:  # a run without an end of its own is cut by length
-            cut = lambda x: F.when(F.length(x) > 200, F.transform(F.regexp_extract_all(x, F.lit("(?s).{1,64}"), F.lit(0)), lambda y: F.hash(y))).otherwise(F.array(F.hash(x)))
-            return F.when(F.exists(runs, lambda x: F.length(x) > 200), F.flatten(F.transform(runs, cut))).otherwise(F.transform(runs, lambda x: F.hash(x)))
+        def sections(ends: Column) -> Column:
+            before = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.element_at(ends, F.greatest(k, F.lit(1))))
+            return F.transform(ends, lambda e, k: F.sha2(F.array_join(F.transform(F.slice(paragraphs, before(k) + 1, e - before(k)), lambda p: p["digest"]), ""), 256))
 
-        leaves = F.filter(let(F.split(text, LEAF_END, -1), hashed), lambda x: x != 42)  # 42: the hash of an empty leaf
-        top = let(F.transform(paragraphs, lambda p: F.sha2(p, 256)), grouped)
         return let(
-            top,
-            lambda t: F.struct(
-                F.sha2(F.concat_ws(",", F.size(t["sections"]).cast("string"), F.array_join(t["sections"], "")), 256).alias("root"),
-                t["sections"].alias("sections"),
-                t["n"].alias("n_paragraphs"),
-                F.array_distinct(leaves).alias("leaves"),
+            let(ends, sections),
+            lambda s: F.struct(
+                F.sha2(F.concat_ws(",", F.size(s).cast("string"), F.array_join(s, "")), 256).alias("root"),
+                s.alias("sections"),
+                n.alias("n_paragraphs"),
+                F.array_distinct(F.filter(F.flatten(F.transform(paragraphs, lambda p: p["leaves"])), lambda x: x.bitwiseAND(LENGTH) > 0)).alias("leaves"),
             ),
         )
 
-    return let(F.split(text, "\n", -1), whole)
+    marked = F.regexp_replace(text, LEAF_END, "$0" + MARK)
+    return let(F.zip_with(F.split(text, "\n", -1), F.split(marked, "\n", -1), paragraph), grouped)
 
 
 def likeness(root_a: Column, leaves_a: Column, root_b: Column, leaves_b: Column) -> Column:
-    both = F.size(leaves_a) + F.size(leaves_b)
-    dice = F.lit(2.0) * F.size(F.array_intersect(leaves_a, leaves_b)) / F.greatest(both, F.lit(1))
+    size = lambda leaves: F.aggregate(leaves, F.lit(0).cast("long"), lambda s, x: s + x.bitwiseAND(LENGTH))
+    both = size(leaves_a) + size(leaves_b)
+    dice = F.lit(2.0) * size(F.array_intersect(leaves_a, leaves_b)) / F.greatest(both, F.lit(1))
     return F.when(root_a == root_b, 1.0).otherwise(F.least(dice, F.lit(1.0) - F.lit(1.0) / (both + 2)))
 
 
@@ -85,25 +105,56 @@ def edit_span(a: Column, b: Column) -> Column:
     )
 
 
-def in_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
-    """``docs`` (doc_id, text) with ``block``, their range of ids, and ``last``: 1 for a copy of the next block's first row.
+def planned(sizes: list, target: float) -> tuple[list[int], list[int], dict[int, object]]:
+    """(first block, number of blocks) of each bucket of ids, and the least id of each block.
 
-    The cut points are quantiles, as many as the session has shuffle partitions, and so are the first
-    ids: nothing else reaches the driver. Every block has a row of its own.
+    Neighbouring buckets share a block up to ``target`` bytes; a bucket of one id that is larger has several.
+    """
+    known = {r["bucket"]: r for r in sizes}
+    first, parts, least, block, held = [], [], {}, -1, target
+    for k in range(max(known, default=0) + 1):
+        r = known.get(k)
+        alone = r is not None and r["lo"] == r["hi"] and r["bytes"] > 2 * target
+        if r is not None and (alone or held >= target or k == 1 and 0 in known):  # null ids, bucket 0, have blocks of their own
+            block, held = block + 1, 0
+        first.append(max(block, 0))
+        parts.append(-(-int(r["bytes"]) // max(int(target), 1)) if alone else 1)
+        if r is not None:
+            for b in range(block, block + parts[-1]):
+                least.setdefault(b, r["lo"])
+            held += r["bytes"]
+        if alone:
+            block, held = block + parts[-1] - 1, target
+    return first, parts, least
+
+
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, h) with ``block``, their range of ids, and ``last``: 1 for a copy of the next block's first row.
+
+    Blocks are of like size in bytes; rows of one id that are too many for a block are cut by ``h``. One row per bucket
+    of ids (eight times as many as blocks) is all that reaches the driver.
     """
     n = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    marks = [i / n for i in range(1, n)]
-    seen = docs.agg(F.min("doc_id").alias("least"), F.percentile_approx("doc_id", marks, 1000 * n if n < 100 else 100_000).alias("cuts")).first()
-    cuts = sorted({c for c in seen["cuts"] or [] if c > seen["least"]})
-    block = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    docs = docs.withColumn("block", F.when(F.col("doc_id").isNull(), 0).otherwise(block).cast("int"))
-    firsts = docs.groupBy("block").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("null_first")).collect()
-    ids = [r["first"] for r in firsts if r["first"] is not None and not r["null_first"]]
-    head = docs.filter(F.col("doc_id").isin(ids) | (F.col("doc_id").isNull() if any(r["null_first"] for r in firsts) else F.lit(False)))
-    head = head.withColumn("k", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).filter("k = 1").drop("k")
-    blocks = len(firsts)
-    head = head.withColumn("block", F.pmod(F.col("block") - 1, F.lit(max(blocks, 1))))
-    return docs.withColumn("last", F.lit(0)).unionByName(head.withColumn("last", F.lit(1))), blocks
+    total = docs.agg(F.sum(F.octet_length("text") + 64).alias("bytes")).first()["bytes"] or 0
+    n = max(n, total // BLOCK_BYTES)
+    seen = docs.agg(F.percentile_approx("doc_id", [i / (8 * n) for i in range(1, 8 * n)], max(10_000, 80 * n)).alias("cuts")).first()
+    cuts = seen["cuts"] or []
+    often = {c + 1 for c, d in zip(cuts, cuts[1:], strict=False) if c == d}  # an id of many rows has a bucket to itself
+    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(cuts_up_to(sorted(often.union(cuts)), F.col("doc_id")) + 1)
+    sizes = docs.groupBy(bucket.alias("bucket")).agg(F.sum(F.octet_length("text") + 64).alias("bytes"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).collect()
+    first, parts, least = planned(sizes, total / n)
+    docs = docs.withColumn("bucket", bucket)
+    of = lambda table: F.element_at(F.lit(table), F.col("bucket") + 1)
+    sub = F.shiftright((F.shiftright("h", 32) + F.lit(1 << 31)) * of(parts), 32).cast("int") if max(parts) > 1 else F.lit(0)
+    docs = docs.withColumn("block", (of(first) + sub).cast("int")).drop("bucket")
+    ids = [x for x in least.values() if x is not None]
+    head = docs.filter(F.col("doc_id").isin(ids) | (F.col("doc_id").isNull() if len(ids) < len(least) else F.lit(False)))
+    head = head.groupBy("block").agg(F.min_by(F.struct("doc_id", "text", "h"), F.struct("doc_id", "h")).alias("r")).select("r.*", "block")
+    there = sorted(r["block"] for r in head.select("block").collect()) if max(parts) > 1 else sorted(least)
+    before = {b: there[k - 1] for k, b in enumerate(there)}  # that of the first is the last: the order is a ring
+    table = [before.get(b, 0) for b in range(max(there, default=0) + 1)]
+    head = head.withColumn("block", F.element_at(F.lit(table), F.col("block") + 1)).withColumn("last", F.lit(1))
+    return own_partitions(docs.withColumn("last", F.lit(0)).unionByName(head), max(n, len(table)), F.col("block"), "block")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
@@ -111,8 +162,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     Texts are shuffled once, by range of ids; the next row of a range is read over a sorted window.
     """
-    docs, blocks = in_blocks(docs.select("doc_id", text_or_empty().alias("text")))
-    docs = docs.repartition(max(blocks, 1), "block").select("doc_id", "block", "last", "text", F.xxhash64("text").alias("h"), tree(F.col("text")).alias("t"))
+    docs = in_blocks(docs.select("doc_id", text_or_empty().alias("text")).withColumn("h", F.xxhash64("text")))
+    docs = docs.select("doc_id", "block", "last", "text", "h", tree(F.col("text")).alias("t"))
     here = W.partitionBy("block").orderBy("last", F.col("doc_id").asc_nulls_first(), "h")
     following = F.lead(F.struct("text", F.col("t.root").alias("root"), F.col("t.leaves").alias("leaves"))).over(here)
     both = docs.withColumn("following", following).filter("last = 0")

@@ -11,7 +11,8 @@ every range that its interval meets, so the ranges are swept on their own, in pa
 holds pages in proportion, never all of a host.
 
 Defined cases: null url, or one without ``://``: empty host and path, no rule fits. Repeated
-rows are judged each on its own; an empty table gives no rows. Extra columns stay out.
+rows are judged each on its own; a very long url is a key as any other; an empty table gives no
+rows. Extra columns stay out.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import cuts_up_to, own_partitions
+
 #: (verdict, host, path prefix)
 RULES = (
     ("allow", "org", "/"),
@@ -102,8 +105,7 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
     seen = p.select("spread", F.xxhash64("spread").alias("h")).orderBy("h").limit(40 * n).select("spread").collect()
     cuts = sorted({r["spread"] for r in seen}, key=lambda s: s.encode())
     cuts = sorted(set(cuts[:: max(1, len(cuts) // n)]), key=lambda s: s.encode())
-    cuts_array = F.array(*[F.lit(c) for c in cuts]) if cuts else None
-    where = F.size(F.filter(cuts_array, lambda c: c <= F.col("spread"))) if cuts else F.lit(0)
+    where = cuts_up_to(cuts, F.col("spread"))
     p = p.withColumn("range", where.cast("int")).select("range", "key", F.lit(1).alias("is_page"), "page_id", "host", "path", F.lit(None).cast("string").alias("verdict"))
     table = _ranges(rules, cuts)
     id_type = pages.schema["page_id"].dataType.simpleString()
@@ -111,6 +113,6 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
     if not table:
         r = r.limit(0)
     r = r.select("range", "key", F.lit(0).alias("is_page"), F.lit(None).cast(id_type).alias("page_id"), "host", "path", "verdict")
-    both = p.unionByName(r).repartition(max(n, len(cuts) + 1), "range").sortWithinPartitions("range", "key", "is_page", F.length("path"))
+    both = own_partitions(p.unionByName(r), max(n, len(cuts) + 1), F.col("range"), "range").sortWithinPartitions("range", "key", "is_page", F.length("path"))
     out = both.mapInPandas(sweep, f"page_id {id_type}, host string, path string, rule string, verdict string")
     return out.withColumn("verdict", F.coalesce("verdict", F.lit(default)))

@@ -69,3 +69,21 @@ def test_query(spark, sf):
     rows += [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in op1_chat(spark, sf).collect()}
     assert got == expected(rows)
+
+
+def test_a_large_system_turn_leaves_its_windows_within_the_budget(spark):
+    rows = [(1, 0, "system", "rule " * 950)] + [(1, i, "user" if i % 2 else "assistant", "word " * (i % 9 + 1)) for i in range(1, 200)]
+    windows = check(spark, rows).collect()
+    assert 1904 <= max(w.tokens for w in windows) <= 2048 and not any(w.over_budget for w in windows)
+    assert all(w.formatted.startswith("<s>[INST]system[/INST]rule rule") for w in windows)
+
+
+def test_a_long_turn_takes_the_place_of_history(spark):
+    rows = [(1, 0, "system", "rule " * 150)] + [(1, i, "user" if i % 2 else "assistant", "word " * (700 if i % 5 == 0 else 40)) for i in range(1, 60)]
+    assert not any(w.over_budget for w in check(spark, rows).collect())
+
+
+def test_turns_without_numbers_are_sliced(spark):
+    rows = [(1, None, "user" if i % 2 else "assistant", f"{i % 700} says something") for i in range(3000)] + [(1, 5, "system", "late")] + [(2, 7, "assistant", "alike")] * 1500
+    windows = check(spark, rows)
+    assert windows.filter("over_budget").count() == 0

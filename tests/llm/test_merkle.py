@@ -51,3 +51,31 @@ def test_likeness_orders_texts(spark, sf):
     rows = merkle.fingerprint_edits(spark.read.parquet(f"{sf}/documents.parquet")).collect()
     long = [r for r in rows if r.n_chars > 300]
     assert sum(r.near_edited > r.near_next for r in long) > 0.97 * len(long)
+
+
+def test_an_insertion_moves_no_border_in_any_script(spark):
+    import random
+
+    r = random.Random(1)
+    alphabets = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщ", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"}
+    texts = {k: " ".join("".join(r.choice(a) for _ in range(r.randrange(2, 9))) for _ in range(300)) for k, a in alphabets.items()}
+    texts["han"] = "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(1500))
+    texts["kana"] = "".join(chr(r.randrange(0x3041, 0x3097)) for _ in range(1500))
+    texts["hangul"] = " ".join("".join(chr(r.randrange(0xAC00, 0xD7A3)) for _ in range(3)) for _ in range(300))
+    texts["digits"] = "".join(r.choice("0123456789abcdef") for _ in range(4000))
+    df = spark.createDataFrame([(k, t, t[:1] + "x" + t[:2] + " " + t) for k, t in texts.items()], "k string, a string, b string")
+    t = df.select("k", merkle.tree(F.col("a")).alias("a"), merkle.tree(F.col("b")).alias("b"))
+    got = {r.k: r.v for r in t.select("k", merkle.likeness(F.col("a.root"), F.col("a.leaves"), F.col("b.root"), F.col("b.leaves")).alias("v")).collect()}
+    assert all(0.9 < v < 1 for v in got.values()), got
+
+
+def test_one_id_for_many_rows_is_cut_into_blocks(spark, make_docs):
+    texts = [f"text {i} " * 40 for i in range(400)]
+    df = make_docs(*texts, ids=[5 if i < 300 else i for i in range(400)]).repartition(3)
+    blocks = merkle.in_blocks(df.select("doc_id", "text").withColumn("h", F.xxhash64("text")))
+    assert max(r.n for r in blocks.filter("last = 0").groupBy("block").agg(F.count("*").alias("n")).collect()) < 120
+    out = merkle.fingerprint_edits(df)
+    h = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(((i if i >= 300 else 5, h[t], t) for i, t in enumerate(texts)))
+    want = sorted((k, hashlib.sha256((t[: len(t) - len(t) // 4] + order[(n + 1) % 400][2][: len(t) // 4]).encode()).hexdigest()) for n, (k, _, t) in enumerate(order))
+    assert sorted((r.doc_id, r.edited_sha256) for r in out.collect()) == want
