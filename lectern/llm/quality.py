@@ -1,17 +1,18 @@
 """Document quality by a byte-level convolutional network in numpy.
 
 A document is read as UTF-8 bytes, whole. Learned filters of ``WIDTH`` bytes slide over every
-byte, and so do filters for repetition, which count over ``BOX`` bytes how many equal the byte so
-many places before. All responses are max-pooled over overlapping chunks of ``2 * HALF`` bytes
-that cover the document, a small dense layer turns each chunk into one junk logit, the logits are
-max-pooled over the chunks and a sigmoid gives the probability of label 1.
-
-Fitting uses a bounded sample of labelled rows (``max_rows``, texts of at most ``max_chars``),
-chosen by hash, without the held-out fifth; scoring covers every document. Only the text is an
-input of a score.
-
-Defined cases: null or empty text scores as a document of one empty chunk; without labels, or
-with one class only, every score is the mean label (1 without labels); a null id is not held out.
+byte. Their responses are max-pooled over overlapping chunks of ``2 * HALF`` bytes that cover the
+document, a small dense layer turns each chunk into one junk logit, the logits are max-pooled over
+the chunks and a sigmoid gives the probability of label 1.
+
+Fitting uses a bounded sample of labelled rows (``max_rows`` rows of ``max_chars`` characters in
+all), chosen by hash, without the held-out fifth; scoring covers every document. Only the text is
+an input of a score.
+
+Defined cases: null or empty text scores as a document of one empty chunk; a very long text is read
+block by block; without labels, or with one class only, every score is the mean label (1 without
+labels); a null id is not held out; repeated rows are scored each; an empty table gives no rows; a
+column named as one of the results gives way to it.
 """
 
 from __future__ import annotations
@@ -23,8 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WIDTH, FILTERS, HIDDEN, HALF = 6, 16, 12, 128
-BOX, LAGS = 32, range(2, 33)
+WIDTH, FILTERS, HIDDEN, HALF = 4, 32, 24, 64
 BLOCK = 1 << 18
 
 
@@ -40,7 +40,7 @@ class Network:
         self.w = {
             "conv": r.normal(0, 0.5, (WIDTH, 256, FILTERS)).astype(np.float32),
             "bias": np.zeros(FILTERS, np.float32),
-            "dense": r.normal(0, 0.3, (FILTERS + 2, HIDDEN)).astype(np.float32),
+            "dense": r.normal(0, 0.3, (FILTERS + 1, HIDDEN)).astype(np.float32),
             "hidden": np.zeros(HIDDEN, np.float32),
             "out": r.normal(0, 0.3, HIDDEN).astype(np.float32),
             "shift": np.full(1, -1.0, np.float32),
@@ -52,30 +52,24 @@ class Network:
         return self.__dict__ | {"tables": None}  # large, and quick to make again
 
     def prepare(self) -> None:
-        """Tables of the response to two bytes at once: a third of the look-ups, no multiplication."""
+        """Tables of the response to two bytes at once, for scoring: half of the look-ups, no multiplication."""
         c = self.w["conv"]
         self.tables = [(c[j][:, None, :] + c[j + 1][None, :, :]).reshape(65536, FILTERS) for j in range(0, WIDTH, 2)]
 
     def responses(self, raw: np.ndarray) -> np.ndarray:
         """(positions, filters) of zero-padded bytes."""
-        two = (raw[:-1].astype(np.int32) << 8) | raw[1:]
         n = len(raw) - WIDTH + 1
+        if self.tables is None:
+            out = self.w["conv"][0][raw[:n]]
+            for j in range(1, WIDTH):
+                out += self.w["conv"][j][raw[j : j + n]]
+            return out
+        two = (raw[:-1].astype(np.int32) << 8) | raw[1:]
         out = self.tables[0][two[:n]]
         for j in range(1, WIDTH // 2):
             out += self.tables[j][two[2 * j : 2 * j + n]]
         return out
 
-    @staticmethod
-    def repeats(raw: np.ndarray) -> np.ndarray:
-        """For each half chunk of zero-padded bytes, the strongest repetition at any lag: 0 to 1."""
-        n = len(raw) // HALF * HALF
-        best = np.zeros(n // BOX, np.uint8)
-        for lag in LAGS:
-            same = np.zeros(n, bool)
-            same[lag:] = (raw[lag:n] == raw[: n - lag]) & (raw[lag:n] != 0)
-            np.maximum(best, same.reshape(-1, BOX).view(np.uint8).sum(axis=1, dtype=np.uint8), out=best)
-        return best.reshape(-1, HALF // BOX).max(axis=1).astype(np.float32) / BOX
-
     def pooled(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Filter maxima of each half chunk, with the share of it that is text."""
         n = max(1, len(raw))
@@ -86,12 +80,7 @@ class Network:
             piece = np.zeros(max(1, end - at) + WIDTH - 1, np.uint8)
             there = np.frombuffer(raw[at : end + WIDTH - 1], np.uint8)
             piece[: len(there)] = there
-            top = np.maximum.reduceat(self.responses(piece), np.arange(0, max(1, end - at), HALF), axis=0)
-            lead = LAGS[-1] if at else 0  # what came before, for the lags
-            padded = np.zeros(HALF * (lead > 0) + len(top) * HALF, np.uint8)
-            seen = np.frombuffer(raw[at - lead : end], np.uint8)
-            padded[HALF * (lead > 0) - lead :][: len(seen)] = seen
-            parts.append(np.column_stack([top, self.repeats(padded)[int(lead > 0) :]]))
+            parts.append(np.maximum.reduceat(self.responses(piece), np.arange(0, max(1, end - at), HALF), axis=0))
         share = np.full(halves, 1.0, np.float32)
         share[-1] = (len(raw) - (halves - 1) * HALF) / HALF
         return np.concatenate(parts), share, np.arange(halves) * HALF
@@ -104,8 +93,7 @@ class Network:
         return np.maximum(maxima[:-1], maxima[1:]), (share[:-1] + share[1:]) / 2
 
     def logits(self, pool: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = np.maximum(pool[:, :FILTERS] + self.w["bias"], 0)
-        x = np.concatenate([x, share[:, None], pool[:, FILTERS:]], axis=1)
+        x = np.concatenate([np.maximum(pool + self.w["bias"], 0), share[:, None]], axis=1)
         h = np.tanh(x @ self.w["dense"] + self.w["hidden"])
         return h @ self.w["out"] + self.w["shift"], x, h
 
@@ -147,7 +135,6 @@ class Network:
         for (_, b), s, k in zip(small, start, last, strict=False):
             end = s + max(1, len(b))
             maxima[k] = r[k * HALF : end].max(axis=0)
-        maxima = np.column_stack([maxima, self.repeats(raw[: start[-1]])])
         share = np.ones(len(maxima), np.float32)
         share[last] = (np.array([len(x[1]) for x in small]) - (halves - 1) * HALF) / HALF
         first = start[:-1] // HALF
@@ -156,7 +143,7 @@ class Network:
         one = halves == 1
         index = np.concatenate([np.arange(f, f + max(1, h - 1)) for f, h in zip(first, halves, strict=True)])
         owner = np.repeat(np.arange(len(small)), np.maximum(1, halves - 1))
-        pool, fill = np.empty((len(index), FILTERS + 1), np.float32), np.empty(len(index), np.float32)
+        pool, fill = np.empty((len(index), FILTERS), np.float32), np.empty(len(index), np.float32)
         alone = one[owner]
         pool[alone], fill[alone] = maxima[index[alone]], share[index[alone]] / 2
         pool[~alone], fill[~alone] = both[index[~alone]], both_share[index[~alone]]
@@ -174,7 +161,7 @@ class Network:
         if len(texts) == 0 or labels.min() == labels.max():
             self.constant = float(labels.mean()) if len(texts) else 1.0
             return self
-        raws = [t.encode("utf-8", "replace") for t in texts]
+        raws, self.tables = [t.encode("utf-8", "replace") for t in texts], None
         junk = 1.0 - labels
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
@@ -185,7 +172,6 @@ class Network:
         for _ in range(epochs):
             order = r.permutation(len(raws))
             for at in range(0, len(order), batch):
-                self.prepare()
                 g = {k: np.zeros_like(v) for k, v in self.w.items()}
                 for i in order[at : at + batch]:
                     self._gradient(raws[i], junk[i], g)
@@ -224,30 +210,30 @@ class Network:
             np.add.at(g["conv"][j], (piece[place + j], f), dx)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_chars: int = 12_000, seed: int = 7) -> Network:
-    """Fit on at most ``max_rows`` labelled, not held-out documents of at most ``max_chars`` characters.
+def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_chars: int = 8_000_000, seed: int = 7) -> Network:
+    """Fit on labelled, not held-out documents: in the order of a hash of their ids, as many as have ``max_chars`` characters in all, ``max_rows`` at most.
 
-    At most ``max_rows * max_chars`` characters reach the driver, whatever the size of the corpus.
+    Ids and lengths of ``max_rows`` rows, and those characters, are all that reaches the driver, whatever the size of the corpus.
     """
-    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~held_out(F.col("doc_id"))).select("doc_id", "quality")
-    short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= max_chars)
-    # the sample is drawn from ids alone, so that only its texts travel
-    ids = short.select("doc_id").join(known, "doc_id").select("doc_id", F.xxhash64("doc_id", F.lit(seed)).alias("h")).distinct().orderBy("h", "doc_id").limit(max_rows)
-    chosen = F.broadcast(known.join(F.broadcast(ids.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality")))
-    rows = short.join(chosen, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "text").limit(2 * max_rows).collect()
-    return Network(seed).fit([r["text"] for r in rows], np.array([float(r["quality"] > 0) for r in rows]))
-
-
-def bounded_batches(spark, rows: int = 1000) -> None:
-    """Arrow batches of few rows, so that a batch of long texts fits into a worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    order = F.xxhash64("doc_id", F.lit(seed))
+    # the sample is drawn from ids and lengths alone, so that only its texts travel
+    rows = texts.select("doc_id", F.length("text").alias("n")).join(known, "doc_id").withColumn("h", order).orderBy("h", "doc_id", "n").limit(max_rows).collect()
+    chosen, left = {}, max_chars
+    for r in rows:
+        if r["n"] <= left:
+            chosen[r["doc_id"]] = r["quality"]
+            left -= r["n"]
+    if not chosen:
+        return Network(seed).fit([], np.zeros(0))
+    ids = F.broadcast(docs.sparkSession.createDataFrame(list(chosen.items()), labels.select("doc_id", "quality").schema))
+    sample = texts.join(ids, "doc_id").orderBy(order, "doc_id", "text").limit(max_rows).collect()
+    return Network(seed).fit([r["text"] for r in sample], np.array([float(r["quality"] > 0) for r in sample]))
 
 
 def score_quality(docs: DataFrame, network: Network, threshold: float = 0.3) -> DataFrame:
     """All columns of ``docs`` and held_out, score, predicted, of every whole text."""
-    bounded_batches(docs.sparkSession)
-
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
