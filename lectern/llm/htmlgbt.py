@@ -11,25 +11,26 @@ The trees are fitted on the driver, in a few seconds, on pages made up by a seed
 (:func:`made_up_pages`): many layouts, with and without speaking tags. Nothing of the corpus is
 needed, and every page gets the same model at any size.
 
-Defined cases: null html is empty and gives empty text; comments, scripts, styles, forms and the
-head never give text; unclosed and stray tags are mended as browsers do; a line break inside a
-block is white space; rows are taken each on its own; an empty table gives no rows.
+Defined cases: null html is empty and gives empty text; comments, scripts, styles, the fields of forms
+and the head never give text (what else stands in a form is judged by the trees, as some pages are one
+form); unclosed and stray tags are mended as browsers do; a line break inside a block is white space; a
+very long page is read in time and memory proportional to its length, however deep its tags; rows are taken each
+on its own; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from lectern.llm.quality import bounded_batches
-
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>?", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _PUNCTUATION = re.compile(r"[.,;:!?]")
@@ -39,6 +40,7 @@ SKIPPED = frozenset("script style noscript template svg math head title textarea
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+HOLDS_P = ("td", "th", "li", "blockquote")
 ITEMS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("tr td th thead tbody", "table"), "thead": ("", "table")}
 ITEMS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ITEMS.items()}
 
@@ -113,9 +115,11 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack, names = [0], ["#root"]
+        places: dict[str, list[int]] = {}  # of each open tag's name: its places in the stack, rising
         parts: list[str] = []
         link, linked, at = 0, 0, 0
         leaf = _tag_class("text")
+        unclosed: set[str] = set()  # tags with no end tag in the rest of the page
 
         def flush() -> None:
             nonlocal linked
@@ -127,9 +131,14 @@ class Page:
                 parts.clear()
             linked = 0
 
-        def pop() -> None:
-            self.end[stack.pop()] = len(self.parent)
-            names.pop()
+        def pop_to(depth: int) -> None:
+            while len(stack) > depth:
+                self.end[stack.pop()] = len(self.parent)
+                places.get(names.pop(), _NONE).pop()
+
+        def last(tags: Iterable[str]) -> int:
+            """The highest place of any of the tags, 0 (the root's) if none is open."""
+            return max((places[x][-1] for x in tags if places.get(x)), default=0)
 
         def say(raw: str) -> None:
             nonlocal linked
@@ -164,40 +173,39 @@ class Page:
                     parts.append(" ")
                 continue
             if tag in SKIPPED:
-                if not closing:
-                    if tag == "head":  # its elements are skipped by name; it may lack an end
-                        continue
-                    close = _CLOSERS[tag].search(source, at)
-                    at = close.end() if close else n if tag in ("script", "style") else at
+                if not closing and tag != "head":  # the head's elements are skipped by name; it may lack an end
+                    close = None if tag in unclosed else _CLOSERS[tag].search(source, at)
+                    if close:
+                        at = close.end()
+                    else:
+                        unclosed.add(tag)
+                        at = n if tag in ("script", "style") else at
                 continue
             flush()
             if closing:
-                if tag in names:
-                    while names[-1] != tag:
-                        pop()
-                    pop()
+                if places.get(tag):
+                    pop_to(places[tag][-1])
                 link = 0 if tag in ENDS_P else link
                 continue
-            if tag in ENDS_P and "p" in names:
-                k = len(names) - 1 - names[::-1].index("p")
-                if not any(x in ("td", "th", "li", "blockquote") for x in names[k:]):
-                    while len(names) > k:
-                        pop()
+            if tag in ENDS_P and places.get("p"):
+                k = places["p"][-1]
+                if last(HOLDS_P) < k:
+                    pop_to(k)
             if tag in ITEMS:
                 shut, stop = ITEMS[tag]
-                k = len(names) - 1
-                while k > 0 and names[k] not in stop:
-                    if names[k] in shut:
-                        while len(names) > k:
-                            pop()
-                    k -= 1
+                barrier = last(stop)
+                ends = [x[bisect_right(x, barrier)] for x in (places.get(t, _NONE) for t in shut) if x and x[-1] > barrier]
+                if ends:
+                    pop_to(min(ends))
+            places.setdefault(tag, []).append(len(stack))
             stack.append(self._node(stack[-1], _tag_class(tag), flags(tag, m[3]), None, 0))
             names.append(tag)
         flush()
-        while stack:
-            pop()
+        pop_to(1)
+        self.end[0] = len(self.parent)
 
 
+_NONE: list[int] = []
 _CLOSERS = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in SKIPPED}
 
 
@@ -441,7 +449,6 @@ def main_texts(sources: list[str], trees: Trees) -> list[str]:
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html)."""
-    bounded_batches(pages.sparkSession)
     trees = fitted_trees()
     id_type = pages.schema["page_id"].dataType.simpleString()
 

@@ -37,3 +37,20 @@ def test_the_article_of_every_page(spark, sf):
         article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1].replace("<br>", " ").replace("<b>", "").replace("</b>", "")
         blocks = (" ".join(html.unescape(b).split()) for b in re.split(r"</?(?:p|h1|ul|li)>", article))
         assert r.text == "\n\n".join(b for b in blocks if b)
+
+
+def test_time_is_linear_in_hostile_pages():
+    import time
+
+    trees = H.fitted_trees()
+    for unit in ("<div>", "<iframe>x ", "<li>a<ul>", "<table><tr><td>", "<a \" '", "<!--x"):
+        began = time.perf_counter()
+        H.main_texts([unit * (400_000 // len(unit))], trees)
+        assert time.perf_counter() - began < 10, unit
+
+
+def test_tags_are_mended_at_any_depth():
+    p = H.Page("<div><ul><li>a<div>b<li>c</div></ul><table><tr><td>d<p>e<table><tr><td>f</table>g<td>h</table><p>i<p>j<p>k<iframe>")
+    assert [t for t in p.text if t] == list("abcdefghijk")
+    parents = [p.parent[k] for k, t in enumerate(p.text) if t]
+    assert len(set(parents)) == 11 - 2 and all(e > k for k, e in enumerate(p.end))
