@@ -10,7 +10,8 @@ run again, and memory is bounded by ``group_tokens`` ids at a time. What is left
 that does not fill a bin goes out in pieces of powers of two, which need no padding.
 
 Defined cases: null or empty text has only the end id; a document longer than a sequence gives
-full pieces; repeated rows are packed each on its own; an empty table gives no rows.
+full pieces, and a very long one is tokenized piece by piece between words; repeated rows are packed each on
+its own; columns but doc_id and text are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,8 +28,6 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lectern.llm.quality import bounded_batches
-
 
 @dataclass(frozen=True)
 class Limits:
@@ -41,6 +40,9 @@ class Limits:
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Python's str.split parts words at these four too; they are no white space in Unicode.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+_SPACE = re.compile("[ \t\n]")
+#: A text of twice as many characters is tokenized in pieces of about so many.
+PIECE = 1 << 20
 
 
 class WordCache:
@@ -61,13 +63,15 @@ class WordCache:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        # words may be learned by their letters only where the tokenizer itself lower-cases them
+        self.by_letters = bool(self.closes.any()) and self._direct(["Ab ÉÀ ZEBRA, ok!"]) == self._direct(["ab éà zebra, ok!"])
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new words: letters and the marks after them are known apart, and far fewer."""
-        if not self.closes.any():
+        if not self.by_letters:
             self.new.update(zip(words, self._direct(words), strict=True))
             return
         parts = [(w, _PLAIN.fullmatch(w)) for w in words]
@@ -89,6 +93,11 @@ class WordCache:
             self.marks = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if any(len(t) > 2 * PIECE for t in texts):
+            return [b"".join(x for p in pieces(t) for x in self._encode([p])) for t in texts]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         words = [t.split() for t in texts]
         missing = set().union(*words).difference(self.new)
         known = [w for w in missing if w in self.old]
@@ -107,6 +116,16 @@ class WordCache:
         return out
 
 
+def pieces(text: str) -> Iterator[str]:
+    """A long text in pieces of whole words, so that its words are not all held at once."""
+    at = 0
+    while at < len(text):
+        m = _SPACE.search(text, at + PIECE)
+        end = m.start() if m else len(text)
+        yield text[at:end]
+        at = end
+
+
 @lru_cache(maxsize=2)
 def word_cache(path: str) -> WordCache:
     return WordCache(path)
@@ -214,7 +233,6 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limits: Limits =
     All tokens of a document bear loss here; :func:`place` takes other shares, for instruction data.
     A sequence_id holds the number of the input split above and the number within it below.
     """
-    bounded_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from lectern.llm.packing import Limits, WordCache, pack, place
+from lectern.llm.packing import Limits, WordCache, halve_open, pack, place
 from lectern.llm.queries import tokenizer_path
 
 LIMITS = Limits(tokens=64, segments=5, loss=40)
@@ -67,3 +67,82 @@ def test_rows(spark, make_docs, group):
         at[r.sequence_id] = r.offset + r.length
     assert all(n <= 4096 and n & (n - 1) == 0 for n in at.values())
     assert pack(make_docs("x").limit(0), tokenizer_path()).count() == 0
+
+
+def plain_place(tokens, share, limits):
+    """The same greedy rule document by document: the largest dot product, then the smaller needs, then the lower index."""
+    caps = (limits.tokens, limits.segments, limits.loss)
+    left, start, bins, out = [int(t) for t in tokens], [0] * len(tokens), 0, []
+    need = lambda i: int(np.ceil(left[i] * share[i]))
+    for i in range(len(left)):
+        whole = max(1, int(min(limits.tokens, np.floor(limits.loss / max(share[i], 1e-9)) if share[i] > 0 else limits.tokens)))
+        while left[i] >= whole:
+            out.append((i, start[i], whole, bins, 0))
+            left[i], start[i], bins = left[i] - whole, start[i] + whole, bins + 1
+    open_, back = [i for i in range(len(left)) if left[i]], 0
+    order = {i: i for i in open_}  # a cut document goes to the front of its equals
+    while open_:
+        room, offset = [limits.tokens, limits.segments, limits.loss], 0
+        while open_ and min(room) > 0:
+            fits = [i for i in open_ if left[i] <= room[0] and need(i) <= room[2]]
+            if fits:
+                score = lambda i: left[i] / caps[0] * room[0] / caps[0] + 1 / caps[1] * room[1] / caps[1] + need(i) / caps[2] * room[2] / caps[2]  # noqa: B023, E731
+                best = max(score(i) for i in fits)
+                i = min((i for i in fits if score(i) >= best - 1e-12), key=lambda i: (left[i], need(i), order[i]))
+                length = left[i]
+            else:
+                i = min((i for i in open_ if (left[i], need(i)) == max((left[j], need(j)) for j in open_)), key=lambda i: order[i])
+                length = int(min(room[0], left[i], np.floor(room[2] / share[i]) if share[i] > 0 else room[0]))
+                if length < 1:
+                    break
+            out.append((i, start[i], length, bins, offset))
+            loss = int(np.ceil(length * share[i]))
+            left[i], start[i], offset = left[i] - length, start[i] + length, offset + length
+            room = [room[0] - length, room[1] - 1, room[2] - loss]
+            if left[i]:
+                back -= 1
+                order[i] = back
+            else:
+                open_.remove(i)
+        bins += 1
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 150), st.sampled_from([0.0, 0.5, 1.0])), min_size=0, max_size=30))
+def test_placement_is_that_of_the_plain_greedy_rule(items):
+    tokens, share = np.array([t for t, _ in items], np.int64), np.array([s for _, s in items])
+    fill = lambda pieces: sorted(pieces)
+    assert fill(place(tokens, share, LIMITS)) == fill(halve_open(plain_place(tokens, share, LIMITS), LIMITS))
+
+
+def cased(tmp_path, lower):
+    from tokenizers import models, normalizers, pre_tokenizers
+
+    vocabulary = {c: i for i, c in enumerate("abAB,")} | {c + "</w>": 10 + i for i, c in enumerate("abAB,")} | {"<unk>": 30}
+    t = Tokenizer(models.BPE(vocab=vocabulary, merges=[], unk_token="<unk>", end_of_word_suffix="</w>"))
+    t.pre_tokenizer = pre_tokenizers.Whitespace()
+    if lower:
+        t.normalizer = normalizers.Lowercase()
+    path = str(tmp_path / f"{lower}.json")
+    t.save(path)
+    return path
+
+
+@pytest.mark.parametrize("lower", [True, False])
+def test_a_vocabulary_with_cases_keeps_them(tmp_path, lower):
+    path = cased(tmp_path, lower)
+    t = Tokenizer.from_file(path)
+    c = WordCache(path)
+    texts = ["Ab bA, AB", "ab"]
+    assert c.by_letters == lower
+    assert [np.frombuffer(x, "<u4").tolist() for x in c.encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_very_long_text_in_pieces(monkeypatch):
+    from lectern.llm import packing
+
+    monkeypatch.setattr(packing, "PIECE", 50)
+    text = "Some words, and É漢字 more\n" * 100
+    t = Tokenizer.from_file(tokenizer_path())
+    assert np.frombuffer(WordCache(tokenizer_path()).encode([text, "x"])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
