@@ -8,12 +8,15 @@ steps on the convex dual; each step is one distributed aggregation over the hist
 draw along the size order, so a source's total is off by less than one small document.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; an
-empty table gives no rows; repeated rows are separate documents; other columns pass by.
+empty table gives no rows; repeated rows are separate documents; a very long text is one size more of the
+histogram; other columns pass by, and a source whose rate does not settle is warned of. Sources are ranked in one
+task, a narrow row each: meant for up to some hundred thousands of them.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
@@ -84,6 +87,8 @@ def solve_rates(hist: DataFrame, targets: DataFrame, max_copies: int, max_steps:
         state = spool(s.select("source", "target", "mean", F.when(F.col("near"), F.col("lam")).otherwise(moved).alias("lam"), "lo", "hi", F.col("near").alias("done"), "full"))
         if state.filter(~F.col("done")).isEmpty():
             break
+    else:
+        warnings.warn(f"a source's rate was not within {tolerance} of its target after {max_steps} steps; rounding makes up for the rest", stacklevel=2)
     return state.select("source", "mean", "lam", "full")
 
 

@@ -1,8 +1,11 @@
+import math
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm.mixing import entropy_mix
+from lectern.llm.mixing import entropy_mix, solve_rates
 
 
 def water(sizes, weights, share=1.5, most=2):
@@ -57,3 +60,42 @@ def test_nulls_one_document_and_none(spark, make_docs):
     out = entropy_mix(make_docs(*[t for _, t, _ in rows], sources=[s for _, _, s in rows])).collect()
     assert len(out) == 4 and {r.doc_id: r.size for r in out} == {0: 0, 1: 0, 2: 4, 3: 1}
     assert entropy_mix(make_docs("x").limit(0)).count() == 0
+
+
+def test_the_tilt_is_the_minimum_of_the_dual(spark):
+    """Per source: words of all documents at rates min(2, exp(lam * size / mean)), by bisection in plain Python."""
+    r = random.Random(9)
+    sizes = {s: [int(r.lognormvariate(3, m)) for _ in range(200)] for s, m in (("a", 0.3), ("b", 1.5), (None, 1))}
+    share = {"a": 1.7, "b": 0.4, None: 1.05}
+    hist = spark.createDataFrame([(s, x, 1) for s, xs in sizes.items() for x in xs], "source string, size long, n long").groupBy("source", "size").agg(F.sum("n").alias("n"))
+    targets = spark.createDataFrame([(s, sum(xs), share[s] * sum(xs)) for s, xs in sizes.items()], "source string, source_size long, target double")
+    got = {x.source: x for x in solve_rates(hist, targets, 2).collect()}
+    for s, xs in sizes.items():
+        mean = sum(xs) / len(xs)
+        words = lambda lam: sum(x * min(2.0, math.exp(min(1, lam * x / mean))) if lam * x / mean < 1 else 2.0 * x for x in xs)  # noqa: B023, E731
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if words(middle) < share[s] * sum(xs) else (low, middle)
+        assert abs(got[s].lam - low) < 1e-4 and not got[s].full
+
+
+def test_copies_follow_the_rates(spark, make_docs):
+    """Within each group of one size, the mean number of copies is the tilted rate, but for one large document's words and a copy by rounding."""
+    r = random.Random(4)
+    rows = [(i, " ".join(["w"] * r.choice([5, 20, 80])), "a" if i % 4 else "b") for i in range(4000)]
+    out = entropy_mix(make_docs(*[t for _, t, _ in rows], sources=[s for _, _, s in rows])).toPandas()
+    for (s, size), g in out.groupby(["source", "size"]):
+        mine, target = out[out.source == s], g.target.iloc[0]
+        mean = mine["size"].mean()
+        low, high = -50.0, 50.0
+        for _ in range(100):
+            lam = (low + high) / 2
+            low, high = (lam, high) if (mine["size"] * np.minimum(2, np.exp(np.minimum(1, lam * mine["size"] / mean)))).sum() < target else (low, lam)
+        assert abs(g.copies.mean() - min(2, math.exp(min(1, low * size / mean)))) <= (80 / size + 1) / len(g)
+
+
+def test_a_rate_that_does_not_settle_is_warned_of(spark):
+    hist = spark.createDataFrame([("a", 1, 5), ("a", 900, 3)], "source string, size long, n long")
+    with pytest.warns(UserWarning, match="rate"):
+        solve_rates(hist, spark.createDataFrame([("a", 2705, 2000.0)], "source string, source_size long, target double"), 2, max_steps=1)
