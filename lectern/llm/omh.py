@@ -17,12 +17,15 @@ Exact copies are collapsed first (one representative per distinct text). Leaders
 followers are split over tasks, and components are found by distributed label propagation; nothing is gathered on the driver.
 
 Defined cases: null text is empty; empty texts are exact copies of each other; a text of one to
-four words is one shingle; rows of one doc_id count as one document, rows with a null id are
-classes of their own; an empty table gives no rows.
+four words is one shingle; a very long text is hashed piece by piece; texts are told apart by content, whatever
+their ids: rows of one id with different texts are different documents, rows with a null id are compared as
+all others and come last in their class; repeated rows are one document and one of them is kept; other columns
+are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -31,8 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import spool, text_or_empty
-from lectern.llm.quality import bounded_batches
+from lectern.llm.common import spool, text_digest, text_or_empty
 
 SHINGLE, TABLES, PICK, SKETCH, GROUPS = 5, 16, 3, 256, 64
 #: how far below the threshold a sketch may estimate a pair that is still aligned: 6.4 standard errors of sqrt(0.16 / 256) at 0.8
@@ -43,6 +45,7 @@ U = np.uint64
 LARGEST = U(0xFFFFFFFFFFFFFFFF)
 ODD = U(0x9E3779B97F4A7C15)
 BLOCK = 1 << 20
+_SPACE = re.compile(rb"[ \t-\r]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -73,9 +76,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _power["up"][:n], _power["down"][:n]
 
 
-def labelled_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(labelled shingle hashes in text order, number per text, word count per text), for all texts at once."""
-    raws = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all texts, number of words per text)."""
     data = np.frombuffer(b"\n" + b"\n".join(raws) + b"\n", np.uint8)
     ends = np.cumsum([len(r) + 1 for r in raws])
     space = (data == 32) | ((data >= 9) & (data <= 13))
@@ -85,7 +87,28 @@ def labelled_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndar
     total = np.zeros(len(data) + 1, U)
     np.cumsum((data.astype(U) + U(1)) * up[:-1], out=total[1:])
     word = mix((total[stop] - total[start]) * down[start])
-    words = np.diff(np.searchsorted(start, np.concatenate([[0], ends]), side="right")) if len(raws) else np.zeros(0, int)
+    return word, np.diff(np.searchsorted(start, np.concatenate([[0], ends]), side="right")) if len(raws) else np.zeros(0, int)
+
+
+def pieces(raw: bytes) -> Iterator[bytes]:
+    """A long text in pieces of whole words."""
+    at = 0
+    while at < len(raw):
+        m = _SPACE.search(raw, at + BLOCK)
+        end = m.start() if m else len(raw)
+        yield raw[at:end]
+        at = end
+
+
+def labelled_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(labelled shingle hashes in text order, number per text, word count per text), for all texts at once."""
+    raws = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    if sum(map(len, raws)) <= 4 * BLOCK:
+        word, words = word_hashes(raws)
+    else:
+        parts = [[word_hashes([p])[0] for p in pieces(r)] for r in raws]
+        words = np.array([sum(map(len, ps)) for ps in parts])
+        word = np.concatenate([x for ps in parts for x in ps] or [np.zeros(0, U)])
     first = np.concatenate([[0], np.cumsum(words)])
     count = np.where(words >= SHINGLE, words - SHINGLE + 1, (words > 0).astype(int))
     owner = np.repeat(np.arange(len(texts)), count)
@@ -159,7 +182,8 @@ def sketch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = list(rows["text"])
         for at, end in sliced(texts):
             sigs, sketch, n = signatures(texts[at:end])
-            yield pd.DataFrame({"doc_id": rows["doc_id"].iloc[at:end].to_numpy(), "digest": rows["digest"].iloc[at:end].to_numpy(), "n": n, "sigs": list(sigs.view(np.int64)), "sketch": [x.tobytes() for x in sketch]})
+            own = {c: rows[c].iloc[at:end].to_numpy() for c in ("known", "id", "digest")}
+            yield pd.DataFrame(own | {"n": n, "sigs": list(sigs.view(np.int64)), "sketch": [x.tobytes() for x in sketch]})
 
 
 def resemblance(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -420,21 +444,21 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def link_near(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(members, classes) of ``docs`` (doc_id, text).
 
-    members: doc_id, node (least id among exact copies); classes: node, class for the nodes with links.
+    members: known, id, digest, c (rows) per distinct pair of id and text (known: the id is not null). classes, one row
+    per distinct text: digest, first (unknown, id, digest: the least row of its class, null ids last), class_size.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    text = text_or_empty()
-    rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
-    sketched = spool(rows.mapInPandas(sketch_rows, "doc_id long, digest binary, n long, sigs array<long>, sketch binary"))
+    key = {"known": F.col("doc_id").isNotNull(), "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "digest": text_digest()}
+    rows = docs.select(text_or_empty().alias("text"), *[v.alias(k) for k, v in key.items()])
+    sketched = spool(rows.mapInPandas(sketch_rows, "known boolean, id long, digest binary, n long, sigs array<long>, sketch binary"))
     # tables that are joined to what they were counted from are written out first: then a hot key's partition can be split
-    copies = spool(sketched.groupBy("digest").agg(F.min("doc_id").alias("node")))
-    members = spool(sketched.select("doc_id", "digest").join(copies, "digest").select("doc_id", "node", "digest"))
-    # one row of hashes per distinct text: that of the least id
-    least = members.filter("doc_id = node").select("node", "digest").dropDuplicates(["node"])
-    live = sketched.filter("n > 0").join(least, [sketched["doc_id"] == least["node"], sketched["digest"] == least["digest"]]).select("node", least["digest"], "n", "sigs", "sketch").dropDuplicates(["node"])
-    live = spool(live)
+    members = spool(sketched.groupBy("known", "id", "digest").agg(F.count(F.lit(1)).alias("c")))
+    least = F.min(F.struct((~F.col("known")).alias("unknown"), "id")).alias("least")
+    nodes = spool(members.groupBy("digest").agg(least, F.sum("c").alias("copies")).withColumn("node", F.monotonically_increasing_id()))
+    # one row of hashes per distinct text
+    of_node = nodes.select("digest", "node", (~F.col("least.unknown")).alias("known"), F.col("least.id").alias("id"))
+    live = spool(sketched.filter("n > 0").join(of_node, ["digest", "known", "id"]).select("node", "digest", "known", "id", "n", "sigs", "sketch").dropDuplicates(["node"]))
 
     keys = live.select("node", "n", F.posexplode("sigs").alias("t", "key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("labels")).filter("c > 1")
@@ -442,7 +466,7 @@ def link_near(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataF
     met = spool(keys.join(shared, "key").select("node", "t", "key", "blocks", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int").alias("block")))
     # texts that share no bucket are not read again
     held = spool(met.select("node").distinct().join(live, "node"))
-    texts = spool(rows.join(held.select("node", F.col("digest").alias("held")), (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("held"))).dropDuplicates(["node"]).select("node", "text"))
+    texts = spool(rows.join(held.select("digest", "known", "id", "node"), ["digest", "known", "id"]).dropDuplicates(["node"]).select("node", "text"))
 
     stream = met.select("node", "key", "block").join(held.select("node", "n", "sketch"), "node").repartition(n, "key", "block").sortWithinPartitions("key", "block", "node")
     pairs = spool(stream.mapInPandas(sweep_buckets(threshold - MARGIN / 2, threshold), "a long, b long").distinct())
@@ -457,21 +481,35 @@ def link_near(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataF
     dealt = lambda df: df.repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q", "side", "node")
     left = spool(dealt(two.join(hashes, "node")).mapInPandas(open_rows(threshold - MARGIN, threshold), "key long, t int, p int, q int, side int, node long, class long"))
     found = spool(dealt(left.join(hashes, "node").join(texts, "node")).mapInPandas(align_blocks(threshold - MARGIN, threshold), "a long, b long, similarity double"))
-    if found.isEmpty():
-        return members, classes
-    # new links between classes merge them
-    x, y = classes.select(F.col("node").alias("a"), F.col("class").alias("ca")), classes.select(F.col("node").alias("b"), F.col("class").alias("cb"))
-    between = found.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    merged = components(between).withColumnRenamed("node", "old").withColumnRenamed("class", "new")
-    every = classes.unionByName(found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node", "left_anti").withColumn("class", F.col("node")))
-    return members, spool(every.join(merged, F.col("class") == F.col("old"), "left").select("node", F.coalesce("new", "class").alias("class")))
+    if not found.isEmpty():
+        # new links between classes merge them
+        x, y = classes.select(F.col("node").alias("a"), F.col("class").alias("ca")), classes.select(F.col("node").alias("b"), F.col("class").alias("cb"))
+        between = found.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        merged = components(between).withColumnRenamed("node", "old").withColumnRenamed("class", "new")
+        every = classes.unionByName(found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node", "left_anti").withColumn("class", F.col("node")))
+        classes = spool(every.join(merged, F.col("class") == F.col("old"), "left").select("node", F.coalesce("new", "class").alias("class")))
+    # a class's size and first row are counted over texts, before they fan out to their copies
+    whole = spool(nodes.join(classes, "node", "left").select("digest", "least", "copies", F.coalesce("class", "node").alias("class")))
+    first = F.min(F.struct("least.unknown", "least.id", "digest")).alias("first")
+    of_class = spool(whole.groupBy("class").agg(first, F.sum("copies").alias("class_size")))
+    return members, spool(whole.join(of_class, "class").select("digest", "first", "class_size"))
+
+
+def near_members(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id, digest, rows_alike, class_id, class_size, kept for each distinct pair of id and text of ``docs``."""
+    members, classes = link_near(docs, threshold)
+    real = lambda known, x: F.when(known, x)
+    out = members.join(classes, "digest")
+    kept = (F.col("known") != F.col("first.unknown")) & (F.col("id") == F.col("first.id")) & (F.col("digest") == F.col("first.digest"))
+    return out.select(real(F.col("known"), F.col("id")).alias("doc_id"), "digest", F.col("c").alias("rows_alike"), real(~F.col("first.unknown"), F.col("first.id")).alias("class_id"), "class_size", kept.alias("kept"))
+
+
+def near_representatives(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id, digest, rows_alike of the one document of each class that stays."""
+    return spool(near_members(docs, threshold).filter("kept").select("doc_id", "digest", "rows_alike"))
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, class_id (least doc_id of the class), class_size (rows), kept (one per class), per row of ``docs``."""
-    members, classes = link_near(docs, threshold)
-    out = spool(members.join(classes, "node", "left").select("doc_id", F.coalesce("class", "node").alias("class_id")))
-    sizes = out.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    out = out.join(sizes, "class_id").select("doc_id", "class_id", "class_size")
-    nulls = docs.filter("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return out.unionByName(nulls).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id")))
+    """doc_id, class_id (least doc_id of the class; null if none has one), class_size (rows), kept (one row per class), per row of ``docs``."""
+    rows = near_members(docs, threshold).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "rows_alike")))
+    return rows.select("doc_id", "class_id", "class_size", (F.col("kept") & (F.col("nth") == 1)).alias("kept"))

@@ -66,11 +66,28 @@ def test_chains_become_one_component(spark):
 
 
 def test_nulls_repeats_and_empty(spark, make_docs):
+    """Texts are compared, whatever their ids: null ids come last in a class, repeated rows are one document."""
     df = make_docs("a b c d e f g", "a b c d e f g", "a b c d e f g", None, ids=[7, 7, None, 3])
     rows = near_classes(df).collect()
-    assert len(rows) == 4 and {r.class_id for r in rows if r.doc_id == 7} == {7}
-    assert all(r.kept for r in rows if r.doc_id is None)
+    assert len(rows) == 4 and {(r.class_id, r.class_size) for r in rows if r.doc_id != 3} == {(7, 3)}
+    assert [r.doc_id for r in rows if r.kept and r.class_id == 7] == [7]
     assert near_classes(df.limit(0)).count() == 0
+    alone = near_classes(make_docs("", "x y", "x y", ids=[None, None, None])).collect()
+    assert all(r.class_id is None for r in alone) and sorted((r.class_size, r.kept) for r in alone) == [(1, True), (2, False), (2, True)]
+
+
+def test_one_id_with_different_texts(spark, make_docs):
+    one, two = (" ".join(f"{k}{i}" for i in range(40)) for k in "ab")
+    rows = near_classes(make_docs(one, two, two + " more", ids=[5, 5, 9])).collect()
+    assert sorted((r.doc_id, r.class_id, r.class_size, r.kept) for r in rows) == [(5, 5, 1, True), (5, 5, 2, True), (9, 5, 2, False)]
+
+
+def test_a_very_long_text_is_hashed_in_pieces(monkeypatch):
+    texts = ["word%d " % i * 3 + "\n" for i in range(50)]
+    texts.append(" ".join(texts))
+    whole = labelled_shingles(texts)
+    monkeypatch.setattr(omh, "BLOCK", 16)
+    assert all((x == y).all() for x, y in zip(whole, labelled_shingles(texts)))
 
 
 def family(size, planted, r):
@@ -121,3 +138,12 @@ def test_link_with_a_poor_sketch(spark, make_docs):
     places = {5 * p: f"x{p}" for p in random.Random(6587).sample(range(180), 20)}
     df = make_docs(" ".join(base), " ".join(places.get(i, w) for i, w in enumerate(base)))
     assert {r.class_id for r in near_classes(df).collect()} == {0}
+
+
+def test_recall_on_a_table(spark):
+    """Every pair of sf0.01 over the threshold, found by brute force, is in one class, and no other is."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id")
+    rows = docs.collect()
+    want = brute_classes([r.text or "" for r in rows])
+    ids = [r.doc_id for r in rows]
+    assert {x.doc_id: x.class_id for x in near_classes(docs).collect()} == {ids[k]: ids[v] for k, v in want.items()}

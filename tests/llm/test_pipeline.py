@@ -1,4 +1,5 @@
 import corpus_pipeline
+import pytest
 from lectern.llm import stages
 from lectern.llm.common import word_count
 from pyspark.sql import functions as F
@@ -44,3 +45,30 @@ def test_mixing_repeats_and_drops(spark, make_docs):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+NAMES = "score predicted held_out n_lines n_removed_lines n_removed_chunks node digest known id class_id kept copies rows alike nth copy share text_hash c_id of h size row carried".split()
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_every_stage_with_nulls_repeats_long_texts_clashes_and_nothing(spark, make_docs, sf, name):
+    """Names of an operator's own columns pass by unchanged; an empty table gives no rows."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    texts = [None, "", "some words that stand here, and more of them.", "some words that stand here, and more of them.", "long words of a text " * 20_000, "one\ntwo\nthree", "one\ntwo\nthree", "x"]
+    docs = make_docs(*texts, sources=["a", None, "a", "b", "b", None, "a", "a"], ids=[1, None, 3, 3, 5, 6, 7, None]).withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for n in NAMES})
+    out = stage(spark, docs, sf)
+    rows = out.collect()
+    assert stage(spark, docs.limit(0), sf).count() == 0
+    if name == "packing":
+        assert {r.doc_id for r in rows} == {1, None, 3, 5, 6, 7}
+        return
+    assert out.columns == docs.columns and rows
+    for r in rows:
+        assert all(r[n] == n + ("-" if r.doc_id is None else str(r.doc_id)) for n in NAMES)
+        assert r.text is None or name == "line_dedup" or r.text in texts
+    if name == "line_dedup":
+        assert len(rows) == len(texts) and sum(r.text is None for r in rows) == 1
+    if name == "near_dedup":
+        assert sorted((r.text or "")[:5] for r in rows) == ["", "long ", "one\nt", "some ", "x"]
+    if name == "mixing":
+        assert {r.text for r in rows} <= set(texts)
