@@ -102,4 +102,5 @@ def own_partitions(df: DataFrame, n: int, part: Column, name: str) -> DataFrame:
     tried = spark.range(int(n * (math.log(n + 1) + 12)))
     found = tried.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()
     keys = {r["p"]: r["id"] for r in found}
-    return df.withColumn(name, F.element_at(F.lit([keys.get(k, k) for k in range(n)]), part + 1)).repartition(n, name)
+    key = F.element_at(F.lit([keys.get(k, k) for k in range(n)]).cast("array<long>"), part + 1)
+    return df.withColumn(name, key).repartition(n, name)

@@ -79,3 +79,20 @@ def test_one_id_for_many_rows_is_cut_into_blocks(spark, make_docs):
     order = sorted(((i if i >= 300 else 5, h[t], t) for i, t in enumerate(texts)))
     want = sorted((k, hashlib.sha256((t[: len(t) - len(t) // 4] + order[(n + 1) % 400][2][: len(t) // 4]).encode()).hexdigest()) for n, (k, _, t) in enumerate(order))
     assert sorted((r.doc_id, r.edited_sha256) for r in out.collect()) == want
+
+
+def test_each_part_has_a_partition_of_its_own(spark):
+    from lectern.llm.common import cuts_up_to, own_partitions
+
+    for n in (1, 8, 51, 211):
+        df = own_partitions(spark.range(5 * n).withColumn("p", (F.col("id") % n).cast("int")), n, F.col("p"), "key")
+        rows = df.groupBy(F.spark_partition_id().alias("at")).agg(F.count_distinct("p").alias("parts"), F.count("*").alias("n")).collect()
+        assert len(rows) == n and {(r.parts, r.n) for r in rows} == {(1, 5)}
+    cuts = [3, 5, 5, 9]
+    assert [r.k for r in spark.range(12).select(cuts_up_to(cuts, F.col("id")).alias("k")).collect()] == [sum(c <= i for c in cuts) for i in range(12)]
+
+
+def test_blocks_are_alike_in_bytes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").withColumn("h", F.xxhash64("text"))
+    sizes = sorted(r.b for r in merkle.in_blocks(docs).groupBy("block").agg(F.sum(F.octet_length("text")).alias("b")).collect())
+    assert len(sizes) >= 6 and sizes[-1] < 2 * sizes[len(sizes) // 2]
