@@ -25,11 +25,11 @@ def words(text: Column) -> Column:
 
 
 def shingles(text: Column, size: int = P.SHINGLE_WORDS) -> Column:
-    """Distinct runs of ``size`` words; empty for shorter texts."""
+    """64-bit hashes of the distinct runs of ``size`` words; empty for shorter texts."""
     return let(
         words(text),
-        lambda w: F.when(F.size(w) < size, F.array().cast("array<string>")).otherwise(
-            F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, size), " ")))
+        lambda w: F.when(F.size(w) < size, F.array().cast("array<long>")).otherwise(
+            F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, size))))
         ),
     )
 
@@ -87,11 +87,6 @@ def relevance_percent(score: Column) -> Column:
     return F.floor(score * 100 + 0.5).cast("int")
 
 
-def estimate_tokens(text: Column) -> Column:
-    """The default estimate: the pieces that :data:`patterns.TOKEN` finds."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(P.TOKEN))
-
-
 def normalize_line(line: Column) -> Column:
     """Trailing space off, inner runs to one space, indentation kept up to a bound (a tab counts four)."""
     bare = F.regexp_replace(line, r"\s+$", "")
@@ -107,93 +102,3 @@ def canonical_margin(line: Column) -> Column:
 
 def is_page_number(line: Column) -> Column:
     return line.rlike(P.STANDALONE_PAGE_NUMBER)
-
-
-def looks_like_title(text: Column) -> Column:
-    """Few words, no closing mark, and at least half of the words with letters start one in upper case."""
-    candidate = F.regexp_replace(text, r"^\s+|\s+$", "")
-
-    def judged(w: Column) -> Column:
-        lettered = F.size(F.filter(w, lambda x: x.rlike(r"\p{L}")))
-        upper = F.size(F.filter(w, lambda x: x.rlike(r"^[^\p{L}]*\p{Lu}")))
-        return (F.size(w) <= P.HEADING_WORDS) & (lettered > 0) & (upper * 2 >= lettered)
-
-    ends = candidate.rlike("[" + "".join("\\" + c for c in P.HEADING_STOPS) + "]$")
-    return (candidate != "") & ~ends & let(F.split(candidate, r"\s+"), judged)
-
-
-def is_explicit_heading(line: Column) -> Column:
-    c = F.regexp_replace(line, r"^\s+|\s+$", "")
-    number = F.regexp_extract(c, P.NUMBERED_HEADING, 1)
-    return c.rlike(P.MARKDOWN_HEADING) | c.rlike(P.CHILD_HEADING) | ((number != "") & (number.contains(".") | looks_like_title(F.regexp_extract(c, P.NUMBERED_HEADING, 2))))
-
-
-def is_list_line(line: Column) -> Column:
-    return F.regexp_replace(line, r"^\s+|\s+$", "").rlike(P.LIST_LINE)
-
-
-def is_code_line(line: Column, words: list[str]) -> Column:
-    """A line that signals code, by its keyword and marks, as an assignment or call, or by an arrow."""
-    c = F.regexp_replace(line, r"^\s+|\s+$", "")
-    return (
-        c.isin("{", "}")
-        | c.startswith("@")
-        | (c.rlike(P.code_keyword(words)) & c.rlike(r"[;{}(]"))
-        | (c.endswith(";") & c.rlike(P.CODE_CALL))
-        | (c.contains("->") & (c.contains("=") | c.endswith(";")))
-    )
-
-
-def is_code_block(lines: Column, words: list[str]) -> Column:
-    """A block is code if its one line signals, or two lines or half of them do."""
-
-    def judged(ls: Column) -> Column:
-        n = F.size(F.filter(ls, lambda x: is_code_line(x, words)))
-        return F.when(F.size(ls) == 1, n == 1).otherwise((n >= 2) | (n * 2 >= F.size(ls)))
-
-    return (F.size(lines) > 0) & let(lines, judged)
-
-
-def join_wrapped(block: Column) -> Column:
-    """Lines of prose joined: a hyphen before a lower-case letter closes up, all else gets one space."""
-    stripped = F.regexp_replace(F.regexp_replace(block, r"[^\S\n]*\n[^\S\n]*", "\n"), r"^\s+|\s+$", "")
-    return F.regexp_replace(F.regexp_replace(stripped, r"-\n(?=\p{Ll})", ""), r"\n", " ")
-
-
-def heading_level(block: Column) -> Column:
-    """0 for no heading; numbered by its dots, marked by its signs, others of second level."""
-    c = F.regexp_replace(block, r"^\s+|\s+$", "")
-    number = F.regexp_extract(c, P.NUMBERED_HEADING, 1)
-    sharps = F.regexp_extract(c, P.MARKDOWN_HEADING, 1)
-    return (
-        F.when(c.contains("\n") | (F.length(c) > P.HEADING_CHARS) | (c == ""), 0)
-        .when(number != "", count_of(number, ".") + 1)
-        .when(sharps != "", F.length(sharps))
-        .when(c.rlike(P.CHILD_HEADING), 2)
-        .when(looks_like_title(c), 2)
-        .otherwise(0)
-        .cast("int")
-    )
-
-
-def block_type(block: Column) -> Column:
-    """CODE, LIST, HEADING or PROSE of a block."""
-
-    def judged(ls: Column) -> Column:
-        listed = (F.size(ls) > 0) & F.forall(ls, lambda x: x.rlike(P.LIST_LINE))
-        bullet = F.substring(ls[0], 1, 1).isin(*P.BULLETS)
-        return (
-            F.when(is_code_block(ls, P.CODE_WORDS_CHUNKING), "CODE")
-            .when(listed & ((F.size(ls) > 1) | bullet), "LIST")
-            .when(heading_level(block) > 0, "HEADING")
-            .when(listed, "LIST")
-            .otherwise("PROSE")
-        )
-
-    lines = F.filter(F.transform(F.split(block, r"\R"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    return let(lines, judged)
-
-
-def blocks(text: Column) -> Column:
-    """Blocks between blank lines, stripped, none blank."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), P.BLOCK_BREAK), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")

@@ -1,6 +1,6 @@
 """Structure-aware chunking of cleaned pages.
 
-A document is a bounded group (more than ``MAX_CHUNKS`` chunks is an error), and each chunk depends on
+A document is a bounded group (one of more than ``MAX_CHUNKS`` chunks is refused), and each chunk depends on
 the one before it, so documents are folded one by one in Arrow groups; everything that can be said
 of one chunk, or of neighbours, is worked out afterwards in expressions and windows.
 """
@@ -11,8 +11,10 @@ import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ from lectern.operators.cleaning import code_block, title_like
 
 Estimate = Callable[[str], int]
 
-_TOKEN = re.compile(r"[^\W\d_]{1,4}|\d{1,3}|[^\w\s]|_")
+_TOKEN = regex.compile(P.TOKEN)
 _KEYWORD = re.compile(P.code_keyword(P.CODE_WORDS_CHUNKING), re.ASCII)
 _NUMBER, _SHARP, _CHILD, _LIST = (re.compile(x, re.ASCII) for x in (P.NUMBERED_HEADING, P.MARKDOWN_HEADING, P.CHILD_HEADING, P.LIST_LINE))
 _BREAK = re.compile(r"(?:(?:\r\n|[\n\x0b\f\r\x85  ])\s*){2,}")
@@ -32,10 +34,31 @@ SEPARATOR = {"PROSE": " ", "LIST": "\n", "CODE": "\n", "HEADING": "\n\n"}
 
 
 def default_estimate(text: str) -> int:
-    """Pieces of up to four letters, three digits or one mark; the same count as :func:`text.estimate_tokens`."""
+    """Pieces of up to four letters, three digits or one mark. No piece spans white space, so counts add up over it."""
     return len(_TOKEN.findall(text))
 
 
+default_estimate.additive = True
+
+
+def bpe_estimate(path: str, pattern: str) -> Estimate:
+    """Tokens of a byte-pair vocabulary: a file of base64 tokens and ranks, and the pattern that splits texts beforehand.
+
+    The vocabulary is read by each worker once; its counts need not add up, so joined texts are counted anew.
+    """
+    @lru_cache(maxsize=1)
+    def encoding():
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    return lambda text: len(encoding().encode_ordinary(text))
+
+
 def level_of(block: str) -> int:
     """The level of a heading, 0 for none."""
     c = block.strip()
@@ -116,27 +139,35 @@ class Chunker:
     useful: int = P.MIN_USEFUL_TOKENS
     overlap_limit: int = P.MAX_OVERLAP_TOKENS
     max_chunks: int = P.MAX_CHUNKS
-    _known: dict[str, int] = field(default_factory=dict)
+    additive: bool = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.additive = getattr(self.estimate, "additive", False)
+
+    def count(self, parts: list[tuple[str, int]], gap: str) -> int:
+        """Tokens of parts (text, tokens) joined by white space; only counts that don't add up are asked for again."""
+        return sum(n for _, n in parts) if self.additive else self.estimate(gap.join(t for t, _ in parts))
 
     # ---- parts of one block -------------------------------------------------------------
     def gathered(self, pieces: Iterable[str], gap: str, smaller: Callable[[str], list[str]], open_after: Callable[[list[str]], bool] | None = None) -> list[str]:
         """Pieces gathered up to the target; one over the limit is cut by ``smaller``; no cut while ``open_after``."""
         out: list[str] = []
-        held: list[str] = []
+        held: list[tuple[str, int]] = []
 
         def close() -> None:
-            if (text := gap.join(held).strip()):
+            if (text := gap.join(t for t, _ in held).strip()):
                 out.append(text)
             held.clear()
 
         for piece in pieces:
-            if self.estimate(piece) > self.limit:
+            tokens = self.estimate(piece)
+            if tokens > self.limit:
                 close()
                 out.extend(smaller(piece))
                 continue
-            if held and not (open_after and open_after(held)) and self.estimate(gap.join([*held, piece])) > self.target:
+            if held and not (open_after and open_after([t for t, _ in held])) and self.count([*held, (piece, tokens)], gap) > self.target:
                 close()
-            held.append(piece)
+            held.append((piece, tokens))
         close()
         return out
 
@@ -176,8 +207,13 @@ class Chunker:
     def by_tokens(self, text: str) -> list[str]:
         """The last resort for one sentence or line over the limit: windows of the target, ended at a mark where one is far enough in."""
         out, rest = [], text.strip()
-        while rest and self.estimate(rest) > self.target and len(out) < self.max_chunks:
-            low, high = 1, len(rest)  # the longest start within the target
+        while rest:
+            high = 4 * self.target  # a start that is too long, so that no more of the rest is counted
+            while high < len(rest) and self.estimate(rest[:high]) <= self.target:
+                high *= 2
+            if high >= len(rest) and self.estimate(rest) <= self.target:
+                break
+            low, high = 1, min(high, len(rest))  # the longest start within the target
             while low < high:
                 middle = (low + high + 1) // 2
                 low, high = (middle, high) if self.estimate(rest[:middle]) <= self.target else (low, middle - 1)
@@ -232,25 +268,26 @@ class Chunker:
     def joined(self, a: Draft, b: Draft, gap: str) -> Draft:
         text = a.text + gap + b.text
         subs = _distinct([*a.subsections, *(s for s in b.subsections if s.strip())])
-        return Draft(text, a.kinds | b.kinds, a.heading or b.heading, a.section, subs, max(a.level, b.level), a.boundary, _distinct([*a.pages, *b.pages], key=lambda p: p.id), self.estimate(text))
+        return Draft(text, a.kinds | b.kinds, a.heading or b.heading, a.section, subs, max(a.level, b.level), a.boundary, _distinct([*a.pages, *b.pages], key=lambda p: p.id), self.count([(a.text, a.tokens), (b.text, b.tokens)], gap))
 
-    def fits(self, current: Draft, together: Draft, unit: Unit) -> bool:
+    def fits(self, current: Draft, together: Draft, unit: Draft) -> bool:
         """The target is soft: a little over it beats a small remainder on either side."""
-        return together.tokens <= self.target or (together.tokens <= self.limit and (current.tokens < self.preferred or self.estimate(unit.text) < self.useful))
+        return together.tokens <= self.target or (together.tokens <= self.limit and (current.tokens < self.preferred or unit.tokens < self.useful))
 
     def packed(self, units: list[Unit]) -> list[Draft]:
         out: list[Draft] = []
         for unit in units:
+            new = self.draft(unit, "")
             if out and unit.opens != "section":
-                together = self.joined(out[-1], self.draft(unit, ""), unit.gap)
-                if self.fits(out[-1], together, unit):
+                together = self.joined(out[-1], new, unit.gap)
+                if self.fits(out[-1], together, new):
                     out[-1] = together
                     continue
                 boundary = "same_section_structural_split" if unit.opens == "subsection" else "same_topic_token_limit"
             else:
                 boundary = "new_section" if out else "document_start"
             if unit.text.strip():
-                out.append(self.draft(unit, boundary))
+                out.append(replace(new, boundary=boundary))
         return out
 
     @staticmethod
@@ -298,9 +335,9 @@ class Chunker:
                 title = previous.section if previous.section and self.estimate(previous.section) <= self.overlap_limit else ""
                 split = current.boundary == "same_section_structural_split"
                 lead = (title if split else "") or self.bridge(previous) or title
-                text = lead + self._gap(previous, current) + current.text
-                if lead.strip() and self.estimate(text) <= self.limit:
-                    current = replace(current, text=text, overlap=self.estimate(lead))
+                gap, tokens = self._gap(previous, current), self.estimate(lead)
+                if lead.strip() and self.count([(lead, tokens), (current.text, current.tokens)], gap) <= self.limit:
+                    current = replace(current, text=lead + gap + current.text, overlap=tokens)
             out.append(current)
         return out
 
@@ -314,12 +351,22 @@ class Chunker:
 DRAFT_SCHEMA = (
     "document_key string, chunk_index int, text string, contains_code boolean, contains_list boolean, contains_heading boolean, section_title string, "
     "subsection_titles array<string>, max_heading_level int, structural_boundary string, source_document_ids array<string>, page_numbers array<int>, "
-    "content_token_count int, overlap_token_count int, estimated_token_count int, source_original_character_count int, source_cleaned_character_count int, ingestion_fingerprint string"
+    "content_token_count int, overlap_token_count int, estimated_token_count int, source_original_character_count int, source_cleaned_character_count int, ingestion_fingerprint string, problem string"
 )
 
 
 def chunk_pages(cleaned: DataFrame, estimate: Estimate = default_estimate) -> DataFrame:
-    """Chunks of every document of ``cleaned`` (the output of ``clean_pages``), with all metadata."""
+    """Chunks of every document of ``cleaned`` (the output of ``clean_pages``), with all metadata; none of a refused document."""
+    return with_chunk_metadata(drafts(cleaned, estimate).filter("problem IS NULL").drop("problem"))
+
+
+def refused_documents(cleaned: DataFrame, estimate: Estimate = default_estimate, max_chunks: int = P.MAX_CHUNKS) -> DataFrame:
+    """document_key, problem of the documents that have too many chunks; they don't keep the others back."""
+    return drafts(cleaned, estimate, max_chunks).filter("problem IS NOT NULL").select("document_key", "problem")
+
+
+def drafts(cleaned: DataFrame, estimate: Estimate = default_estimate, max_chunks: int = P.MAX_CHUNKS) -> DataFrame:
+    """The rows of ``DRAFT_SCHEMA``: chunks, or one row that tells the problem of a refused document."""
     pages = cleaned.select(
         F.col("document_key").cast("string").alias("document_key"),
         F.coalesce(T.lenient_int(F.col("page_number")), F.row_number().over(W.partitionBy("document_key").orderBy("page_number", "page_id"))).alias("page_number"),
@@ -332,21 +379,25 @@ def chunk_pages(cleaned: DataFrame, estimate: Estimate = default_estimate) -> Da
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["page_number", "page_id"], kind="stable")
         source = [(Page(i, int(n), int(o), int(c)), t) for i, n, o, c, t in zip(rows.page_id, rows.page_number, rows.original, rows.cleaned, rows.text, strict=True)]
-        drafts = Chunker(estimate).chunks(source)
+        columns = [c.strip().split(" ")[0] for c in DRAFT_SCHEMA.split(", ")]
+        try:
+            drafts = Chunker(estimate, max_chunks=max_chunks).chunks(source)
+        except ValueError as e:
+            return pd.DataFrame([(rows.document_key.iloc[0], *[None] * (len(columns) - 2), str(e))], columns=columns)
         # as identity.ingestion_fingerprints has it, while the document's chunks are together
         whole = hashlib.sha256(rows.document_key.iloc[0].encode() + b"".join(b"\x1f" + d.text.encode("utf-8", "replace") for d in drafts)).hexdigest()
         return pd.DataFrame(
             [
                 (
                     rows.document_key.iloc[0], k, d.text, "CODE" in d.kinds, "LIST" in d.kinds, d.heading, d.section or "", list(d.subsections), d.level, d.boundary,
-                    [p.id for p in d.pages], list(dict.fromkeys(p.number for p in d.pages)), d.tokens, d.overlap, estimate(d.text), sum(p.original for p in d.pages), sum(p.cleaned for p in d.pages), whole,
+                    [p.id for p in d.pages], list(dict.fromkeys(p.number for p in d.pages)), d.tokens, d.overlap, d.tokens + d.overlap if getattr(estimate, "additive", False) else estimate(d.text), sum(p.original for p in d.pages), sum(p.cleaned for p in d.pages), whole, None,
                 )
                 for k, d in enumerate(drafts)
             ],
-            columns=[c.strip().split(" ")[0] for c in DRAFT_SCHEMA.split(", ")],
+            columns=columns,
         )
 
-    return with_chunk_metadata(pages.groupBy("document_key").applyInPandas(fold, DRAFT_SCHEMA))
+    return pages.groupBy("document_key").applyInPandas(fold, DRAFT_SCHEMA)
 
 
 def with_chunk_metadata(drafts: DataFrame) -> DataFrame:

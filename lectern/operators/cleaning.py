@@ -1,8 +1,8 @@
 """Page cleaning: lines are normalized, repeated margins found over a document's pages and removed, blocks joined.
 
-What needs one document's pages together is two aggregations over narrow rows (page, line); all
-else works page by page. Only the carried indentation of code blocks, and Unicode composition of
-non-ASCII pages, run in Arrow batches; the rest are expressions.
+Pages are dealt by document once. What needs one document's pages together is an aggregation over narrow
+rows (page, line); all else works page by page. The rules of headings, lists, code and prose, and Unicode
+composition of non-ASCII pages, run in Arrow batches; lines and margins are expressions. Each rule has one form.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import patterns as P
@@ -22,15 +22,15 @@ from lectern.functions import text as T
 
 def _compose(texts: Column) -> Column:
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: unicodedata.normalize("NFKC", t))
+        return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
     return F.pandas_udf(run, "string")(texts)
 
 
 def composed(text: Column) -> Column:
-    """Compatibility composition; ASCII texts pass by without leaving the JVM."""
+    """Compatibility composition; of ASCII texts only a null leaves the JVM."""
     t = F.coalesce(text, F.lit(""))
-    return F.when(t.rlike(r"[^\x00-\x7F]"), _compose(t)).otherwise(t)
+    return F.coalesce(_compose(F.when(t.rlike(r"[^\x00-\x7F]"), t)), t)
 
 
 def normalized_lines(text: Column, compose: bool = True) -> Column:
@@ -47,34 +47,26 @@ def margin_indexes(lines: Column, count: int = P.MARGIN_LINES) -> Column:
     return T.let(full, lambda f: F.array_union(F.slice(f, 1, count), F.slice(f, F.greatest(F.size(f) - (count - 1), F.lit(1)), count)))
 
 
-def repeated_margins(lined: DataFrame, ratio: float = P.MARGIN_RATIO) -> DataFrame:
-    """document_key, repeated: canonical margin lines that stand on enough of a document's pages.
+def margin_counts(lined: DataFrame, ratio: float = P.MARGIN_RATIO) -> DataFrame:
+    """document_key, line, n: canonical margin lines that stand on enough (n) of a document's pages.
 
-    ``lined``: document_key, page_number, lines, margins. Each page gives at most six lines, so the
-    counts are partial before they are shuffled and a document's list has ten entries at most.
+    ``lined``: document_key, page_number, lines, margins. Each page gives at most six lines, and an empty one that
+    stands for itself, so the counts are partial before they are shuffled and pages are counted on the way.
     """
-    pages = lined.groupBy("document_key").agg(F.count(F.lit(1)).alias("n_pages"))
-    lines = lined.select("document_key", F.explode(F.array_distinct(F.transform("margins", lambda i: T.canonical_margin(F.get("lines", i))))).alias("line")).filter("line != ''")
-    counts = lines.groupBy("document_key", "line").agg(F.count(F.lit(1)).alias("n")).join(pages, "document_key")
+    own = F.array_distinct(F.transform("margins", lambda i: T.canonical_margin(F.get("lines", i))))
+    lines = lined.select("document_key", F.explode(F.concat(F.array(F.lit("")), F.filter(own, lambda x: x != ""))).alias("line"))
+    counts = lines.groupBy("document_key", "line").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("n_pages", F.max(F.when(F.col("line") == "", F.col("n"))).over(W.partitionBy("document_key")))
     enough = (F.col("n_pages") >= 2) & (F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("n_pages") * ratio)))
-    return counts.filter(enough).groupBy("document_key").agg(F.array_sort(F.collect_set("line")).alias("repeated"))
+    return counts.filter((F.col("line") != "") & enough).select("document_key", "line", "n")
 
 
-def without_margins(lined: DataFrame) -> DataFrame:
-    """Margin lines that repeat, or only number the page, become blank (and so part blocks); they are counted."""
-    marked = lined.join(repeated_margins(lined), "document_key", "left")
-    repeated = F.coalesce("repeated", F.array().cast("array<string>"))
-
-    def gone(x: Column, i: Column) -> Column:
-        return F.array_contains("margins", i) & ~T.is_explicit_heading(x) & (F.array_contains(repeated, T.canonical_margin(x)) | T.is_page_number(x))
-
-    flags = F.transform("lines", lambda x, i: (x != "") & gone(x, i))
-    return (
-        marked.withColumn("gone", flags)
-        .withColumn("removed_margin_line_count", F.size(F.filter("gone", lambda g: g)))
-        .withColumn("lines", F.zip_with("lines", "gone", lambda x, g: F.when(g, "").otherwise(x)))
-        .drop("gone", "repeated")
-    )
+def margin_candidates(lined: DataFrame) -> DataFrame:
+    """``lined`` with ``repeats``: of each line, whether it is a margin line that repeats or only numbers the page."""
+    repeated = margin_counts(lined).groupBy("document_key").agg(F.collect_set("line").alias("repeated"))
+    known = F.coalesce("repeated", F.array().cast("array<string>"))
+    flag = lambda x, i: (x != "") & F.array_contains("margins", i) & (F.array_contains(known, T.canonical_margin(x)) | T.is_page_number(x))
+    return lined.join(repeated, "document_key", "left").withColumn("repeats", F.transform("lines", flag)).drop("repeated")
 
 
 # ---- blocks: code carries its depth from block to block, so a page is folded in order ----------
@@ -184,11 +176,22 @@ def folded_page(lines: list[str]) -> str:
     return "\n\n".join(done).strip()
 
 
-def _fold_pages(lines: str) -> Column:
-    def run(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda x: folded_page(list(x)))
+def cleaned_page(lines: list[str], repeats: list[bool]) -> tuple[str, int]:
+    """(text, number of margin lines removed). A removed line is blank from then on, and so parts blocks; headings stay."""
+    gone = [r and not explicit_heading(x) for x, r in zip(lines, repeats, strict=True)]
+    return folded_page(["" if g else x for x, g in zip(lines, gone, strict=True)]), sum(gone)
+
+
+def _fold_pages(lines: str, repeats: str) -> Column:
+    def run(lines: pd.Series, repeats: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([cleaned_page(list(x), list(r)) for x, r in zip(lines, repeats, strict=True)], columns=["text", "removed"])
+
+    return F.pandas_udf(run, "text string, removed int")(lines, repeats)
+
 
-    return F.pandas_udf(run, "string")(lines)
+def by_document(pages: DataFrame) -> DataFrame:
+    """Pages dealt by document, once: all that follows per document, in cleaning and chunking, needs no further shuffle."""
+    return pages.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "document_key")
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
@@ -198,14 +201,15 @@ def clean_pages(pages: DataFrame) -> DataFrame:
     """
     if "file_name" in pages.columns:
         pages = pages.withColumnRenamed("file_name", "source_file_name")
-    lined = pages.withColumn("original_text", F.coalesce("text", F.lit(""))).withColumn("lines", normalized_lines(F.col("text")))
+    lined = by_document(pages).withColumn("original_text", F.coalesce("text", F.lit(""))).withColumn("lines", normalized_lines(F.col("text")))
     lined = lined.withColumn("margins", margin_indexes(F.col("lines")))
-    out = without_margins(lined).withColumn("text", _fold_pages("lines"))
+    out = margin_candidates(lined).withColumn("cleaned", _fold_pages("lines", "repeats")).withColumn("text", F.col("cleaned.text"))
     return out.withColumns({
+        "removed_margin_line_count": F.col("cleaned.removed"),
         "text_cleaned": F.lit(True),
         "source_original_character_count": F.length("original_text"),
         "source_cleaned_character_count": F.length("text"),
-    }).drop("lines", "margins", "original_text")
+    }).drop("lines", "margins", "repeats", "cleaned", "original_text")
 
 
 def documents_with_text(cleaned: DataFrame) -> DataFrame:

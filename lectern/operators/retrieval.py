@@ -114,8 +114,8 @@ def _frequency(words: str, term: str) -> Column:
 def bm25_search(source: DataFrame, question: str, top_k: int = P.CANDIDATES, document_ids: list[str] | None = None, boosts: dict[str, float] | None = None, digits: int | None = None) -> DataFrame:
     """chunk_id, document_id, score, rank: a field matches with all terms, the best boosted field counts.
 
-    Statistics cover the whole corpus, whatever documents are asked for. Only the query's terms are
-    counted, on the map side, so the corpus is read once and never exploded into all its words.
+    Statistics cover the whole corpus, whatever documents are asked for: it is read for them and again for the
+    matches. Only the query's terms are counted, on the map side, so it is never exploded into all its words.
     """
     boosts = boosts or P.FIELD_BOOSTS
     terms = query_terms(question)
@@ -166,20 +166,31 @@ def bm25_indexed(index: DataFrame, statistics: DataFrame, question: str, top_k:
 
 
 def degraded(search, schema: str, spark) -> DataFrame:
-    """A lexical search whose failure costs its results only: an empty table stands for them."""
+    """A lexical search whose failure, when planned or when run, costs its results only: an empty table stands for them.
+
+    The search runs here; its hits are few (top-k) and go on as a table of their own.
+    """
     try:
-        return search()
+        rows = search().collect()
     except Exception:  # the index is an optional part of retrieval, whatever went wrong with it
-        return spark.createDataFrame([], schema)
+        rows = []
+    return spark.createDataFrame([tuple(r) for r in rows], schema)
 
 
 # ---- fusion --------------------------------------------------------------------------------------
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, rrf_k: int = P.RRF_K) -> DataFrame:
-    """Both rankings on one row per chunk, with the fused score; the vector side's columns win."""
-    v = vector.select(F.col("chunk_id"), *[F.col(c).alias(f"v_{c}") for c in vector.columns if c != "chunk_id"])
-    k = keyword.select(F.col("chunk_id").alias("k_chunk_id"), *[F.col(c).alias(f"k_{c}") for c in keyword.columns if c != "chunk_id"])
+    """Both rankings on one row per chunk, with the fused score; the vector side's columns win.
+
+    A chunk without an id is known by its document and fingerprint (:func:`text.chunk_key`).
+    """
+    def key(df: DataFrame) -> Column:
+        has = lambda c, other="": F.col(c) if c in df.columns else F.lit(other or None).cast("string")
+        return T.chunk_key(F.col("chunk_id"), has("document_id"), has("chunk_fingerprint"), F.coalesce(has("text"), F.lit("")))
+
+    v = vector.select(key(vector).alias("chunk_id"), *[F.col(c).alias(f"v_{c}") for c in vector.columns if c != "chunk_id"])
+    k = keyword.select(key(keyword).alias("k_chunk_id"), *[F.col(c).alias(f"k_{c}") for c in keyword.columns if c != "chunk_id"])
     both = v.join(k, F.col("chunk_id") == F.col("k_chunk_id"), "full").withColumn("chunk_id", F.coalesce("chunk_id", "k_chunk_id"))
     passed = [c for c in dict.fromkeys([*vector.columns, *keyword.columns]) if c not in ("chunk_id", "rank", "score")]
     sides = {c: [x for x in (f"v_{c}" if c in vector.columns else None, f"k_{c}" if c in keyword.columns else None) if x] for c in passed}
@@ -203,10 +214,13 @@ def without_redundant(candidates: DataFrame, k: int, threshold: float = P.OVERLA
 
     The candidates of one query (forty at most) are folded as one array.
     """
-    held = candidates.select(F.struct("order_no", "chunk_id", "document_id", "section_title", F.col("chunk_index").cast("int").alias("chunk_index"), T.shingles(F.col("text")).alias("shingles"), T.normalized_words(F.col("text")).alias("words")).alias("c"))
+    for name, kind in (("document_id", "string"), ("section_title", "string"), ("chunk_index", "int"), ("text", "string")):
+        if name not in candidates.columns:  # what is not known makes nothing redundant
+            candidates = candidates.withColumn(name, F.lit(None).cast(kind))
+    held = candidates.select(F.struct("order_no", "alone", "chunk_id", "document_id", "section_title", F.col("chunk_index").cast("int").alias("chunk_index"), T.shingles(F.col("text")).alias("shingles"), T.normalized_words(F.col("text")).alias("words")).alias("c"))
     one = held.agg(F.array_sort(F.collect_list("c")).alias("all"))
     empty = F.slice("all", 1, 0)
-    chosen = F.aggregate("all", empty, lambda s, c: F.when((F.size(s) < k) & ~F.exists(s, lambda x: redundant(x, c, threshold)), F.concat(s, F.array(c))).otherwise(s))
+    chosen = F.aggregate("all", empty, lambda s, c: F.when((F.size(s) < k) & ~F.exists(s, lambda x: ~c["alone"] & redundant(x, c, threshold)), F.concat(s, F.array(c))).otherwise(s))
     ids = one.select(F.posexplode(F.transform(chosen, lambda c: c["chunk_id"])).alias("place", "chunk_id")).select((F.col("place") + 1).alias("rank"), "chunk_id")
     return candidates.join(F.broadcast(ids), "chunk_id")  # k rows at most
 
@@ -214,22 +228,19 @@ def without_redundant(candidates: DataFrame, k: int, threshold: float = P.OVERLA
 def hybrid_search(vector: DataFrame, keyword: DataFrame, k: int, rrf_k: int = P.RRF_K, threshold: float | None = P.OVERLAP_THRESHOLD, digits: int | None = None) -> DataFrame:
     """Fused, without redundant chunks, score scaled to 1 for a chunk first in both rankings.
 
-    Without any keyword hit the first k vector hits stand as they are, mode ``vector``.
+    Without any keyword hit the first k vector hits stand as they are, mode ``vector``. Which of the two holds is told
+    by the fused rows themselves (forty at most), so each side is searched once.
     """
-    if keyword.isEmpty():
-        return vector_only(vector, k)
     both = fuse(vector, keyword, rrf_k)
     if digits is not None:
         both = both.withColumn("rrf_score", F.round("rrf_score", digits))
     order = [F.col("rrf_score").desc(), F.col("best_rank"), F.col("chunk_id")]
     both = both.orderBy(*order).limit(2 * P.CANDIDATES).withColumn("order_no", F.row_number().over(W.orderBy(*order)))
+    both = both.withColumn("alone", F.max("keyword_rank").over(W.partitionBy()).isNull())
     chosen = both.filter(F.col("order_no") <= k).withColumn("rank", F.col("order_no")) if threshold is None else without_redundant(both, k, threshold)
     score = F.least(F.lit(1.0), F.col("rrf_score") / (2.0 / (rrf_k + 1)))
-    return chosen.withColumns({"score": F.round(score, digits) if digits is not None else score, "retrieval_mode": F.lit("hybrid")}).drop("order_no", "best_rank")
-
-
-def vector_only(vector: DataFrame, k: int) -> DataFrame:
-    return vector.filter(F.col("rank") <= k).withColumns({"retrieval_mode": F.lit("vector"), "vector_rank": F.col("rank"), "vector_score": F.col("score")})
+    score = F.when(F.col("alone"), F.col("vector_score")).otherwise(F.round(score, digits) if digits is not None else score)
+    return chosen.withColumns({"score": score, "retrieval_mode": F.when(F.col("alone"), "vector").otherwise("hybrid")}).drop("order_no", "best_rank", "alone")
 
 
 def search_response(hits: DataFrame, question: str, document_ids: list[str], top_k: int) -> DataFrame:

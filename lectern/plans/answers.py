@@ -9,12 +9,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import patterns as P
-from lectern.operators import catalog, identity, memory, retrieval
+from lectern.operators import catalog, chunking, cleaning, identity, memory, retrieval
 from lectern.sources import stores
 from lectern.streaming import ingest
 
@@ -52,7 +53,7 @@ def ingest_document(library: Library, pages: DataFrame, file_name: str, embed: E
 
     ``pages`` holds one document, whose key is its fingerprint. ``keep`` may write a table and read it back.
     """
-    at = F.current_timestamp()
+    at = F.lit(datetime.now(UTC))  # one time for the whole request
     key = pages.select("document_key").first()[0]
     new = library.spark.createDataFrame([(str(uuid.uuid5(uuid.NAMESPACE_OID, key)), key, file_name)], "document_id string, content_fingerprint string, original_file_name string")
     library.documents = keep(catalog.register(library.documents, new, at))
@@ -61,7 +62,8 @@ def ingest_document(library: Library, pages: DataFrame, file_name: str, embed: E
         chunks = keep(ingest.ingest(pages).withColumn("document_id", F.lit(document_id)).withColumn("source_file_name", F.lit(file_name)))
         count = chunks.count()
         if not count:
-            raise ValueError("the document has no text")
+            refused = chunking.refused_documents(cleaning.clean_pages(pages)).first()
+            raise ValueError(refused.problem if refused else "the document has no text")
         expected = chunks.groupBy("document_id", "ingestion_fingerprint").agg(F.count(F.lit(1)).alias("n_chunks"))
         stored = library.chunks if library.chunks is not None else chunks.withColumn("embedding", F.array().cast("array<float>")).limit(0)
         plan = identity.ingestion_plan(expected, stored).first()
@@ -73,7 +75,9 @@ def ingest_document(library: Library, pages: DataFrame, file_name: str, embed: E
 
         def replace() -> None:
             own = retrieval.index_source(retrieval.document_chunks(stored, document_id))
-            library.index = keep(retrieval.without_document(index, document_id).unionByName(own))
+            new = keep(retrieval.without_document(index, document_id).unionByName(own))
+            new.write.format("noop").mode("overwrite").save()  # what fails, fails here
+            library.index = new
 
         stores.replace_document_safely(replace)
         library.documents = keep(catalog.mark_ready(library.documents, document_id, count, at))
@@ -125,7 +129,7 @@ def answer_question(library: Library, question: str, document_id: str, top_k: in
 
 def chat_turn(library: Library, chat_id: str, message: str, top_k: int | None, embed: Embed, model: Model, stage: Callable[[str], None] = lambda _: None, system: str = "Answer from the sources only.") -> dict:
     """Understand, search, generate, save. A summary is kept even where the answer then fails."""
-    at = F.current_timestamp()
+    at = F.lit(datetime.now(UTC))  # one time for the whole request
     q = retrieval.checked_question(message)
     stage("UNDERSTANDING")
     context = catalog.chat_context(library.chats, library.chat_documents).filter(F.col("chat_id") == chat_id).first()

@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import patterns as P
 from lectern.functions import text as T
 from lectern.operators import catalog, chunking, cleaning, identity, memory, preview, retrieval
-from lectern.sources.pages import paged, table
+from lectern.plans import structure
+from lectern.sources.pages import paged, spread, table
 from lectern.streaming import ingest
 
 QUESTION = "re ing"
@@ -40,8 +42,17 @@ def query(sql: str | None = None):
 
 
 # ---- the tables as the domain ---------------------------------------------------------------
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents"), "doc_id")
+
+
+def _per_row(rule: Callable, returns: str, *columns: str) -> Column:
+    """A rule of cleaning or chunking, as it runs there, over the values of columns."""
+    return F.pandas_udf(lambda *values: pd.Series([rule(*v) for v in zip(*values, strict=True)]), returns)(*columns)
+
+
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    doc = table(spark, d, "documents")
+    doc = _documents(spark, d)
     return doc.select(
         F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("document_id"), F.col("doc_id").cast("int").alias("chunk_index"),
         F.substring_index("text", "\n", 1).alias("section_title"), F.col("lang").alias("source_file_name"), "text",
@@ -173,9 +184,19 @@ def hybrid_vector_fallback(spark, d):
     return retrieval.hybrid_search(cosine_topk(spark, d), nothing, 5).select("rank", "chunk_id", "score", "retrieval_mode")
 
 
-@query()
+_SHINGLES = "CASE WHEN {t} = '' OR len(string_split({t}, ' ')) < 5 THEN [] ELSE list_distinct(list_transform(range(1, len(string_split({t}, ' ')) - 3), lambda i: array_to_string(list_slice(string_split({t}, ' '), i, i + 4), ' '))) END"
+
+
+@query(_bm25_sql(_CONTENT) + f""", vector AS ({_VECTOR_SQL % ""}),
+    docs AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, source, doc_id, string_split(coalesce(text, ''), chr(10))[1] AS title, {_NORMAL.format("coalesce(text, '')")} AS t FROM documents),
+    fused AS (SELECT coalesce(v.chunk_id, k.chunk_id) AS chunk_id, least(coalesce(v.rank, 99), coalesce(k.rank, 99)) AS best, round(coalesce(1.0 / (60 + v.rank), 0) + coalesce(1.0 / (60 + k.rank), 0), 6) AS rrf
+              FROM (SELECT vector.* FROM vector JOIN docs USING (chunk_id)) v FULL JOIN keyword k ON v.chunk_id = k.chunk_id),
+    every AS (SELECT list({{'id': chunk_id, 'rrf': rrf, 'source': source, 'title': title, 'doc_id': doc_id, 't': t, 'g': {_SHINGLES.format(t="t")}}} ORDER BY rrf DESC, best, chunk_id) AS cs FROM fused JOIN docs USING (chunk_id)),
+    chosen AS (SELECT list_reduce(cs, lambda s, c: CASE WHEN len(s) < 10 AND len(list_filter(s, lambda x: x.source = c.source AND ((trim(x.title) <> '' AND x.title = c.title) OR abs(x.doc_id - c.doc_id) <= 1)
+        AND CASE WHEN least(len(x.g), len(c.g)) = 0 THEN x.t = c.t ELSE len(list_intersect(x.g, c.g)) / least(len(x.g), len(c.g)) >= 0.6 END)) = 0 THEN list_append(s, c) ELSE s END, list_slice(cs, 1, 0)) AS cs FROM every)
+    SELECT CAST(i AS INTEGER) AS rank, c.id AS chunk_id, round(least(1.0, c.rrf / (2.0 / 61)), 6) AS score, 'hybrid' AS retrieval_mode FROM (SELECT unnest(cs) AS c, generate_subscripts(cs, 1) AS i FROM chosen)""")
 def redundancy_select(spark, d):
-    """The greedy choice among fused candidates: each depends on those chosen before (held against a plain version in the tests)."""
+    """The greedy choice among fused candidates: each depends on those chosen before."""
     chunks = _chunks(spark, d)
     v = cosine_topk(spark, d).join(chunks, "chunk_id")
     k = bm25_topk(spark, d).join(chunks, "chunk_id")
@@ -187,7 +208,7 @@ def redundancy_select(spark, d):
     SELECT a.doc_id, b.doc_id AS next_id, round(CASE WHEN least(len(a.g), len(b.g)) = 0 THEN CASE WHEN a.t = b.t THEN 1.0 ELSE 0.0 END ELSE len(list_intersect(a.g, b.g)) / least(len(a.g), len(b.g)) END, 6) AS overlap
     FROM s a JOIN s b ON b.doc_id = a.doc_id + 1""")
 def shingle_overlap(spark, d):
-    doc = table(spark, d, "documents").select("doc_id", "text")
+    doc = _documents(spark, d).select("doc_id", "text")
     s = doc.select("doc_id", T.shingles(F.col("text")).alias("g"), T.normalized_words(F.col("text")).alias("t"))
     b = s.select(F.col("doc_id").alias("next_id"), F.col("g").alias("h"), F.col("t").alias("u"))
     overlap = F.round(T.overlap_coefficient(F.col("g"), F.col("h"), F.col("t") == F.col("u")), 6)
@@ -200,12 +221,7 @@ def doc_fingerprints(spark, d):
     return table(spark, d, "documents").select("doc_id", identity.fingerprint(F.coalesce("text", F.lit(""))).alias("fingerprint"))
 
 
-_PAGES_SQL = """lines AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-    numbered AS (SELECT doc_id, source, ls, unnest(range(1, CAST(ceil(len(ls) / {n}.0) AS BIGINT) + 1)) AS page_number FROM lines),
-    paged AS (SELECT CAST(doc_id AS VARCHAR) AS document_key, source, CAST(page_number AS INTEGER) AS page_number, array_to_string(list_slice(ls, (page_number - 1) * {n} + 1, page_number * {n}), chr(10)) AS text FROM numbered)"""
-
-
-@query(f"WITH {_PAGES_SQL.format(n=40)} SELECT document_key, page_number, document_key || ':' || page_number AS page_id, length(text) AS n_chars, sha256(text) AS fingerprint FROM paged")
+@query(f"WITH {structure.pages_sql(40)} SELECT document_key, page_number, document_key || ':' || page_number AS page_id, length(text) AS n_chars, sha256(text) AS fingerprint FROM paged")
 def page_split(spark, d):
     return paged(table(spark, d, "documents")).select("document_key", "page_number", "page_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("fingerprint"))
 
@@ -215,14 +231,14 @@ def _page_chunks(spark, d):
     return p.select(F.col("document_key").alias("document_fingerprint"), (F.col("page_number") - 1).alias("chunk_index"), "text")
 
 
-@query(f"""WITH {_PAGES_SQL.format(n=40)}, named AS (SELECT document_key, page_number - 1 AS i, sha256(text) AS chunk_fingerprint, md5(document_key || ':' || (page_number - 1) || ':' || sha256(text)) AS h FROM paged)
+@query(f"""WITH {structure.pages_sql(40)}, named AS (SELECT document_key, page_number - 1 AS i, sha256(text) AS chunk_fingerprint, md5(document_key || ':' || (page_number - 1) || ':' || sha256(text)) AS h FROM paged)
     SELECT document_key AS document_fingerprint, i AS chunk_index, chunk_fingerprint,
       substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-3' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS chunk_id FROM named""")
 def stable_chunk_ids(spark, d):
     return identity.with_chunk_identity(_page_chunks(spark, d)).select("document_fingerprint", "chunk_index", "chunk_fingerprint", "chunk_id")
 
 
-@query(f"WITH {_PAGES_SQL.format(n=40)} SELECT document_key AS document_fingerprint, sha256(document_key || string_agg(chr(31) || text, '' ORDER BY page_number)) AS ingestion_fingerprint, count(*) AS n_chunks FROM paged GROUP BY document_key")
+@query(f"WITH {structure.pages_sql(40)} SELECT document_key AS document_fingerprint, sha256(document_key || string_agg(chr(31) || text, '' ORDER BY page_number)) AS ingestion_fingerprint, count(*) AS n_chunks FROM paged GROUP BY document_key")
 def ingestion_fingerprint(spark, d):
     return identity.ingestion_fingerprints(_page_chunks(spark, d))
 
@@ -246,37 +262,28 @@ def supersede_old(spark, d):
 
 
 # ---- cleaning and structure -------------------------------------------------------------------------
-_NORMAL_LINE = r"""CASE WHEN regexp_matches(l, '^\s*$') THEN '' ELSE repeat(' ', least(40, length(regexp_extract(l, '^\s*')) + 3 * (length(regexp_extract(l, '^\s*')) - length(replace(regexp_extract(l, '^\s*'), chr(9), '')))))
-      || regexp_replace(regexp_replace(regexp_replace(l, '^\s+', ''), '[\p{Zs}\t\x0B\f]+', ' ', 'g'), '\s+$', '') END"""
-
-
 @query(f"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(160), ' '), '\\r\\n?', chr(10), 'g'), '\\n$', '') AS t FROM documents),
-    n AS (SELECT doc_id, CASE WHEN t = '' THEN [] ELSE list_transform(string_split(t, chr(10)), lambda l: {_NORMAL_LINE}) END AS ls FROM t)
+    n AS (SELECT doc_id, CASE WHEN t = '' THEN [] ELSE list_transform(string_split(t, chr(10)), lambda l: {structure.NORMAL_LINE}) END AS ls FROM t)
     SELECT doc_id, len(ls) AS n_lines, md5(array_to_string(ls, chr(10))) AS digest FROM n""")
 def normalize_lines(spark, d):
     doc = table(spark, d, "documents").select("doc_id", cleaning.normalized_lines(F.col("text"), compose=False).alias("ls"))
     return doc.select("doc_id", F.size("ls").cast("long").alias("n_lines"), F.md5(F.array_join("ls", "\n")).alias("digest"))
 
 
-_CANON = r"trim(lower(regexp_replace(line, '(?i)\bpage\s+\d+\s+(?:of|/)\s*\d+\b', 'page # of #', 'g')))"
-
-
-@query(f"""WITH {_PAGES_SQL.format(n=5)}, l AS (SELECT document_key, page_number, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM paged),
+@query(f"""WITH {structure.pages_sql(5)}, l AS (SELECT document_key, page_number, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM paged),
     f AS (SELECT *, row_number() OVER (PARTITION BY document_key, page_number ORDER BY i) AS a, row_number() OVER (PARTITION BY document_key, page_number ORDER BY i DESC) AS z FROM l WHERE trim(line) <> ''),
-    c AS (SELECT DISTINCT document_key, page_number, {_CANON} AS line FROM f WHERE a <= 3 OR z <= 3),
+    c AS (SELECT DISTINCT document_key, page_number, {structure.CANONICAL} AS line FROM f WHERE a <= 3 OR z <= 3),
     n AS (SELECT document_key, count(*) AS pages FROM paged GROUP BY document_key)
     SELECT document_key, line, count(*) AS n FROM c JOIN n USING (document_key) GROUP BY document_key, line, pages HAVING pages >= 2 AND count(*) >= greatest(2, ceil(pages * 0.6)) AND line <> ''""")
 def repeated_margins(spark, d):
-    p = paged(table(spark, d, "documents"), 5).withColumn("lines", F.transform(F.split("text", "\n", -1), T.normalize_line))
-    lined = p.withColumn("margins", cleaning.margin_indexes(F.col("lines")))
-    found = cleaning.repeated_margins(lined).select("document_key", F.explode("repeated").alias("line"))
-    counted = lined.select("document_key", F.explode(F.array_distinct(F.transform("margins", lambda i: T.canonical_margin(F.get("lines", i))))).alias("line")).groupBy("document_key", "line").agg(F.count(F.lit(1)).alias("n"))
-    return found.join(counted, ["document_key", "line"])
+    p = cleaning.by_document(paged(table(spark, d, "documents"), 5)).withColumn("lines", F.transform(F.split("text", "\n", -1), T.normalize_line))
+    return cleaning.margin_counts(p.withColumn("margins", cleaning.margin_indexes(F.col("lines"))))
 
 
 @query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t\r\f\x0B]*\n[ \t\r\f\x0B]*', chr(10), 'g'), '^\s+|\s+$', '', 'g'), '-\n(\p{Ll})', '\1', 'g'), '\n', ' ', 'g')) AS digest FROM documents""")
 def join_wrapped_prose(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(T.join_wrapped(F.coalesce("text", F.lit("")))).alias("digest"))
+    joined = _per_row(lambda t: cleaning.join_prose((t or "").strip().split("\n")), "string", "text")
+    return _documents(spark, d).select("doc_id", F.md5(joined).alias("digest"))
 
 
 _TITLE = r"""(len(ws) <= 14 AND NOT regexp_matches(c, '[.?!;:{}]$') AND len(list_filter(ws, lambda w: regexp_matches(w, '\p{L}'))) > 0
@@ -290,8 +297,8 @@ _TITLE = r"""(len(ws) <= 14 AND NOT regexp_matches(c, '[.?!;:{}]$') AND len(list
         WHEN {_TITLE} THEN 2 ELSE 0 END AS INTEGER) AS level FROM w)
     SELECT doc_id, level, count(*) AS n FROM v GROUP BY doc_id, level""")
 def heading_levels(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
-    return lines.groupBy("doc_id", T.heading_level(F.col("line")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    lines = _documents(spark, d).select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
+    return lines.groupBy("doc_id", _per_row(chunking.level_of, "int", "line").alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, regexp_replace(unnest(string_split(coalesce(text, ''), chr(10))), '^\s+|\s+$', '', 'g') AS c FROM documents)
@@ -301,30 +308,60 @@ def heading_levels(spark, d):
         OR regexp_matches(c, '^(([\w.$<>?\[\],]+\s+)+\w+\s*=.+;|[\w.$]+\s*\([^;]*\);)$') OR (contains(c, '->') AND (contains(c, '=') OR ends_with(c, ';')))) AS code_lines
     FROM l GROUP BY doc_id""")
 def line_kinds(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("c"))
+    lines = _documents(spark, d).select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("c"))
     n = lambda c: F.sum(c.cast("long"))
-    c = F.col("c")
-    return lines.groupBy("doc_id").agg(n(T.is_list_line(c)).alias("list_lines"), n(T.is_page_number(F.trim(c))).alias("page_numbers"), n(T.is_code_line(c, P.CODE_WORDS_CLEANING)).alias("code_lines"))
+    listed, code = (_per_row(rule, "boolean", "c") for rule in (cleaning.list_line, cleaning.code_line))
+    return lines.groupBy("doc_id").agg(n(listed).alias("list_lines"), n(T.is_page_number(F.trim("c"))).alias("page_numbers"), n(code).alias("code_lines"))
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\p{L}{1,4}|\p{N}{1,3}|[^\s\p{L}\p{N}]')) AS tokens FROM documents")
 def token_estimate(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.estimate_tokens(F.col("text")).cast("long").alias("tokens"))
+    return _documents(spark, d).select("doc_id", _per_row(lambda t: chunking.default_estimate(t or ""), "long", "text").alias("tokens"))
 
 
-@query()
+@query(f"WITH t AS (SELECT doc_id, {structure.sentences("coalesce(text, '')")} AS s FROM documents) SELECT doc_id, len(s) AS n, md5(array_to_string(s, chr(31))) AS digest FROM t")
+def sentence_split(spark, d):
+    found = _documents(spark, d).select("doc_id", _per_row(lambda t: chunking.sentences_of(t or ""), "array<string>", "text").alias("s"))
+    return found.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "\x1f")).alias("digest"))
+
+
+@query(f"""WITH {structure.clean_sql()} SELECT document_key, page_number, source AS source_file_name, text, TRUE AS text_cleaned, CAST(length(original) AS INTEGER) AS source_original_character_count,
+    CAST(length(text) AS INTEGER) AS source_cleaned_character_count, CAST(removed AS INTEGER) AS removed_margin_line_count FROM cleaned""")
 def clean_pages(spark, d):
     out = cleaning.clean_pages(paged(table(spark, d, "documents")))
     return out.select("document_key", "page_number", "source_file_name", "text", "text_cleaned", "source_original_character_count", "source_cleaned_character_count", "removed_margin_line_count")
 
 
-@query()
+_CHUNKS_SQL = f"WITH {structure.clean_sql()}, {structure.chunk_sql()}"
+
+
+@query(f"""{_CHUNKS_SQL} SELECT document_key, k AS chunk_index, text, FALSE AS contains_code, listed AS contains_list, heading AS contains_heading, section AS section_title, array_to_string(subs, '|') AS subsection_titles,
+      array_to_string(list_concat(CASE WHEN trim(section) <> '' THEN [section] ELSE [] END, subs), '|') AS heading_path, level AS max_heading_level, boundary AS structural_boundary, array_to_string(ids, ',') AS source_document_ids,
+      ids[1] AS source_document_id, CAST(len(ids) AS INTEGER) AS source_page_count, array_to_string(numbers, ',') AS page_numbers, list_min(numbers) AS start_page_number, list_max(numbers) AS end_page_number,
+      len(numbers) > 1 AS spans_pages, CAST(length(text) AS INTEGER) AS chunk_character_count, CAST(n AS INTEGER) AS content_token_count, CAST(overlap AS INTEGER) AS overlap_token_count, CAST(n + overlap AS INTEGER) AS estimated_token_count,
+      overlap > 0 AS overlap_applied, CASE WHEN overlap > 0 THEN k - 1 END AS overlap_source_chunk_index, boundary = 'new_section' OR (boundary = 'document_start' AND heading) AS starts_new_topic,
+      CAST(row_number() OVER (PARTITION BY document_key, list_min(numbers) ORDER BY k) - 1 AS INTEGER) AS page_chunk_index, CAST(count(*) OVER (PARTITION BY document_key, list_min(numbers)) AS INTEGER) AS page_chunk_count,
+      coalesce(lag(section) OVER w = section AND list_min(numbers) > lag(list_min(numbers)) OVER w, FALSE) AS continues_from_previous_page, CAST(original AS INTEGER) AS source_original_character_count, CAST(cleaned AS INTEGER) AS source_cleaned_character_count
+    FROM chunks WINDOW w AS (PARTITION BY document_key ORDER BY k)""")
 def chunk_documents(spark, d):
     out = chunking.chunk_pages(cleaning.clean_pages(paged(table(spark, d, "documents"))))
-    return out.select("document_key", "chunk_index", "text", "structural_boundary", "content_token_count", "overlap_token_count", "page_numbers", "page_chunk_index", "page_chunk_count", "section_title", "continues_from_previous_page")
+    joined = [F.array_join(c, "|").alias(c) for c in ("subsection_titles", "heading_path")] + [F.array_join("source_document_ids", ",").alias("source_document_ids"), F.array_join(F.col("page_numbers").cast("array<string>"), ",").alias("page_numbers")]
+    plain = "text contains_code contains_list contains_heading section_title max_heading_level structural_boundary source_document_id source_page_count start_page_number end_page_number spans_pages chunk_character_count content_token_count".split()
+    plain += "overlap_token_count estimated_token_count overlap_applied overlap_source_chunk_index starts_new_topic page_chunk_index page_chunk_count continues_from_previous_page source_original_character_count source_cleaned_character_count".split()
+    return out.select("document_key", "chunk_index", *plain, *joined)
+
+
+@query(f"{_CHUNKS_SQL} SELECT document_key, 'document has ' || count(*) || ' chunks, more than 3' AS problem FROM chunks GROUP BY document_key HAVING count(*) > 3")
+def refused_documents(spark, d):
+    """What too many chunks give: here more than three."""
+    return chunking.refused_documents(cleaning.clean_pages(paged(table(spark, d, "documents"))), max_chunks=3)
 
 
-@query()
+@query(f"""{_CHUNKS_SQL}, named AS (SELECT document_key, k, text, sha256(text) AS f, md5(document_key || ':' || k || ':' || sha256(text)) AS h FROM chunks),
+    whole AS (SELECT document_key, sha256(document_key || string_agg(chr(31) || text, '' ORDER BY k)) AS ingestion_fingerprint FROM chunks GROUP BY document_key)
+    SELECT document_key AS document_id, k AS chunk_index, f AS chunk_fingerprint, ingestion_fingerprint,
+      substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-3' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS chunk_id
+    FROM named JOIN whole USING (document_key)""")
 def ingest_documents(spark, d):
     out = ingest.ingest(paged(table(spark, d, "documents")))
     return out.select("document_id", "chunk_index", "chunk_id", "chunk_fingerprint", "ingestion_fingerprint")
@@ -455,3 +492,6 @@ def citation_extract(spark, d):
 def decoded_events(spark, d):
     bodies = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("event: token\ndata: "), "role", F.lit("\n\ndata:a\r\ndata: b\r\n\r\nevent: ping\n\n")).alias("body"))
     return ingest.decoded_events(bodies).select("conv_id", "turn", "event", "data")
+
+
+from lectern.plans import library  # noqa: E402, F401  (its queries are registered here too)

@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of fewer files than the session has shuffle partitions are dealt by ``key``, so that work on each row finds all cores.
+
+    A table of many files is read as it lies: no corpus of any size is shuffled for this.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, key) if len(rows.inputFiles()) < min(n, 8) else rows
+
+
 def paged(documents: DataFrame, lines_per_page: int = 40) -> DataFrame:
     """document_key, page_number, page_id, text, file_name: pages of so many lines, by expressions on each row."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)

@@ -72,3 +72,32 @@ def embedded(chunks: DataFrame, embed: Callable[[list[str], str], list[list[floa
 
 def embed_query(question: str, embed: Callable[[list[str], str], list[list[float]]]) -> list[float]:
     return embed([question], "RETRIEVAL_QUERY")[0]
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only in local mode, where they are one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "/tmp/checkpoints/lectern-store"
+    return root.rstrip("/")
+
+
+#: Stored postings lie in so many folders by a hash of their term.
+TERM_FOLDERS = 64
+
+
+def _folder(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_FOLDERS)).cast("int")
+
+
+def write_postings(index: DataFrame, path: str) -> None:
+    """Store postings by term; within a folder they are sorted, so that a reader skips what is not asked for."""
+    index.withColumn("folder", _folder(F.col("term"))).repartition("folder").sortWithinPartitions("folder", "term").write.mode("overwrite").partitionBy("folder").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
+    """Postings of the terms: only their folders are read, and in these only the row groups that can hold them."""
+    folders = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_folder(F.col("term"))).distinct().collect()]
+    return spark.read.parquet(path).filter(F.col("folder").isin(folders) & F.col("term").isin(terms)).drop("folder")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window as W
@@ -54,29 +55,65 @@ def safe_message(error: Exception, general: str = "The request could not be comp
     return str(error) if isinstance(error, ValueError) else general
 
 
-def chat_events(run: Callable[[Callable[[str], None]], Iterator[tuple[str, object]]]) -> Iterator[dict]:
+#: fixed: seconds after which a stream of a chat turn, and of an ingestion, ends
+CHAT_SECONDS, INGESTION_SECONDS = 180, 600
+
+
+def _until(events: Iterator[dict], late: Callable[[], dict], seconds: float, clock: Callable[[], float]) -> Iterator[dict]:
+    """Events up to the deadline, looked at before each is passed on; a late one gives way to a failure."""
+    end = clock() + seconds
+    for event in events:
+        if clock() > end:
+            events.close()
+            yield late()
+            return
+        yield event
+
+
+def chat_events(run: Callable[[Callable[[str], None]], Iterator[tuple[str, object]]], seconds: float = CHAT_SECONDS, clock: Callable[[], float] = time.monotonic) -> Iterator[dict]:
     """progress, sources and token events of a chat turn, then one result or failure.
 
     ``run`` gets a callback for stages and yields ("sources" | "token" | "result", data).
     """
-    stage = P.CHAT_STAGES[0][0]
-    pending: list[str] = [stage]
-
-    def enter(name: str) -> None:
-        pending.append(name)
-
-    try:
-        events = run(enter)
-        while True:
-            event = next(events, None)
-            while pending:
-                stage = pending.pop(0)
-                yield {"event": "progress", "data": stage_event(stage)}
-            if event is None:
-                return
-            yield {"event": event[0], "data": event[1]}
-    except Exception as e:  # whoever reads the stream gets one last event
-        yield {"event": "failure", "data": {"stage": stage, "message": safe_message(e)}}
+    stage = [P.CHAT_STAGES[0][0]]
+    pending = [stage[0]]
+
+    def made() -> Iterator[dict]:
+        try:
+            events = run(pending.append)
+            while True:
+                event = next(events, None)
+                while pending:
+                    stage[0] = pending.pop(0)
+                    yield {"event": "progress", "data": stage_event(stage[0])}
+                if event is None:
+                    return
+                yield {"event": event[0], "data": event[1]}
+        except Exception as e:  # whoever reads the stream gets one last event
+            yield {"event": "failure", "data": {"stage": stage[0], "message": safe_message(e)}}
+
+    yield from _until(made(), lambda: {"event": "failure", "data": {"stage": stage[0], "message": safe_message(TimeoutError())}}, seconds, clock)
+
+
+def ingestion_events(run: Callable[[], Iterator[tuple[int, int, int]]], finish: Callable[[], dict], attach: Callable[[dict], None] = lambda _: None, seconds: float = INGESTION_SECONDS, clock: Callable[[], float] = time.monotonic) -> Iterator[dict]:
+    """progress events of an ingestion, then one result or failure.
+
+    ``run`` yields (chunks, total, tokens) of each embedded batch, ``finish`` gives the response, and ``attach`` may
+    link the document to a chat before the result is told.
+    """
+    def made() -> Iterator[dict]:
+        completed = tokens = 0
+        try:
+            for chunks, total, used in run():
+                completed, tokens = min(total, completed + chunks), tokens + used
+                yield {"event": "progress", "data": {"completed": completed, "total": total, "tokens": tokens}}
+            response = finish()
+            attach(response)
+            yield {"event": "result", "data": response}
+        except Exception as e:  # whoever reads the stream gets one last event
+            yield {"event": "failure", "data": {"message": safe_message(e)}}
+
+    yield from _until(made(), lambda: {"event": "failure", "data": {"message": safe_message(TimeoutError())}}, seconds, clock)
 
 
 def answer_text(fragments: Iterator[tuple[str, dict | None]], token: Callable[[str], None] = lambda _: None) -> tuple[str, dict | None]:

@@ -86,3 +86,21 @@ def test_previews(spark):
         preview.preview(c, 0)
     hits = spark.createDataFrame([(1, 0.725), (3, 0.1)], "rank int, score double")
     assert [x.relevance for x in preview.visible_sources(hits).collect()] == [73]
+
+
+def test_streams_end_in_time():
+    from lectern.streaming.ingest import chat_events, ingestion_events
+
+    now = iter(range(0, 10_000, 100))
+    late = list(chat_events(lambda enter: iter([("token", str(i)) for i in range(9)]), clock=lambda: next(now)))
+    assert late[-1]["event"] == "failure" and len(late) == 2
+    attached = []
+    out = list(ingestion_events(lambda: iter([(2, 5, 10), (4, 5, 20)]), lambda: {"document_id": "d"}, attached.append))
+    assert [e["data"] for e in out] == [{"completed": 2, "total": 5, "tokens": 10}, {"completed": 5, "total": 5, "tokens": 30}, {"document_id": "d"}] and attached == [{"document_id": "d"}]
+
+    def refuse():
+        raise ValueError("not a PDF")
+
+    assert list(ingestion_events(lambda: iter([]), refuse)) == [{"event": "failure", "data": {"message": "not a PDF"}}]
+    now = iter(range(0, 10_000, 400))
+    assert list(ingestion_events(lambda: iter([(1, 9, 1)] * 9), dict, clock=lambda: next(now)))[-1]["event"] == "failure"

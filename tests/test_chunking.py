@@ -77,3 +77,30 @@ def test_ingestion_fingerprint_is_that_of_the_chunk_texts(spark):
     chunks = ingest(df)
     want = {r.document_fingerprint: r.ingestion_fingerprint for r in ingestion_fingerprints(chunks.drop("ingestion_fingerprint")).collect()}
     assert {r.document_id: r.ingestion_fingerprint for r in chunks.collect()} == want
+
+
+def test_a_refused_document_keeps_no_other_back(spark):
+    from lectern.operators.chunking import drafts, refused_documents
+
+    rows = [("long", 1, "l:1", "\n\n".join(f"# Title {i}\n\nwords" for i in range(9)), 0, 0), ("short", 1, "s:1", "Plain words.", 0, 0)]
+    df = spark.createDataFrame(rows, "document_key string, page_number int, page_id string, text string, source_original_character_count int, source_cleaned_character_count int")
+    assert [(r.document_key, r.problem) for r in refused_documents(df, max_chunks=5).collect()] == [("long", "document has 9 chunks, more than 5")]
+    assert [r.text for r in drafts(df, max_chunks=5).filter("problem IS NULL").collect()] == ["Plain words."]
+
+
+def test_counts_that_add_up_and_those_that_dont_give_the_same_chunks():
+    text = "1. Topic\n\n" + "".join(SENTENCE.format(i) for i in range(40)) + "\n\n- a\n- b c\n\n" + "y" * 3000 + "; " + "z" * 3000
+    assert chunks(text) == chunks(text, estimate=lambda t: default_estimate(t))
+
+
+def test_a_byte_pair_vocabulary_counts_tokens(tmp_path):
+    import base64
+
+    from lectern.operators.chunking import bpe_estimate
+
+    words = [bytes([i]) for i in range(256)] + [b"th", b"the", b" t", b" th", b" the"]
+    path = tmp_path / "small.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(w) + b" %d" % i for i, w in enumerate(words)))
+    estimate = bpe_estimate(str(path), r" ?\w+|[^\w\s]|\s")
+    assert estimate("the the, x") == 5 and not getattr(estimate, "additive", False)
+    assert all(d.tokens == estimate(d.text) for d in chunks("the the the. " * 50, estimate=estimate, target=20, limit=30, preferred=5, overlap_limit=0))

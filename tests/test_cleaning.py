@@ -8,9 +8,9 @@ def cleaned(spark, *pages):
 
 
 def test_repeated_footers_go_and_prose_is_joined(spark):
-    out = cleaned(spark, *[f"Intro {x} begins here\nand goes on for a while.\n\nMiddle words {x}.\nAlways The Same\nPage {x} of 3" for x in (1, 2, 3)])
+    out = cleaned(spark, *[f"Intro {x} begins here\nand goes on for {x} whiles.\n\nMiddle words {x}.\nAlways The Same\nPage {x} of 3" for x in (1, 2, 3)])
     assert all(r.removed_margin_line_count == 2 for r in out)
-    assert out[0].text == "Intro 1 begins here and goes on for a while.\n\nMiddle words 1."
+    assert out[0].text == "Intro 1 begins here and goes on for 1 whiles.\n\nMiddle words 1."
     assert out[0].source_file_name == "f.pdf" and out[0].text_cleaned
 
 

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +79,27 @@ def test_backfill(spark):
     assert [r.document_id for r in R.backfill_plan(stored, index).collect()] == ["1"]
     assert sorted(r.chunk_id for r in R.backfilled(stored, index).collect()) == ["a", "b", "c"]
     assert R.without_document(index, "1").count() == 1
+
+
+def test_a_search_that_fails_when_it_runs_costs_its_hits_only(spark):
+    schema = "chunk_id string, document_id string, score double, rank int"
+    broken = R.index_source(spark.createDataFrame([("a", "d", "words", "s")], "chunk_id string, document_id string, text string, section_title string")).withColumn("content", F.raise_error(F.lit("gone")))
+    assert R.degraded(lambda: R.bm25_search(broken, "words"), schema, spark).isEmpty()
+
+
+def test_chunks_without_ids_are_fused_by_document_and_fingerprint(spark):
+    row = "rank int, score double, text string, chunk_id string, document_id string, chunk_fingerprint string, chunk_index int, section_title string"
+    v = spark.createDataFrame([(1, 0.9, "t", " ", "d", "f", 0, "")], row)
+    k = spark.createDataFrame([(1, 2.0, "t", None, "d", "f", 0, ""), (2, 1.0, "u", None, "d", "g", 5, "")], row)
+    assert [r.chunk_id for r in R.hybrid_search(v, k, 5).orderBy("rank").collect()] == ["d:f", "d:g"]
+
+
+def test_stored_postings_are_read_pruned(spark, tmp_path):
+    from lectern.sources import stores
+
+    source = R.index_source(spark.createDataFrame([(str(i), "d", f"alpha w{i} beta", "s") for i in range(50)], "chunk_id string, document_id string, text string, section_title string"))
+    stores.write_postings(R.postings(source, ["content"]), str(tmp_path / "p"))
+    mine = stores.read_postings(spark, str(tmp_path / "p"), ["w7", "w8"])
+    assert sorted(r.term for r in mine.collect()) == ["w7", "w8"]
+    plan = mine._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*folder", plan) and "In(term" in plan
