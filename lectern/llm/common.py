@@ -54,6 +54,15 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Small Arrow batches, by rows and bytes, so that a worker's memory is taken by its work.
+
+    For the queries and stages, which own their session; operators leave its settings alone and work with any.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def carried(docs: DataFrame, *needed: str) -> DataFrame:
     """The needed columns, and all others in one struct, so that no name clashes with an operator's own."""
     others = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c not in needed]

@@ -103,7 +103,7 @@ def pieces(raw: bytes) -> Iterator[bytes]:
 def labelled_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(labelled shingle hashes in text order, number per text, word count per text), for all texts at once."""
     raws = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
-    if sum(map(len, raws)) <= 4 * BLOCK:
+    if sum(map(len, raws)) <= 2 * BLOCK:
         word, words = word_hashes(raws)
     else:
         parts = [[word_hashes([p])[0] for p in pieces(r)] for r in raws]

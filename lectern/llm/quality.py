@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WIDTH, FILTERS, HIDDEN, HALF = 4, 32, 24, 64
-BLOCK = 1 << 18
+BLOCK = 1 << 17
 
 
 def held_out(doc_id: Column) -> Column:

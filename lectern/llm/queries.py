@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.chat import chat_digests, chat_windows
-from lectern.llm.common import read
+from lectern.llm.common import bounded_batches, read
 from lectern.llm.hamming import sign_codes, top_k
 from lectern.llm.htmlgbt import extract_main_text
 from lectern.llm.linededup import dedup_lines
@@ -40,6 +40,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return extract_main_text(read(spark, sf_dir, "pages"))
 
 
@@ -51,10 +52,12 @@ def tokenizer_path() -> str:
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     network = fit_quality(docs, read(spark, sf_dir, "labels"))
     return score_quality(docs, network).select("doc_id", "held_out", "score", "predicted")
@@ -67,6 +70,7 @@ def op8_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return near_classes(read(spark, sf_dir, "documents"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import carried, read, restored, spool, text_digest, text_or_empty, word_count
+from lectern.llm.common import bounded_batches, carried, read, restored, spool, text_digest, text_or_empty, word_count
 from lectern.llm.linededup import dedup_lines
 from lectern.llm.mixing import mix_sized
 from lectern.llm.omh import near_representatives
@@ -20,6 +20,7 @@ from lectern.llm.queries import tokenizer_path
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject, as they are: a null or empty text is judged as an empty one."""
+    bounded_batches(spark)
     network = fit_quality(docs, read(spark, sf_dir, "labels"))
     scored = score_quality(carried(docs, "doc_id", "text"), network).filter("predicted = 1")
     return restored(scored, docs.columns, ("doc_id", "text"))
@@ -44,6 +45,7 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     All empty and null texts are one class. Rows equal in id and text are one document; of such rows that
     differ in other columns, the one of the least hash of all columns stays.
     """
+    bounded_batches(spark)
     keys = {"known": F.col("doc_id").isNotNull(), "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "digest": text_digest()}
     kept = near_representatives(docs).select((F.col("doc_id").isNotNull()).alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), "digest", "rows_alike")
     rows = carried(docs, "doc_id", "text").withColumns(keys).join(kept, ["known", "id", "digest"])
@@ -76,4 +78,5 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 4096 tokens; null and empty texts give their end id, repeated rows go in each."""
+    bounded_batches(spark)
     return pack(docs, tokenizer_path())
