@@ -36,10 +36,11 @@ class Limits:
     loss: int = 4096
 
 
-#: Letters that lower-casing and composing leave as single letters, then marks: two separate tokens to split.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Letters that lower-casing and composing leave as single letters; marks after them are separate tokens (but for the apostrophe's).
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 #: Python's str.split parts words at these four too; they are no white space in Unicode.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 _SPACE = re.compile("[ \t\n]")
 #: A text of twice as many characters is tokenized in pieces of about so many.
 PIECE = 1 << 20
@@ -49,8 +50,8 @@ class WordCache:
     """Token ids, as little-endian unsigned 32-bit bytes, of white-space separated words.
 
     The tokenizer sees each new word once. Exact for tokenizers that drop white space and never
-    join words across it. Two generations of at most ``room`` words each, and the letters of three
-    times as many, keep the memory bounded and the frequent words known.
+    join words across it. Two generations of at most ``room`` words each, and two of the letters of two and
+    a half times as many, keep the memory bounded and the frequent words known.
     """
 
     def __init__(self, path: str, room: int = 300_000):
@@ -59,7 +60,7 @@ class WordCache:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.room, self.new, self.old, self.cores, self.marks = room, {}, {}, {}, {"": b""}
+        self.room, self.new, self.old, self.cores, self.past, self.marks = room, {}, {}, {}, {}, {"": b""}
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -74,31 +75,58 @@ class WordCache:
         if not self.by_letters:
             self.new.update(zip(words, self._direct(words), strict=True))
             return
-        parts = [(w, _PLAIN.fullmatch(w)) for w in words]
-        odd = [w for w, m in parts if not m]
-        self.new.update(zip(odd, self._direct(odd), strict=True))
-        split = [(w, m[1].lower(), m[2]) for w, m in parts if m]
-        marks = sorted({p for _, _, p in split}.difference(self.marks))
-        self.marks.update(zip(marks, self._direct(marks), strict=True))
-        cores = sorted({c for _, c, _ in split}.difference(self.cores))
-        if cores:  # one call for all: a token that closes a word tells where the next begins
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids, "<u4")
+        new, cores, past, marks = self.new, self.cores, self.past, self.marks
+        fresh, odd = [], []
+        for w in words:
+            c = w.rstrip(_MARKS)
+            low = c.lower()
+            ids = cores.get(low)
+            if ids is None and low in past:
+                ids = cores[low] = past[low]
+            if ids is not None and (low == c or c.isascii()):  # known letters with other marks or cases
+                p = w[len(c) :]
+                if p in marks:
+                    new[w] = ids + marks[p]
+                else:
+                    fresh.append((w, low, p))
+            elif _PLAIN.fullmatch(c):
+                fresh.append((w, low, w[len(c) :]))
+            else:
+                odd.append(w)
+        new.update(zip(odd, self._direct(odd), strict=True))
+        unknown = list({p for _, _, p in fresh}.difference(marks))
+        marks.update(zip(unknown, self._direct(unknown), strict=True))
+        unknown = list({c for _, c, _ in fresh}.difference(cores))
+        if unknown:  # one call for all: a token that closes a word tells where the next begins
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(unknown)], add_special_tokens=False)[0].ids, "<u4")
             ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
-            raw = ids.tobytes()
-            self.cores.update(zip(cores, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-        self.new.update((w, self.cores[c] + self.marks[p]) for w, c, p in split)
-        if len(self.cores) > 3 * self.room:
-            self.cores = {}
+            raw, at = ids.tobytes(), 0
+            for c, end in zip(unknown, ends, strict=True):
+                cores[c] = raw[at:end]
+                at = end
+        for w, c, p in fresh:
+            new[w] = cores[c] + marks[p]
+        if len(self.cores) > 5 * self.room // 2:
+            self.past, self.cores = cores, {}
         if len(self.marks) > 10_000:
             self.marks = {"": b""}
 
+    def _lowered(self, text: str) -> str:
+        """The text in lower case where that is what the tokenizer makes of it, letter by letter: fewer words to know."""
+        if not self.by_letters:
+            return text
+        try:
+            return text.lower() if text.isascii() or text.encode("latin-1") else text
+        except UnicodeEncodeError:
+            return text
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if any(len(t) > 2 * PIECE for t in texts):
             return [b"".join(x for p in pieces(t) for x in self._encode([p])) for t in texts]
         return self._encode(texts)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.split() for t in texts]
+        words = [self._lowered(t).split() for t in texts]
         missing = set().union(*words).difference(self.new)
         known = [w for w in missing if w in self.old]
         self.new.update((w, self.old[w]) for w in known)
@@ -111,7 +139,7 @@ class WordCache:
         if len(self.new) > self.room:
             self.old, self.new = self.new, {}
         for i, t in enumerate(texts):
-            if _SEPARATORS.search(t):
+            if any(c in t for c in _SEPARATORS):
                 out[i] = self._direct([t])[0]
         return out
 
