@@ -38,12 +38,17 @@ def spool(df: DataFrame) -> DataFrame:
     costs no recomputation, and gives the planner true sizes for its join choices.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spool-{uuid.uuid4().hex}"
+    path = track(spark, f"{shared_dir(spark)}/spool-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _spooled.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def track(spark: SparkSession, path: str) -> str:
+    """``path``, which goes when the session's Python process ends."""
+    _spooled.append((spark, path))
+    return path
+
+
 def _clean() -> None:
     for spark, path in _spooled:
         with suppress(Exception):  # the session may have ended; the other folders are still tried

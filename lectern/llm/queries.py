@@ -17,6 +17,7 @@ from lectern.llm.mixing import entropy_mix
 from lectern.llm.omh import near_classes
 from lectern.llm.packing import pack
 from lectern.llm.quality import fit_quality, score_quality
+from lectern.llm.tokenfile import new_path, read_token_files, write_token_files
 from lectern.llm.urlfilter import filter_urls
 
 
@@ -79,6 +80,12 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark)
+    write_token_files(read(spark, sf_dir, "documents"), path, tokenizer_path())
+    return read_token_files(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_fingerprint": op2_fingerprint,
@@ -90,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hamming": op8_hamming,
     "op9_near": op9_near,
     "op10_mix": op10_mix,
+    "op13_token_files": op13_token_files,
 }
 
 #: fixed rules of op4, as op4_url_filter has them
