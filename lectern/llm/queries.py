@@ -17,6 +17,7 @@ from lectern.llm.mixing import entropy_mix
 from lectern.llm.omh import near_classes
 from lectern.llm.packing import pack
 from lectern.llm.quality import fit_quality, score_quality
+from lectern.llm.tokenalign import align_tokens
 from lectern.llm.tokenfile import new_path, read_token_files, write_token_files
 from lectern.llm.urlfilter import filter_urls
 
@@ -45,11 +46,11 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(read(spark, sf_dir, "pages"))
 
 
-def tokenizer_path() -> str:
-    """The vocabulary of op6, from the folder of public tokenizers."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A vocabulary from the folder of public tokenizers; that of op6 and op13 if none is named."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +81,10 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark)
     write_token_files(read(spark, sf_dir, "documents"), path, tokenizer_path())
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hamming": op8_hamming,
     "op9_near": op9_near,
     "op10_mix": op10_mix,
+    "op11_align": op11_align,
     "op13_token_files": op13_token_files,
 }
 
