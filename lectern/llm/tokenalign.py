@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ from lectern.llm.common import spool
 
 #: a single blank between characters that are no white space; only here a text is cut
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: a blank beside white space, or white space at an end: here ``str.split`` would cut elsewhere
+_ODD = re.compile(r" \s|\s(?: |\Z)|\A\s")
 #: texts are cut into pieces of about so many characters before their words are looked up
 PIECE = 1 << 18
 #: links of a block, and of the pieces that a worker knows, at most (about)
@@ -178,10 +181,8 @@ def cut(text: str) -> Iterator[list[str]]:
     while at < len(text):
         m = _CUT.search(text, at + PIECE) if len(text) - at > 2 * PIECE else None
         end = m.start() if m else len(text)
-        # where an early blank is a cut for str.split too, that is faster
         part = text[at:end]
-        words = part.split(" ")
-        yield words if all(words) and not any(w[0].isspace() or w[-1].isspace() for w in words) else _CUT.split(part)
+        yield _CUT.split(part) if _ODD.search(part) else part.split(" ")
         at = end + 1
 
 
@@ -191,8 +192,8 @@ class Measured:
     def __init__(self) -> None:
         self.counts, self.pairs, self.digest, self.whole = np.zeros(4, np.int64), [], hashlib.sha256(), True
 
-    def add(self, known: Aligner, words: list[str]) -> None:
-        i = known.look_up(words)
+    def add(self, known: Aligner, i: np.ndarray) -> None:
+        """The next pieces, by their numbers."""
         counts = known.counts.held[i]
         if (counts[:, 0] < 0).any():
             self.whole = False
@@ -215,6 +216,44 @@ class Measured:
         return self.counts, self.digest.hexdigest(), pairs, times
 
 
+def measure(known: Aligner, texts: list[str]) -> Iterator[Measured]:
+    """Each text; pieces of short ones are looked up together."""
+    at = 0
+    while at < len(texts):
+        to, size, words, edges = at, 0, [], [0]
+        while to < len(texts) and (to == at or size + len(texts[to]) <= PIECE) and len(texts[to]) <= PIECE:
+            size += len(texts[to])
+            words += next(cut(texts[to]), [])
+            edges.append(len(words))
+            to += 1
+        if to > at:
+            i = known.look_up(words)
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                m = Measured()
+                if hi > lo:
+                    m.add(known, i[lo:hi])
+                yield m
+            at = to
+        else:
+            m = Measured()
+            for words in cut(texts[at]):
+                m.add(known, known.look_up(words))
+            yield m
+            at += 1
+
+
+def slices(texts: pa.Array) -> Iterator[list[str]]:
+    """Texts as Python strings, null ones empty, so many at a time that they don't pile up."""
+    at = size = 0
+    for to, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if to > at and size + n > 4 * PIECE:
+            yield [t or "" for t in texts.slice(at, to - at).to_pylist()]
+            at, size = to, 0
+        size += n
+    if at < len(texts):
+        yield [t or "" for t in texts.slice(at).to_pylist()]
+
+
 def summed(pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct pairs, rising, and the sums of their times."""
     order = np.argsort(pairs, kind="stable")
@@ -259,11 +298,7 @@ def _measure(path_a: str, path_b: str, id_type: pa.DataType, block_links: int):
             return out
 
         for b in batches:
-            # the batch's texts become Python strings one after the other
-            for k, text in zip(b.column("doc_id"), b.column("text"), strict=True):
-                m = Measured()
-                for words in cut(text.as_py() or ""):
-                    m.add(known, words)
+            for k, m in zip(b.column("doc_id"), (m for texts in slices(b.column("text")) for m in measure(known, texts)), strict=True):
                 counts, digest, pairs, times = m.result()
                 rows.append((block, k.as_py(), *counts.tolist(), digest, small(np.diff(pairs, prepend=0)), small(times), None, None))
                 held.append((pairs, times))

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from lectern.llm.common import read
 from lectern.llm.queries import op11_align, tokenizer_path
-from lectern.llm.tokenalign import Aligner, Measured, align_tokens, byte_of_letter, components, cut, measured, pair_counts
+from lectern.llm.tokenalign import Aligner, Measured, align_tokens, byte_of_letter, components, cut, measure, measured, pair_counts
 
 A, B = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
 
@@ -86,7 +86,7 @@ def test_hard_texts_and_repeated_rows(spark, make_docs, plain):
 def test_any_text_is_aligned_as_a_whole(plain, text):
     known, m = Aligner_once(), Measured()
     for words in cut(text):
-        m.add(known, words)
+        m.add(known, known.look_up(words))
     counts, digest, pairs, times = m.result()
     (_, n_a, n_b, n_groups, n_links, _, _, expected), = brute([(0, text)], plain)
     assert (*counts.tolist(), digest) == (n_a, n_b, n_groups, n_links, expected)
@@ -103,6 +103,19 @@ def Aligner_once():
     return _made[0]
 
 
+def test_long_texts_give_what_short_pieces_give(plain):
+    known = Aligner_once()
+    known.forget()
+    long = "".join(f"wörd{i % 5000} and\n{i}  x" for i in range(60_000))
+    (m,) = measure(known, [long])
+    counts, digest, pairs, times = m.result()
+    (x, y) = plain(long)
+    ends = {e for _, (_, e) in x} & {f for _, (_, f) in y}
+    assert counts.tolist() == [len(x), len(y), len(ends), len({e for _, (_, e) in x} | {f for _, (_, f) in y})] and times.sum() == counts[3]
+    assert [m.result()[1] for m in measure(known, ["", "a b", long, "a b"])] == ["", *[m.result()[1] for t in ("a b", long, "a b") for m in measure(known, [t])]]
+    assert digest == [m.result()[1] for m in measure(known, [long])][0]
+
+
 def test_union_find_finds_components():
     rng = np.random.default_rng(3)
     for _ in range(50):
