@@ -20,6 +20,7 @@ from lectern.llm.quality import fit_quality, score_quality
 from lectern.llm.tokenalign import align_tokens
 from lectern.llm.tokenfile import new_path, read_token_files, write_token_files
 from lectern.llm.urlfilter import filter_urls
+from lectern.llm.variants import counted_words, variant_groups
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +86,10 @@ def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_groups(counted_words(read(spark, sf_dir, "documents")))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark)
     write_token_files(read(spark, sf_dir, "documents"), path, tokenizer_path())
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near": op9_near,
     "op10_mix": op10_mix,
     "op11_align": op11_align,
+    "op12_variants": op12_variants,
     "op13_token_files": op13_token_files,
 }
 
