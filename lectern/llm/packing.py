@@ -155,8 +155,8 @@ def pieces(text: str) -> Iterator[str]:
 
 
 @lru_cache(maxsize=2)
-def word_cache(path: str) -> WordCache:
-    return WordCache(path)
+def word_cache(path: str, room: int = 300_000) -> WordCache:
+    return WordCache(path, room)
 
 
 def place(tokens: np.ndarray, loss_share: np.ndarray, limits: Limits) -> list[tuple[int, int, int, int, int]]:

@@ -52,6 +52,8 @@ STEP = 64
 BLOCK_IDS = 1 << 21
 #: bytes of text per file, about
 FILE_BYTES = 64 << 20
+#: bytes of text that a worker tokenizes at a time, about, and words that it knows in a generation
+SLICE, KNOWN = 4 << 20, 100_000
 
 
 @dataclass(frozen=True)
@@ -161,11 +163,11 @@ def read_blocks(raw: bytes | memoryview) -> Iterator[Block]:
 
 
 def _slices(texts: pa.Array) -> Iterator[list[str]]:
-    """Texts as Python strings, about a million bytes at a time."""
+    """Texts as Python strings, some megabytes at a time."""
     at = size = 0
     sizes = pc.binary_length(texts).to_pylist()
     for to, n in enumerate(sizes):
-        if to > at and size + n > 1 << 20:
+        if to > at and size + n > SLICE:
             yield texts.slice(at, to - at).to_pylist()
             at, size = to, 0
         size += n
@@ -178,7 +180,7 @@ def _blocks(tokenizer_path: str, end_id: int, width: int, block_ids: int):
     mark = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = word_cache(tokenizer_path)
+        cache = word_cache(tokenizer_path, KNOWN)
         held: list[bytes] = []
         ends: list[int] = []
         keys: list[int | None] = []
