@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W
@@ -31,7 +30,7 @@ def upload_checks(spark, d):
 @query("SELECT source AS document_id, count(*) AS n, sum(doc_id) AS ids FROM documents WHERE (source = 'src1' AND doc_id % 40 = 1) OR source = 'src2' GROUP BY source")
 def stored_chunks(spark, d):
     """All chunks stored, one document then replaced by half of its chunks, two documents read back."""
-    path = f"{stores.scratch_dir(spark)}/store-{uuid.uuid4().hex}"
+    path = stores.scratch_path(spark, "store")
     chunks = _chunks(spark, d)
     stores.write_chunks(chunks, path)
     stores.write_chunks(chunks.filter("document_id = 'src1' AND chunk_index % 40 = 1"), path)
@@ -43,7 +42,7 @@ def stored_chunks(spark, d):
 @query(_bm25_sql(_TWO_FIELDS) + " SELECT rank, chunk_id, score FROM keyword")
 def bm25_stored_topk(spark, d):
     """As ``bm25_indexed_topk``, from postings written by term and read pruned."""
-    path = f"{stores.scratch_dir(spark)}/postings-{uuid.uuid4().hex}"
+    path = stores.scratch_path(spark, "postings")
     index = retrieval.postings(retrieval.index_source(_chunks(spark, d)), list(_TWO_FIELDS))
     stores.write_postings(index, path)
     statistics = retrieval.field_statistics(spark.read.parquet(path).drop("folder"))

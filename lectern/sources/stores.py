@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,6 +87,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder below :func:`scratch_dir`; it goes when the session's Python process ends."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def _clean() -> None:
+    for spark, path in _made:
+        with suppress(Exception):  # the session may have ended; the other folders are still tried
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+atexit.register(_clean)
+
+
 #: Stored postings lie in so many folders by a hash of their term.
 TERM_FOLDERS = 64
 
