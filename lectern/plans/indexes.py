@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.operators import retrieval
-from lectern.plans.registry import _COSINE, _VECTOR_SQL, _first_vector, _vectors, query
+from lectern.functions import patterns as P
+from lectern.operators import batch, retrieval
+from lectern.plans.registry import _COSINE, _NORMAL, _SHINGLES, _TWO_FIELDS, _VECTOR_SQL, _WORDS, _chunks, _first_vector, _vectors, query
 from lectern.sources import stores, vectors
 from lectern.sources.pages import table
 
@@ -47,3 +48,51 @@ def cosine_indexed_grouped(spark, d):
     rows = _drawn(spark, d)
     first = list(rows.filter("chunk_id = '0'").first()["embedding"])
     return vectors.indexed_search(spark, _indexed(spark, d, rows), first, 20, digits=6).select("rank", "chunk_id", "score")
+
+
+# ---- many questions -------------------------------------------------------------------------------
+def _questions(spark, d):
+    """Every benchmark text as a question, with the vector of its number."""
+    vector = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    asked = table(spark, d, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("question"))
+    return asked.join(vector, "item_id", "left").withColumnRenamed("item_id", "question_id")
+
+
+_BATCH_SQL = f"""WITH fields AS ({' UNION ALL '.join(f"SELECT doc_id, CAST(doc_id AS VARCHAR) AS chunk_id, '{f}' AS field, {float(P.FIELD_BOOSTS[f])} AS boost, {_WORDS.format(c)} AS words FROM documents" for f, c in _TWO_FIELDS.items())}),
+    asked AS (SELECT item_id AS question_id, list_distinct({_WORDS.format("coalesce(text, '')")}) AS terms FROM benchmark),
+    terms AS (SELECT question_id, len(terms) AS n_terms, unnest(terms) AS term FROM asked),
+    stats AS (SELECT field, count(*) AS n, avg(len(words)) AS avgdl FROM fields WHERE len(words) > 0 GROUP BY field),
+    tf AS (SELECT chunk_id, field, boost, dl, term, count(*) AS tf FROM (SELECT chunk_id, field, boost, len(words) AS dl, unnest(words) AS term FROM fields) GROUP BY ALL),
+    df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL),
+    met AS (SELECT question_id, chunk_id, boost * sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS s
+            FROM terms JOIN tf USING (term) JOIN df USING (field, term) JOIN stats USING (field) GROUP BY question_id, chunk_id, field, boost, n_terms HAVING count(*) = n_terms),
+    best AS (SELECT question_id, chunk_id, round(max(s), 6) AS score FROM met GROUP BY ALL),
+    keyword AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM best QUALIFY rank <= 20),
+    near AS (SELECT b.item_id AS question_id, CAST(e.vec_id AS VARCHAR) AS chunk_id, {_COSINE} AS score FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings e),
+    vector AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM near WHERE score > 0 QUALIFY rank <= 20)"""
+
+
+@query(_BATCH_SQL + " SELECT question_id, CAST(rank AS INTEGER) AS rank, chunk_id, score FROM keyword")
+def bm25_batch(spark, d):
+    index = retrieval.postings(retrieval.index_source(_chunks(spark, d)), list(_TWO_FIELDS))
+    hits = batch.keyword_hits(index, retrieval.field_statistics(index), _questions(spark, d), boosts={f: P.FIELD_BOOSTS[f] for f in _TWO_FIELDS}, digits=6)
+    return hits.select("question_id", "rank", "chunk_id", "score")
+
+
+@query(_BATCH_SQL + f""", docs AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, source, doc_id, string_split(coalesce(text, ''), chr(10))[1] AS title, {_NORMAL.format("coalesce(text, '')")} AS t FROM documents),
+    fused AS (SELECT coalesce(v.question_id, k.question_id) AS question_id, coalesce(v.chunk_id, k.chunk_id) AS chunk_id, v.score AS vector_score, v.rank AS vector_rank, k.rank AS keyword_rank, least(coalesce(v.rank, 99), coalesce(k.rank, 99)) AS best,
+                     round(coalesce(1.0 / (60 + v.rank), 0) + coalesce(1.0 / (60 + k.rank), 0), 6) AS rrf FROM vector v FULL JOIN keyword k ON v.question_id = k.question_id AND v.chunk_id = k.chunk_id),
+    marked AS (SELECT *, max(keyword_rank) OVER (PARTITION BY question_id) IS NULL AS alone FROM fused),
+    shingled AS (SELECT *, {_SHINGLES.format(t="t")} AS g FROM docs SEMI JOIN fused USING (chunk_id)),
+    every AS (SELECT question_id, list({{'id': chunk_id, 'rrf': rrf, 'source': source, 'title': title, 'doc_id': doc_id, 't': t, 'g': g, 'alone': alone, 'vs': vector_score, 'vr': vector_rank, 'kr': keyword_rank}} ORDER BY rrf DESC, best, chunk_id) AS cs FROM marked JOIN shingled USING (chunk_id) GROUP BY question_id),
+    chosen AS (SELECT question_id, list_reduce(cs, lambda s, c: CASE WHEN len(s) < 10 AND (c.alone OR len(list_filter(s, lambda x: x.source = c.source AND ((trim(x.title) <> '' AND x.title = c.title) OR abs(x.doc_id - c.doc_id) <= 1)
+        AND CASE WHEN least(len(x.g), len(c.g)) = 0 THEN x.t = c.t ELSE len(list_intersect(x.g, c.g)) / least(len(x.g), len(c.g)) >= 0.6 END)) = 0) THEN list_append(s, c) ELSE s END, list_slice(cs, 1, 0)) AS cs FROM every)
+    SELECT question_id, CAST(i AS INTEGER) AS rank, c.id AS chunk_id, CASE WHEN c.alone THEN c.vs ELSE round(least(1.0, c.rrf / (2.0 / 61)), 6) END AS score, CASE WHEN c.alone THEN 'vector' ELSE 'hybrid' END AS retrieval_mode, CAST(c.vr AS INTEGER) AS vector_rank, CAST(c.kr AS INTEGER) AS keyword_rank
+    FROM (SELECT question_id, unnest(cs) AS c, generate_subscripts(cs, 1) AS i FROM chosen)""")
+def hybrid_batch(spark, d):
+    """Hybrid retrieval for all questions at once."""
+    chunks, asked = _chunks(spark, d), _questions(spark, d)
+    index = retrieval.postings(retrieval.index_source(chunks), list(_TWO_FIELDS))
+    keyword = batch.keyword_hits(index, retrieval.field_statistics(index), asked, boosts={f: P.FIELD_BOOSTS[f] for f in _TWO_FIELDS}, digits=6)
+    vector = batch.vector_hits(_vectors(spark, d), asked, digits=6)
+    return batch.hybrid_hits(vector, keyword, chunks, 10, digits=6)
