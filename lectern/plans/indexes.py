@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import patterns as P
 from lectern.operators import batch, retrieval
-from lectern.plans.registry import _COSINE, _NORMAL, _SHINGLES, _TWO_FIELDS, _VECTOR_SQL, _WORDS, _chunks, _first_vector, _vectors, query
-from lectern.sources import stores, vectors
+from lectern.plans.registry import _COSINE, _NORMAL, _SHINGLES, _TWO_FIELDS, _VECTOR_SQL, _WORDS, QUESTION, _bm25_sql, _chunks, _first_vector, _vectors, query
+from lectern.sources import segments, stores, vectors
 from lectern.sources.pages import table
 
 
@@ -96,3 +96,32 @@ def hybrid_batch(spark, d):
     keyword = batch.keyword_hits(index, retrieval.field_statistics(index), asked, boosts={f: P.FIELD_BOOSTS[f] for f in _TWO_FIELDS}, digits=6)
     vector = batch.vector_hits(_vectors(spark, d), asked, digits=6)
     return batch.hybrid_hits(vector, keyword, chunks, 10, digits=6)
+
+
+# ---- lexical index that is kept up -----------------------------------------------------------------
+#: the documents as they are after the changes of ``index_after_changes``
+_LIVE_SQL = "live AS (SELECT doc_id, source, CASE WHEN source = 'src1' THEN upper(text) || ' ing re ing' ELSE text END AS text FROM documents WHERE source <> 'src2' AND (source <> 'src1' OR doc_id % 40 = 1))"
+
+
+@query("WITH " + _LIVE_SQL + ", " + _bm25_sql(_TWO_FIELDS).removeprefix("WITH ").replace("FROM documents", "FROM live") + """, done AS (SELECT unnest(['changed', 'merged', 'changed after the merge']) AS step)
+    SELECT step, rank, chunk_id, score FROM keyword, done""")
+def index_after_changes(spark, d):
+    """Documents added in two parts, one replaced (half of its chunks, other words), one deleted; then a merge; then one deleted and added again."""
+    path = stores.scratch_path(spark, "segments")
+    boosts = {f: P.FIELD_BOOSTS[f] for f in _TWO_FIELDS}
+    chunks = _chunks(spark, d)
+    of = lambda where: retrieval.index_source(chunks.filter(where))
+    found = lambda step: segments.search(spark, path, QUESTION, 20, boosts=boosts, digits=6).select(F.lit(step).alias("step"), "rank", "chunk_id", "score")
+    segments.create(spark, path, list(_TWO_FIELDS))
+    segments.add(spark, path, of("document_id < 'src3'"))
+    segments.add(spark, path, of("NOT document_id < 'src3'"))
+    other = F.when(F.col("document_id") == "src1", F.concat(F.upper("text"), F.lit(" ing re ing"))).otherwise(F.col("text"))
+    half = chunks.filter("document_id = 'src1' AND chunk_index % 40 = 1").withColumn("text", other).withColumn("section_title", F.substring_index("text", "\n", 1))
+    segments.replace(spark, path, retrieval.index_source(half))
+    segments.delete(spark, path, ["src2"])
+    changed = found("changed")
+    segments.merge(spark, path)
+    merged = found("merged")
+    segments.delete(spark, path, ["src3"])
+    segments.add(spark, path, of("document_id = 'src3'"))
+    return changed.unionByName(merged).unionByName(found("changed after the merge"))
