@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import patterns as P
@@ -45,7 +45,7 @@ def bm25_stored_topk(spark, d):
     path = stores.scratch_path(spark, "postings")
     index = retrieval.postings(retrieval.index_source(_chunks(spark, d)), list(_TWO_FIELDS))
     stores.write_postings(index, path)
-    statistics = retrieval.field_statistics(spark.read.parquet(path).drop("folder"))
+    statistics = stores.read_statistics(spark, path)
     mine = stores.read_postings(spark, path, retrieval.query_terms(QUESTION))
     return retrieval.bm25_indexed(mine, statistics, QUESTION, 20, boosts={f: P.FIELD_BOOSTS[f] for f in _TWO_FIELDS}, digits=6).select("rank", "chunk_id", "score")
 
@@ -57,8 +57,7 @@ def without_document(spark, d):
 
 @query("SELECT CAST(row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) AS INTEGER) AS place, CAST(doc_id AS VARCHAR) AS chunk_id FROM documents WHERE source = 'src1'")
 def document_chunks(spark, d):
-    found = retrieval.document_chunks(_chunks(spark, d), "src1").select("chunk_id").withColumn("n", F.monotonically_increasing_id())
-    return found.select(F.row_number().over(W.orderBy("n")).alias("place"), "chunk_id")
+    return stores.placed(retrieval.document_chunks(_chunks(spark, d), "src1").select("chunk_id"))
 
 
 @query("SELECT doc_id, lang, source, source AS path_value, lang <> 'en' AS has_extra FROM documents")
@@ -192,8 +191,7 @@ def ready_documents(spark, d):
 
 @query(f"WITH {_CATALOG_SQL} SELECT CAST(row_number() OVER (ORDER BY created DESC, document_id) AS INTEGER) AS place, document_id FROM catalog")
 def listed_documents(spark, d):
-    found = catalog.list_documents(_catalog(spark, d)).select("document_id").withColumn("n", F.monotonically_increasing_id())
-    return found.select(F.row_number().over(W.orderBy("n")).alias("place"), "document_id")
+    return stores.placed(catalog.list_documents(_catalog(spark, d)).select("document_id"))
 
 
 # ---- chats --------------------------------------------------------------------------------------------
@@ -258,7 +256,7 @@ def saved_summaries(spark, d):
 @query("SELECT conv_id || '-' || turn AS message_id, CAST(row_number() OVER (ORDER BY conv_id % 5, conv_id || '-' || turn) AS INTEGER) AS place FROM conversations")
 def message_orders(spark, d):
     m = _messages(spark, d).drop("message_order").withColumn("created_at", F.timestamp_seconds(F.col("chat_id").cast("long") % 5))
-    return catalog.in_message_order(m).select("message_id", F.row_number().over(W.orderBy("message_order")).alias("place"))
+    return stores.placed(catalog.in_message_order(m).orderBy("message_order").select("message_id"))
 
 
 @query("""SELECT conv_id || '-' || turn AS message_id, lower(role) AS role, CASE WHEN role = 'assistant' THEN array_to_string(list_transform(range(1, turn % 3 + 2), lambda i: i || ':' || conv_id), ',') ELSE '' END AS sources FROM conversations""")

@@ -494,4 +494,4 @@ def decoded_events(spark, d):
     return ingest.decoded_events(bodies).select("conv_id", "turn", "event", "data")
 
 
-from lectern.plans import library, indexes  # noqa: E402, F401  (their queries are registered here too)
+from lectern.plans import indexes, library, stored  # noqa: E402, F401  (their queries are registered here too)

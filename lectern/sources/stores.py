@@ -107,20 +107,34 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
-#: Stored postings lie in so many folders by a hash of their term.
-TERM_FOLDERS = 64
-
-
-def _folder(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(TERM_FOLDERS)).cast("int")
+def placed(ordered: DataFrame, name: str = "place") -> DataFrame:
+    """Rows that stand in order, with their place from 1. No task sees all rows: only their number per partition meets on the driver."""
+    spark = ordered.sparkSession
+    path = scratch_path(spark, "ordered")
+    ordered.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    part, within = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    before, sizes = 0, []
+    for r in rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect():
+        sizes.append((r["_part"], before))
+        before += r["n"]
+    offsets = spark.createDataFrame(sizes, "_part long, _before long")
+    return rows.withColumn("_part", part).join(offsets, "_part").withColumn(name, (F.col("_before") + within + 1).cast("int")).drop("_id", "_part", "_before")
 
 
 def write_postings(index: DataFrame, path: str) -> None:
-    """Store postings by term; within a folder they are sorted, so that a reader skips what is not asked for."""
-    index.withColumn("folder", _folder(F.col("term"))).repartition("folder").sortWithinPartitions("folder", "term").write.mode("overwrite").partitionBy("folder").parquet(path)
+    """Store postings in ranges of term and chunk, as many as the data ask for, and the fields' statistics beside them."""
+    from lectern.operators import retrieval
+
+    index.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+    retrieval.field_statistics(index.sparkSession.read.parquet(f"{path}/postings")).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
 
 
 def read_postings(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
-    """Postings of the terms: only their folders are read, and in these only the row groups that can hold them."""
-    folders = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_folder(F.col("term"))).distinct().collect()]
-    return spark.read.parquet(path).filter(F.col("folder").isin(folders) & F.col("term").isin(terms)).drop("folder")
+    """Postings of the terms: only the row groups that can hold them are read."""
+    return spark.read.parquet(f"{path}/postings").filter(F.col("term").isin(terms))
+
+
+def read_statistics(spark: SparkSession, path: str) -> DataFrame:
+    """The statistics that were stored with the postings: a row per field."""
+    return spark.read.parquet(f"{path}/statistics")
