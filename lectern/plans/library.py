@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from lectern.functions import patterns as P
 from lectern.functions import text as T
 from lectern.operators import catalog, cleaning, identity, memory, preview, retrieval
+from lectern.plans import structure
 from lectern.plans.registry import _AT, _LINKS_SQL, _MESSAGES_SQL, _STATE_SQL, _TWO_FIELDS, _VECTOR_SQL, QUESTION, _bm25_sql, _chats, _chunks, _documents, _first_vector, _links, _memory, _messages, _summaries, _vectors, cosine_topk, query
-from lectern.sources import pages, stores
+from lectern.sources import pages, pdf, stores
 from lectern.sources.pages import table
 
 LATER = "TIMESTAMP '2024-02-02 00:00:00'"
@@ -27,6 +28,15 @@ def upload_checks(spark, d):
     return doc.select("doc_id", pages.valid_upload(path, length).alias("valid"))
 
 
+@query(f"WITH {structure.pages_sql(40)} SELECT document_key AS file_name, page_number, length(text) AS n_chars, sha256(text) AS fingerprint FROM paged")
+def pdf_page_scan(spark, d):
+    """Every document written as a PDF of forty lines a page, and its pages read from the file's bytes."""
+    made = F.pandas_udf(lambda texts: pd.Series([pdf.pdf_bytes(["\n".join(ls[i : i + 40]) for ls in [t.split("\n")] for i in range(0, len(ls), 40)]) for t in texts]), "binary")
+    doc = _documents(spark, d).select(F.col("doc_id").cast("string").alias("file_name"), made(F.coalesce("text", F.lit(""))).alias("content"))
+    read = pdf.scanned(doc.withColumn("document_key", F.sha2("content", 256)))
+    return read.select("file_name", "page_number", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("fingerprint"))
+
+
 @query("SELECT source AS document_id, count(*) AS n, sum(doc_id) AS ids FROM documents WHERE (source = 'src1' AND doc_id % 40 = 1) OR source = 'src2' GROUP BY source")
 def stored_chunks(spark, d):
     """All chunks stored, one document then replaced by half of its chunks, two documents read back."""

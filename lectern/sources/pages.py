@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import patterns as P
+from lectern.sources import pdf
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,13 +40,16 @@ def valid_upload(path: Column, length: Column) -> Column:
     return (length > 0) & (length <= P.MAX_UPLOAD_BYTES) & F.lower(path).endswith(".pdf")
 
 
-def pdf_pages(spark: SparkSession, path: str, extract: Callable[[bytes], list[str]]) -> DataFrame:
+def pdf_pages(spark: SparkSession, path: str, extract: Callable[[bytes], list[str]] | None = None) -> DataFrame:
     """Pages of the PDF files below ``path``: document_key (the fingerprint of the bytes), page_number, page_id, text, file_name.
 
-    ``extract`` gives a file's page texts; it runs where the file is read.
+    ``extract`` gives a file's page texts where the reader of ``sources.pdf`` is not wanted; it runs where the file is read. That
+    reader adds ``problem``: a file that cannot be read is one row that says why.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(valid_upload(F.col("path"), F.col("length")))
     files = files.select(F.sha2("content", 256).alias("document_key"), F.element_at(F.split("path", "/"), -1).alias("file_name"), "content")
+    if extract is None:
+        return pdf.scanned(files)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
