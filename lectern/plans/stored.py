@@ -7,8 +7,10 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from lectern.plans.library import _CATALOG_SQL, _CHATS_SQL, _catalog
-from lectern.plans.registry import _LINKS_SQL, _MESSAGES_SQL, ORACLE_SQL, _chats, _links, _messages, _summaries, query
+from lectern.plans.registry import _CHUNKS_SQL, _LINKS_SQL, _MESSAGES_SQL, ORACLE_SQL, _chats, _links, _messages, _summaries, query
 from lectern.sources import ledger, stores
+from lectern.sources.pages import paged, table
+from lectern.streaming import progress
 
 _LATER = datetime(2024, 2, 2)
 
@@ -86,3 +88,18 @@ def stored_library(spark, d):
     out = out.union(row("summary", view.table("summaries"), F.col("chat_id"), F.col("summary")))
     out = out.union(row("document", view.table("documents"), F.col("document_id"), F.concat_ws(" ", "status", F.col("chunk_count").cast("string"))))
     return out.union(row("refused", spark.createDataFrame([(x,) for x in refused], "x string"), F.col("x"), F.lit("")))
+
+
+# ---- ingestion out of a stream ----------------------------------------------------------------------
+@query(f"""{_CHUNKS_SQL} SELECT 'progress' AS event, 3 AS batches, true AS rising, (SELECT count(*) FROM documents) AS documents, count(*) AS completed, CAST(sum(n + overlap) AS BIGINT) AS tokens FROM chunks""")
+def stream_progress(spark, d):
+    """All documents through a file stream of three batches: what its progress events tell, and that they rise."""
+    inbox, store, checkpoint = (stores.scratch_path(spark, n) for n in ("inbox", "store", "checkpoint"))
+    pages = paged(table(spark, d, "documents"))
+    for i in range(3):  # a document's pages lie in one file
+        pages.filter(F.pmod(F.xxhash64("document_key"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(inbox)
+    events = list(progress.stream_events(spark, inbox, store, checkpoint, 1))
+    told = [e["data"] for e in events if e["event"] == "progress"]
+    rising = all(a["completed"] < b["completed"] and a["tokens"] < b["tokens"] for a, b in zip(told, told[1:], strict=False)) and events[-1]["event"] == "result"
+    last = told[-1]
+    return spark.createDataFrame([("progress", len(told), rising, last["documents"], last["completed"], last["tokens"])], "event string, batches int, rising boolean, documents long, completed long, tokens long")
