@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.plans.library import _CATALOG_SQL, _CHATS_SQL, _catalog
 from lectern.plans.registry import _CHUNKS_SQL, _LINKS_SQL, _MESSAGES_SQL, ORACLE_SQL, _chats, _links, _messages, _summaries, query
-from lectern.sources import ledger, stores
+from lectern.sources import bulk, ledger, stores
 from lectern.sources.pages import paged, table
 from lectern.streaming import progress
 
@@ -103,3 +103,27 @@ def stream_progress(spark, d):
     rising = all(a["completed"] < b["completed"] and a["tokens"] < b["tokens"] for a, b in zip(told, told[1:], strict=False)) and events[-1]["event"] == "result"
     last = told[-1]
     return spark.createDataFrame([("progress", len(told), rising, last["documents"], last["completed"], last["tokens"])], "event string, batches int, rising boolean, documents long, completed long, tokens long")
+
+
+# ---- bulk sink ------------------------------------------------------------------------------------------
+@query("""WITH rows AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '  ' ELSE CAST(doc_id AS VARCHAR) END AS chunk_id, CASE WHEN doc_id % 11 <> 0 THEN source END AS document_id, text, CASE WHEN doc_id % 13 = 0 THEN 3 WHEN doc_id % 19 = 0 THEN NULL ELSE 4 END AS dims, doc_id % 17 = 0 AS odd FROM documents),
+    judged AS (SELECT *, CASE WHEN trim(chunk_id) = '' THEN 'chunk_id is missing' WHEN coalesce(trim(document_id), '') = '' THEN 'document_id is missing' WHEN coalesce(regexp_replace(text, '\\s', '', 'g'), '') = '' THEN 'text is missing'
+        WHEN dims IS NULL THEN 'embedding is missing' WHEN dims <> 4 THEN 'embedding does not have 4 dimensions' WHEN odd THEN 'embedding has a value that is no number' END AS reason FROM rows)
+    SELECT 'rejected' AS kind, chunk_id, document_id, reason AS what FROM judged WHERE reason IS NOT NULL UNION ALL SELECT 'accepted', chunk_id, document_id, CAST(length(text) AS VARCHAR) FROM judged WHERE reason IS NULL""")
+def rejected_items(spark, d):
+    """All documents into the sink, many with a fault: good rows stored, refused ones listed; a second job that may not refuse any leaves nothing."""
+    path = stores.scratch_path(spark, "bulk")
+    n = F.col("doc_id")
+    value = F.when(n % 17 == 0, F.lit(float("nan"))).otherwise(F.lit(0.5))
+    vector = F.when(n % 13 == 0, F.array(value, value, value)).when(n % 19 == 0, F.lit(None)).otherwise(F.array(F.lit(1.0), value, value, value))
+    rows = table(spark, d, "documents").select(F.when(n % 7 == 0, "  ").otherwise(n.cast("string")).alias("chunk_id"), F.when(n % 11 != 0, F.col("source")).alias("document_id"), "text", vector.alias("embedding"))
+    bulk.write(rows, path, dimensions=4)
+    try:
+        bulk.write(rows, path, dimensions=4, fail_fast=True)
+    except Exception as refused:
+        if "were refused" not in str(refused):
+            raise
+    good = bulk.read(spark, path, "accepted", "chunk_id string, document_id string, text string, embedding array<double>")
+    bad = bulk.read(spark, path, "rejected", bulk.REJECTED)
+    out = good.select(F.lit("accepted").alias("kind"), "chunk_id", "document_id", F.length("text").cast("string").alias("what"))
+    return out.unionByName(bad.select(F.lit("rejected").alias("kind"), "chunk_id", "document_id", F.col("reason").alias("what")))
