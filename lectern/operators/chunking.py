@@ -11,13 +11,13 @@ import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
-from functools import lru_cache
 
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from lectern.functions import bpe
 from lectern.functions import patterns as P
 from lectern.functions import text as T
 from lectern.operators.cleaning import code_block, title_like
@@ -42,21 +42,8 @@ default_estimate.additive = True
 
 
 def bpe_estimate(path: str, pattern: str) -> Estimate:
-    """Tokens of a byte-pair vocabulary: a file of base64 tokens and ranks, and the pattern that splits texts beforehand.
-
-    The vocabulary is read by each worker once; its counts need not add up, so joined texts are counted anew.
-    """
-    @lru_cache(maxsize=1)
-    def encoding():
-        import base64
-
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-    return lambda text: len(encoding().encode_ordinary(text))
+    """Tokens of a byte-pair vocabulary: a file of base64 tokens and ranks, and the pattern that splits texts beforehand."""
+    return bpe.estimate(path, pattern)
 
 
 def level_of(block: str) -> int:
