@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from lectern.functions import bpe
 from lectern.functions import patterns as P
 from lectern.functions import text as T
+from lectern.functions.sentences import sentences as sentences_of
 from lectern.operators.cleaning import code_block, title_like
 
 Estimate = Callable[[str], int]
@@ -28,8 +29,6 @@ _TOKEN = regex.compile(P.TOKEN)
 _KEYWORD = re.compile(P.code_keyword(P.CODE_WORDS_CHUNKING), re.ASCII)
 _NUMBER, _SHARP, _CHILD, _LIST = (re.compile(x, re.ASCII) for x in (P.NUMBERED_HEADING, P.MARKDOWN_HEADING, P.CHILD_HEADING, P.LIST_LINE))
 _BREAK = re.compile(r"(?:(?:\r\n|[\n\x0b\f\r\x85  ])\s*){2,}")
-#: a sentence ends after . and white space before an upper-case letter or a bracket, after ! or ? and white space before anything
-_SENTENCE = re.compile(r"(?:\.+[)\]\"'’”]*\s+(?=[^\W\d_a-z]|[(\[\"“])|[!?]+[)\]\"'’”]*\s+)")
 SEPARATOR = {"PROSE": " ", "LIST": "\n", "CODE": "\n", "HEADING": "\n\n"}
 
 
@@ -70,11 +69,6 @@ def kind_of(block: str) -> str:
     return "LIST" if listed else "PROSE"
 
 
-def sentences_of(text: str) -> list[str]:
-    cuts = [0, *(m.end() for m in _SENTENCE.finditer(text)), len(text)]
-    return [s for a, b in zip(cuts, cuts[1:], strict=False) if (s := text[a:b].strip())]
-
-
 @dataclass(frozen=True)
 class Page:
     id: str
