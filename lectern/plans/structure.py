@@ -88,7 +88,7 @@ def tokens(x: str) -> str:
 
 
 _CLOSING = r"""[)\]"''’”]*\s+"""
-_OPENING = r"""[^\x00-@\[-\x7F]|[(\["“]"""
+_OPENING = r"""[^\x00-@\[-\x7F\p{Ll}]|[(\["“]"""
 
 
 def sentences(x: str) -> str:
