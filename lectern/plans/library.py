@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions import patterns as P
 from lectern.functions import text as T
-from lectern.operators import catalog, cleaning, identity, memory, preview, retrieval
+from lectern.operators import catalog, chunking, cleaning, identity, memory, preview, retrieval
 from lectern.plans import structure
-from lectern.plans.registry import _AT, _LINKS_SQL, _MESSAGES_SQL, _STATE_SQL, _TWO_FIELDS, _VECTOR_SQL, QUESTION, _bm25_sql, _chats, _chunks, _documents, _first_vector, _links, _memory, _messages, _summaries, _vectors, cosine_topk, query
+from lectern.plans.registry import _AT, _LINKS_SQL, _MESSAGES_SQL, _STATE_SQL, _TWO_FIELDS, _VECTOR_SQL, QUESTION, _bm25_sql, _chats, _chunks, _documents, _first_vector, _links, _memory, _messages, _per_row, _summaries, _vectors, cosine_topk, query
 from lectern.sources import pages, pdf, stores
 from lectern.sources.pages import table
 
@@ -123,6 +123,29 @@ def visible_sources(spark, d):
 
 
 # ---- code blocks: pages made of the tables, as their texts hold no code ----------------------------
+@query(f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS ws FROM documents),
+    lines AS (SELECT doc_id, list_transform(ws, lambda w, i: CASE (i - 1) % 5 WHEN 0 THEN 'public void ' || w || '() {{' WHEN 1 THEN 'int ' || w || ' = call(' || w || ', ' || i || ');' WHEN 2 THEN 'call(' || w || ',' WHEN 3 THEN w || ');'
+        ELSE CASE WHEN doc_id % 3 = 0 THEN 'int ' || w || ' = ' || w || ';' ELSE '}}' END END) AS ls, CASE WHEN doc_id % 7 = 0 THEN 'String s = "' || array_to_string(ws, ' ') || '";' || chr(10) ELSE '' END AS long FROM w),
+    blocks AS (SELECT doc_id, 'public class Made {{' || chr(10) || long || array_to_string(ls, chr(10)) || chr(10) || '}}' AS b FROM lines),
+    parts AS (SELECT doc_id, {structure.code("b")} AS ps FROM blocks)
+    SELECT doc_id, 'CODE' AS kind, len(ps) AS n, md5(array_to_string(ps, chr(31))) AS digest FROM parts""")
+def code_parts(spark, d):
+    """Every document's words as a class of methods (some never closed, some with a very long line), recognized as code and cut into parts."""
+    doc = _documents(spark, d).select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)).alias("ws"))
+
+    def line(w, i):
+        last = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("int "), w, F.lit(" = "), w, F.lit(";"))).otherwise("}")
+        number = (i + 1).cast("string")
+        call = F.concat(F.lit("int "), w, F.lit(" = call("), w, F.lit(", "), number, F.lit(");"))
+        return F.when(i % 5 == 0, F.concat(F.lit("public void "), w, F.lit("() {"))).when(i % 5 == 1, call).when(i % 5 == 2, F.concat(F.lit("call("), w, F.lit(","))).when(i % 5 == 3, F.concat(w, F.lit(");"))).otherwise(last)
+
+    long = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit('String s = "'), F.array_join("ws", " "), F.lit('";\n'))).otherwise("")
+    block = F.concat(F.lit("public class Made {\n"), long, F.array_join(F.transform("ws", line), "\n"), F.lit("\n}"))
+    cut = chunking.Chunker()
+    parts = doc.select("doc_id", block.alias("b")).select("doc_id", _per_row(chunking.kind_of, "string", "b").alias("kind"), _per_row(cut.code, "array<string>", "b").alias("ps"))
+    return parts.select("doc_id", "kind", F.size("ps").cast("long").alias("n"), F.md5(F.array_join("ps", chr(31))).alias("digest"))
+
+
 @query("""WITH n AS (SELECT doc_id, CAST(doc_id % 4 AS INTEGER) AS m FROM documents),
     braces AS (SELECT doc_id, m, array_to_string(list_concat(list_transform(range(0, m + 1), lambda j: repeat(' ', 4 * CAST(j AS INTEGER)) || 'if (a' || j || ' > 0) {'), [repeat(' ', 4 * (m + 1)) || 'run("{", ' || doc_id || ');', repeat(' ', 4 * (m + 1)) || 'call(', repeat(' ', 4 * (m + 2)) || 'last);'],
         list_transform(range(0, m + 1), lambda j: repeat(' ', 4 * (m - CAST(j AS INTEGER))) || '}')), chr(10)) AS t FROM n),
@@ -312,3 +335,42 @@ def preview_responses(spark, d):
 def new_chunks(spark, d):
     chunks = _documents(spark, d).select(F.col("doc_id").cast("string").alias("chunk_id"), "lang")
     return identity.new_chunks(chunks, chunks.filter("lang = 'en'")).select("chunk_id")
+
+
+# ---- requests and compatibility forms -----------------------------------------------------------------
+@query("""WITH r AS (SELECT conv_id, turn, coalesce(text, '') AS q, turn * 7 % 30 - 1 AS k, list_transform(range(0, turn % 5), lambda i: CASE WHEN turn % 3 = 0 AND i > 0 THEN 'd0' WHEN turn % 7 = 6 AND i = 1 THEN ' ' ELSE 'd' || i END) AS ids FROM conversations)
+    SELECT conv_id, turn, CASE WHEN regexp_matches(q, '\\S') THEN CAST(length(regexp_replace(q, '^\\s+|\\s+$', '', 'g')) AS VARCHAR) ELSE 'question must not be blank' END AS question,
+      CASE WHEN k = -1 THEN '5' WHEN k BETWEEN 1 AND 20 THEN CAST(k AS VARCHAR) ELSE 'topK must be between 1 and 20' END AS top_k,
+      CASE WHEN len(ids) = 0 THEN 'at least one document id is required' WHEN len(ids) > 3 THEN 'at most 3 documents can be searched' WHEN len(list_filter(ids, lambda x: trim(x) = '')) > 0 THEN 'document id must not be blank'
+        WHEN len(list_distinct(ids)) < len(ids) THEN 'document ids must be distinct' ELSE array_to_string(ids, ',') END AS ids FROM r""")
+def request_checks(spark, d):
+    """Every conversation turn as a request: its question, its number of results and its documents as they are accepted, or why not."""
+    c = table(spark, d, "conversations")
+    n = (F.col("turn") % 5).cast("int")
+    named = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.when((F.col("turn") % 3 == 0) & (i > 0), "d0").when((F.col("turn") % 7 == 6) & (i == 1), " ").otherwise(F.concat(F.lit("d"), i.cast("string"))))
+    rows = c.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("q"), (F.col("turn") * 7 % 30 - 1).cast("int").alias("k"), F.slice(named, F.lit(1), n).alias("ids"))
+
+    def told(rule):
+        def run(x):
+            try:
+                return rule(x)
+            except ValueError as refused:
+                return str(refused)
+
+        return run
+
+    question = _per_row(told(lambda q: str(len(retrieval.checked_question(q)))), "string", "q")
+    top_k = _per_row(told(lambda k: str(retrieval.checked_top_k(None if k == -1 else int(k)))), "string", "k")
+    ids = _per_row(told(lambda i: ",".join(retrieval.checked_document_ids(list(i)))), "string", "ids")
+    return rows.select("conv_id", "turn", question.alias("question"), top_k.alias("top_k"), ids.alias("ids"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(replace(coalesce(text, '') || chr(10) || 'fine 1 A2 1/4 km Angstrom Å ガ x' || chr(10) || 'end', chr(160), ' '), '\\r\\n?', chr(10), 'g'), '\\n$', '') AS t FROM documents),
+    n AS (SELECT doc_id, list_transform(string_split(t, chr(10)), lambda l: {structure.NORMAL_LINE}) AS ls FROM t)
+    SELECT doc_id, len(ls) AS n_lines, md5(array_to_string(ls, chr(10))) AS digest FROM n""")
+def compatibility_forms(spark, d):
+    """Ligatures, circled and wide characters, squared units, composed marks, hard blanks and carriage returns behind every text."""
+    odd = "\r\n\ufb01ne \u2460 \uff21\u00b2 1\u20444 \u339e \u212bngstrom A\u030a \uff76\uff9e\u00a0x\rend".replace("\u20444", "/4").replace("\u212bngstrom", "Angstrom")
+    doc = table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(odd)).alias("text"))
+    lines = doc.select("doc_id", cleaning.normalized_lines(F.col("text")).alias("ls"))
+    return lines.select("doc_id", F.size("ls").cast("long").alias("n_lines"), F.md5(F.array_join("ls", "\n")).alias("digest"))

@@ -107,12 +107,12 @@ def by_tokens(x: str) -> str:
     return f"list_transform([{run}], lambda r: list_filter(list_append(r.out, r.rest), lambda y: y <> ''))[1]"
 
 
-def gathered(pieces: str, gap: str, smaller: Callable[[str], str], v: str = "") -> str:
-    """Pieces gathered up to 250 tokens; one of more than 300 is made ``smaller``. ``v`` tells the variables of nested folds apart."""
+def gathered(pieces: str, gap: str, smaller: Callable[[str], str], v: str = "", is_open: Callable[[str], str] = lambda held: "FALSE") -> str:
+    """Pieces gathered up to 250 tokens, and on while what is held ``is_open``; one of more than 300 is made ``smaller``. ``v`` tells the variables of nested folds apart."""
     s, p = f"s{v}", f"p{v}"
     closed = f"(CASE WHEN {s}.held = '' THEN {s}.out ELSE list_append({s}.out, {s}.held) END)"
     step = f"""CASE WHEN {p}.n > 300 THEN {{'out': list_concat({closed}, {smaller(f"{p}.t")}), 'held': '', 'n': 0}}
-        WHEN {s}.held <> '' AND {s}.n + {p}.n > 250 THEN {{'out': list_append({s}.out, {s}.held), 'held': {p}.t, 'n': {p}.n}}
+        WHEN {s}.held <> '' AND NOT {is_open(f"{s}.held")} AND {s}.n + {p}.n > 250 THEN {{'out': list_append({s}.out, {s}.held), 'held': {p}.t, 'n': {p}.n}}
         ELSE {{'out': {s}.out, 'held': CASE WHEN {s}.held = '' THEN {p}.t ELSE {s}.held || {gap} || {p}.t END, 'n': {s}.n + {p}.n}} END"""
     counted = f"list_transform({pieces}, lambda z: {{'t': z, 'n': CAST({tokens('z')} AS BIGINT)}})"
     run = f"list_reduce({counted}, lambda {s}, {p}: {step}, {{'out': []::VARCHAR[], 'held': '', 'n': CAST(0 AS BIGINT)}})"
@@ -128,6 +128,27 @@ def listing(x: str) -> str:
     return f"CASE WHEN {tokens(x)} <= 300 THEN [{x}] ELSE {gathered(items, 'chr(10)', lambda y: '(' + prose(y) + ')', '0')} END"
 
 
+def count_of(x: str, mark: str) -> str:
+    return f"(length({x}) - length(replace({x}, '{mark}', '')))"
+
+
+def statements(x: str) -> str:
+    """Runs of lines that end with a whole declaration or body at the outer two levels."""
+    held = "CASE WHEN s.k = 0 THEN l ELSE s.held || chr(10) || l END"
+    braces, parens = (f"s.{v} + {count_of('l', a)} - {count_of('l', b)}" for v, a, b in (("b", "{", "}"), ("p", "(", ")")))
+    step = f"""CASE WHEN {parens} <= 0 AND {braces} <= 1 AND regexp_matches(l, '[;}}]\s*$') THEN {{'units': list_append(s.units, {strip(held)}), 'held': '', 'k': 0, 'b': {braces}, 'p': {parens}}}
+        ELSE {{'units': s.units, 'held': {held}, 'k': s.k + 1, 'b': {braces}, 'p': {parens}}} END"""
+    run = f"list_reduce(string_split({x}, chr(10)), lambda s, l: {step}, {{'units': []::VARCHAR[], 'held': '', 'k': 0, 'b': CAST(0 AS BIGINT), 'p': CAST(0 AS BIGINT)}})"
+    return f"list_transform([{run}], lambda r: list_filter(list_append(r.units, {strip('r.held')}), lambda y: y <> ''))[1]"
+
+
+def code(x: str) -> str:
+    """A block of code in parts: whole statements, one that is too large by its lines, never inside parentheses, a line that is too long by tokens."""
+    inside = lambda held: f"({count_of(held, '(')} <> {count_of(held, ')')})"
+    by_lines = lambda unit: gathered(f"string_split({unit}, chr(10))", "chr(10)", by_tokens, "2", inside)
+    return f"CASE WHEN {tokens(x)} <= 300 THEN [{x}] ELSE {gathered(statements(x), 'chr(10)', by_lines, '1')} END"
+
+
 _PAGE = "STRUCT(id VARCHAR, n INTEGER, original BIGINT, cleaned BIGINT)"
 _UNIT = f"STRUCT(text VARCHAR, kind VARCHAR, page {_PAGE}, section VARCHAR, subsection VARCHAR, level INTEGER, opens VARCHAR, gap VARCHAR, n BIGINT)"
 _DRAFT = f"STRUCT(text VARCHAR, listed BOOLEAN, heading BOOLEAN, section VARCHAR, subs VARCHAR[], level INTEGER, boundary VARCHAR, pages {_PAGE}[], n BIGINT)"
