@@ -78,15 +78,17 @@ def vector_search(chunks: DataFrame, query: list[float], top_k: int | None = Non
 
 
 def analyzed(text: Column) -> Column:
-    """Lower-case words without stop words; repeats stay, they are the term frequency."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), P.NOT_WORD), lambda w: ~w.isin("", *P.ENGLISH_STOP_WORDS))
+    """Lower-case words by Unicode word boundaries, without stop words; repeats stay, they are the term frequency."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(P.WORD), F.lit(0))
+    return F.filter(words, lambda w: ~w.isin(*P.ENGLISH_STOP_WORDS) & w.rlike(r"[^_‿]"))
 
 
 def query_terms(question: str) -> list[str]:
-    import re
+    """The terms of one question, as :func:`analyzed` has them."""
+    import regex
 
-    words = re.split(r"[\W]+", question.lower())
-    return list(dict.fromkeys(w for w in words if w and w not in P.ENGLISH_STOP_WORDS))
+    words = regex.findall(regex.sub(r"\\p\{Is(\w+)\}", r"\\p{\1}", P.WORD), question.lower(), regex.V1)
+    return list(dict.fromkeys(w for w in words if w.strip("_‿") and w not in P.ENGLISH_STOP_WORDS))
 
 
 def index_source(chunks: DataFrame) -> DataFrame:

@@ -23,8 +23,8 @@ from lectern.streaming import ingest
 QUESTION = "re ing"
 _AT = "TIMESTAMP '2024-01-01 00:00:00'"
 _STOP = "[" + ", ".join(f"'{w}'" for w in P.ENGLISH_STOP_WORDS) + "]"
-_SPLIT = r"string_split_regex(lower({}), '[^\p{{L}}\p{{N}}_]+')"
-_WORDS = "list_filter(" + _SPLIT + ", lambda w: w <> '' AND NOT list_contains(" + _STOP + ", w))"
+#: words by Unicode boundaries, for the scripts of the tables (no ideographs or Kana)
+_WORDS = r"list_filter(regexp_extract_all(lower({}), '(?:[_‿]|\p{{L}}\p{{M}}*(?:[:·.''’]\p{{L}}\p{{M}}*)*|\p{{Nd}}\p{{M}}*(?:[,;.''’]\p{{Nd}}\p{{M}}*)*)+'), lambda w: regexp_matches(w, '[^_‿]') AND NOT list_contains(" + _STOP + ", w))"
 _NORMAL = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

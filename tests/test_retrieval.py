@@ -102,4 +102,18 @@ def test_stored_postings_are_read_pruned(spark, tmp_path):
     mine = stores.read_postings(spark, str(tmp_path / "p"), ["w7", "w8"])
     assert sorted(r.term for r in mine.collect()) == ["w7", "w8"]
     plan = mine._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[[^\]]*folder", plan) and "In(term" in plan
+    assert re.search(r"PushedFilters: \[[^\]]*In\(term", plan)
+    # files are ranges of terms, and the statistics are stored beside them
+    bounds = spark.read.parquet(str(tmp_path / "p/postings")).groupBy(F.input_file_name().alias("file")).agg(F.min("term").alias("lo"), F.max("term").alias("hi")).orderBy("lo").collect()
+    assert all(a["hi"] <= b["lo"] for a, b in zip(bounds, bounds[1:], strict=False))
+    assert stores.read_statistics(spark, str(tmp_path / "p")).collect() == R.field_statistics(R.postings(source, ["content"])).collect()
+
+
+@pytest.mark.parametrize(("text", "words"), [
+    ("Don't stop O’Neill's 3.5 1,000.50 a.b x:y", ["don't", "stop", "o’neill's", "3.5", "1,000.50", "a.b", "x:y"]), ("end. Next, one;two a,b 1:2", ["end", "next", "one", "two", "b", "1", "2"]),
+    ("snake_case _x_ __ 4x x4 v1.2", ["snake_case", "_x_", "4x", "x4", "v1.2"]), ("mail j.d@site.com", ["mail", "j.d", "site.com"]), ("日本語 ひら カタカナ", ["日", "本", "語", "ひ", "ら", "カタカナ"]), ("한국어 текст", ["한국어", "текст"]),
+    ("naïve café été", ["naïve", "café", "été"]), ("'quoted' it''s a..b 1.a a.1", ["quoted", "s", "b", "1", "1"]), ("THE The a", []), ("٣٤ x²", ["٣٤", "x"]), ("", []),
+])
+def test_words_by_unicode_boundaries(spark, text, words):
+    found = spark.createDataFrame([(text,)], "t string").select(R.analyzed(F.col("t"))).first()[0]
+    assert found == words and R.query_terms(text) == list(dict.fromkeys(words))
