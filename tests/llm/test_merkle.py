@@ -1,5 +1,7 @@
 import hashlib
+from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from lectern.llm import merkle
@@ -45,6 +47,87 @@ def test_differing_branches_locate_an_edit(spark):
     df = spark.createDataFrame([("\n".join(lines), "\n".join(changed))], "a string, b string")
     r = df.select(merkle.tree(F.col("a")).alias("a"), merkle.tree(F.col("b")).alias("b")).select("a", "b", merkle.edit_span(F.col("a"), F.col("b")).alias("e")).first()
     assert r.a.root != r.b.root and 0 < r.e["from"] < r.e.to < len(r.a.sections) and r.e.to - r.e["from"] <= 3
+    assert (r.e.paragraphs["from"], r.e.paragraphs.to) == (120, 121)
+
+
+def plain_likeness(a, b):
+    """Of two trees (root, sections) as they are returned, in plain Python."""
+    if a[0] == b[0]:
+        return 1.0
+
+    def level(x, y, below):
+        places = {}
+        for j, e in enumerate(y):
+            places.setdefault(e["key"], []).append(j)
+        pairs = [(i, places[e["key"]].pop(0)) for i, e in enumerate(x) if places.get(e["key"])]
+        weight = sum(x[i]["size"] * (1 if k == 0 or j > pairs[k - 1][1] else 0.5) for k, (i, j) in enumerate(pairs))
+        one, two = {i for i, _ in pairs}, {j for _, j in pairs}
+        return weight, [c for i, e in enumerate(x) if i not in one for c in e[below]], [c for j, e in enumerate(y) if j not in two for c in e[below]]
+
+    first, x, y = level(a[1], b[1], "paragraphs")
+    second, x, y = level(x, y, "leaves")
+    shared = sum(n * (leaf & 4095) for leaf, n in (Counter(x) & Counter(y)).items())
+    both = sum(s["size"] for t in (a, b) for s in t[1])
+    return min(2 * (first + second + shared) / both, 1 - 1 / (both + 2))
+
+
+def plain_root(text, tree):
+    """The root from the text and its leaves, by hashlib; None where the tree does not cover the text."""
+    digests, sections = [], []
+    paragraphs = text.split("\n")
+    held = [p for s in tree for p in s["paragraphs"]]
+    if len(held) != len(paragraphs) or any(p["size"] != len(t) + 1 or sum(x & 4095 for x in p["leaves"]) != len(t) for p, t in zip(held, paragraphs)):
+        return None
+    at = 0
+    for s in tree:
+        own = []
+        for p in s["paragraphs"]:
+            # a text's last piece may be empty, and is a leaf without length
+            leaves = [",".join(map(str, [*p["leaves"], *extra])) for extra in ([], [EMPTY])]
+            own.append([hashlib.sha256(f"{paragraphs[at]}\u0001{x}".encode()).hexdigest() for x in leaves])
+            at += 1
+        own = [next(d for d in ds if signed(xxhash.xxh64(d.encode(), seed=42).intdigest()) == p["key"]) for ds, p in zip(own, s["paragraphs"])]
+        assert all(d[0] not in "048c" for d in own[:-1]) and (own[-1][0] in "048c" or s is tree[-1])
+        sections.append(hashlib.sha256("".join(own).encode()).hexdigest())
+        digests += own
+    return hashlib.sha256(f"{len(sections)},{''.join(sections)}".encode()).hexdigest()
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+EMPTY = signed(xxhash.xxh64(b"", seed=42).intdigest() & ~4095 & (1 << 64) - 1)
+
+
+def test_roots_and_likeness_against_plain_python(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = {r.doc_id: r for r in merkle.fingerprint_edits(docs).collect()}
+    order = sorted(rows)
+    for k, after in zip(order, [*order[1:], order[0]]):
+        assert plain_root(texts[k], rows[k].tree) == rows[k].fingerprint
+        assert abs(plain_likeness((rows[k].fingerprint, rows[k].tree), (rows[after].fingerprint, rows[after].tree)) - rows[k].near_next) < 1e-9
+    edits = [(k, texts[k], texts[k][: len(texts[k]) - len(texts[k]) // 4] + texts[a][: len(texts[k]) // 4]) for k, a in zip(order, [*order[1:], order[0]])]
+    made = spark.createDataFrame(edits, "k long, a string, b string").select("k", merkle.tree(F.col("b")).alias("b")).collect()
+    assert all(abs(plain_likeness((rows[r.k].fingerprint, rows[r.k].tree), (r.b.root, r.b.sections)) - rows[r.k].near_edited) < 1e-9 for r in made)
+
+
+def test_order_and_number_of_branches_count(spark, monkeypatch):
+    lines = [f"paragraph {i} has these {i * 7} words of its own" for i in range(60)]
+    texts = {
+        "whole": lines, "reversed": lines[::-1], "moved": [*lines[40:], *lines[:40]], "edits": [*lines[:9], "new one", *lines[10:30], "another", *lines[31:]], "twice": lines * 2, "none": ["nothing in common here"],
+        "blank": [x for line in lines for x in (line, "")], "one": ["two words"], "often": ["two words " * 500],
+    }
+    df = spark.createDataFrame([(k, "\n".join(v)) for k, v in texts.items()], "k string, text string").select("k", merkle.tree(F.col("text")).alias("t"))
+    both = df.alias("a").join(df.alias("b"), F.lit(True))
+    for look in (4096, 3):  # looked for one by one, and by bisection
+        monkeypatch.setattr(merkle, "LOOK", look)
+        rows = both.select(F.col("a.k").alias("x"), F.col("b.k").alias("y"), F.col("a.t").alias("one"), F.col("b.t").alias("two"), merkle.likeness(F.col("a.t"), F.col("b.t")).alias("v")).collect()
+        got = {(r.x, r.y): r.v for r in rows}
+        assert all(abs(plain_likeness((r.one.root, r.one.sections), (r.two.root, r.two.sections)) - r.v) < 1e-9 for r in rows)
+    assert 0.45 < got["whole", "reversed"] < 0.6 and 0.9 < got["whole", "moved"] < 1 and 0.93 < got["whole", "edits"] < 1
+    assert 0.6 < got["whole", "twice"] < 0.7 and got["whole", "none"] < 0.05 and 0 < got["one", "often"] < 0.01 and 0.95 < got["whole", "blank"] < 1
 
 
 def test_likeness_orders_texts(spark, sf):
@@ -65,7 +148,7 @@ def test_an_insertion_moves_no_border_in_any_script(spark):
     texts["digits"] = "".join(r.choice("0123456789abcdef") for _ in range(4000))
     df = spark.createDataFrame([(k, t, t[:1] + "x" + t[:2] + " " + t) for k, t in texts.items()], "k string, a string, b string")
     t = df.select("k", merkle.tree(F.col("a")).alias("a"), merkle.tree(F.col("b")).alias("b"))
-    got = {r.k: r.v for r in t.select("k", merkle.likeness(F.col("a.root"), F.col("a.leaves"), F.col("b.root"), F.col("b.leaves")).alias("v")).collect()}
+    got = {r.k: r.v for r in t.select("k", merkle.likeness(F.col("a"), F.col("b")).alias("v")).collect()}
     assert all(0.9 < v < 1 for v in got.values()), got
 
 
