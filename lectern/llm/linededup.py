@@ -2,15 +2,16 @@
 
 A line that occurs once in the corpus cannot be part of a repeated passage, so only lines that
 occur again go on. Runs of such lines are cut into chunks where the rolling hash of two
-neighbouring lines says so, where the two lines' counts differ widely (a passage inside copied
-documents), and around lines of ``long_line`` words, which are passages by themselves. Every
-border depends on the two lines at it, so the same passage is cut alike wherever it stands.
+neighbouring lines says so, and around lines of ``long_line`` words, which are passages by themselves; once
+into longer chunks and once into shorter ones (``cut_every``), which fall into step again sooner behind a line that is no part of
+the passage. Every border depends on the two lines at it, so the same passage is cut alike wherever it stands.
 Chunks of two lines or more (or one long line) with equal hashes are compared byte by byte with
 the first of their kind; the equal ones are removed, the first stays.
 
 Chunks may fall short of a passage, so runs of whole lines of ``long_line`` words are matched as well,
-from each line on and back from each, line by line on all their hashes (128 bits a line): whatever run of so many words stands
-in an earlier place is removed up to its last line, with the blank lines inside it.
+from each line on and back from each: whatever run of so many words stands in an earlier place is removed up to its
+last line, with the blank lines inside it. Their lines are compared byte by byte too: the texts of all lines of such runs meet by
+hash, and where two of one hash differ, no run with such a line is removed.
 
 Counts are partial before each shuffle; joins on hot hashes leave the skew to be split by the
 engine, one side having one row per hash.
@@ -68,7 +69,15 @@ def repeated_runs(met: DataFrame, long_line: int) -> DataFrame:
     runs = spool(runs)
     place = F.struct("d", "h", "start")
     firsts = spool(runs.groupBy("one", "two").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last"))
-    return runs.join(firsts, ["one", "two"]).filter(place > F.col("first")).select("d", "h", "start", "end")
+    return runs.join(firsts, ["one", "two"]).select("d", "h", "start", "end", (place > F.col("first")).alias("later"))
+
+
+def differing(places: DataFrame, texts: DataFrame) -> DataFrame:
+    """x: hashes that stand for lines of different bytes among the lines of ``places`` (d, h, start, n_lines) in ``texts`` (d, h, text; equal rows do no harm)."""
+    per_doc = places.groupBy("d", "h").agg(F.collect_list(F.struct("start", "n_lines")).alias("places"))
+    held = texts.join(per_doc, ["d", "h"]).withColumn("lines", _lines())
+    lines = held.select(F.explode(F.flatten(F.transform("places", lambda p: F.slice("lines", p["start"] + 1, p["n_lines"])))).alias("line"))
+    return lines.groupBy(F.xxhash64("line").alias("x")).agg(F.min("line").alias("least"), F.max("line").alias("most")).filter("least <> most").select("x")
 
 
 def merged(places: DataFrame) -> DataFrame:
@@ -79,28 +88,23 @@ def merged(places: DataFrame) -> DataFrame:
     return places.groupBy("d", "h", "no").agg(F.min("start").alias("start"), (F.max("end") - F.min("start") + 1).alias("n_lines")).drop("no")
 
 
-def repeated_chunks(met: DataFrame, long_line: int, cut_every: int) -> DataFrame:
-    """d, h (the document), start, n_lines, chunk (hash): chunks of lines that occur again, cut by content."""
+def repeated_chunks(met: DataFrame, long_line: int, cut_every: tuple[int, ...]) -> DataFrame:
+    """d, h (the document), start, n_lines, chunk (hash): chunks of lines that occur again, cut by content at each of the rates."""
     here = W.partitionBy("d", "h").orderBy("i")
     before = lambda c: F.lag(c).over(here)
-    long = F.col("words") >= long_line
     # equal rows bring each line more than once
     met = met.withColumn("same", F.coalesce(before("i") == F.col("i"), F.lit(False))).filter("not same")
-    met = met.withColumns({"i0": before("i"), "x0": before("x"), "c0": before("c"), "w0": before("words")})
-    cut = (
-        F.col("i0").isNull()
-        | (F.col("i") != F.col("i0") + 1)
-        | long
-        | (F.col("w0") >= long_line)
-        | (F.greatest("c", "c0") > 2 * F.least("c", "c0"))
-        | (F.pmod(F.xxhash64("x0", "x"), F.lit(cut_every)) == 0)
-    )
-    met = met.withColumn("no", F.sum(F.coalesce(cut, F.lit(True)).cast("int")).over(here))
-    chunks = met.groupBy("d", "h", "no").agg(F.min("i").alias("start"), F.count(F.lit(1)).cast("int").alias("n_lines"), F.max("words").alias("words"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("xs"))
-    return chunks.filter((F.col("n_lines") > 1) | (F.col("words") >= long_line)).select("d", "h", "start", "n_lines", F.xxhash64(F.transform("xs", lambda v: v["x"])).alias("chunk"))
+    met = met.withColumns({"i0": before("i"), "x0": before("x"), "w0": before("words")})
+    apart = F.col("i0").isNull() | (F.col("i") != F.col("i0") + 1) | (F.greatest("words", "w0") >= long_line)
+    cut = {f"cut{k}": apart | (F.pmod(F.xxhash64("x0", "x"), F.lit(k)) == 0) for k in cut_every}
+    met = met.withColumns({name: F.sum(F.coalesce(c, F.lit(True)).cast("int")).over(here) for name, c in cut.items()})
+    # both ways of cutting go through one grouping, which the windows' partitions already serve
+    met = met.select("d", "h", "i", "x", "words", F.explode(F.array(*[F.struct(F.lit(k).alias("rate"), F.col(f"cut{k}").alias("no")) for k in cut_every])).alias("at"))
+    chunks = met.groupBy("d", "h", "at.rate", "at.no").agg(F.min("i").alias("start"), F.count(F.lit(1)).cast("int").alias("n_lines"), F.max("words").alias("words"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("xs"))
+    return chunks.filter((F.col("n_lines") > 1) | (F.col("words") >= long_line)).select("d", "h", "start", "n_lines", F.xxhash64(F.transform("xs", lambda v: v["x"])).alias("chunk")).distinct()
 
 
-def dedup_lines(docs: DataFrame, long_line: int = 50, cut_every: int = 16) -> DataFrame:
+def dedup_lines(docs: DataFrame, long_line: int = 50, cut_every: tuple[int, ...] = (16, 4)) -> DataFrame:
     """All columns of ``docs`` with ``text`` less the repeated chunks, and n_lines, n_removed_lines, n_removed_chunks.
 
     A column of ``docs`` with one of the three new names gives way to the new one.
@@ -110,7 +114,7 @@ def dedup_lines(docs: DataFrame, long_line: int = 50, cut_every: int = 16) -> Da
     others = [c for c in names if c not in ("doc_id", "text")]
     keyed = docs.select(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id").alias("d"), F.xxhash64(text_or_empty()).alias("h"), "text", *([F.struct(*others).alias("row")] if others else []))
     met = spool(repeated_lines(keyed.select("d", "h", "text")))
-    chunks = spool(repeated_chunks(met, long_line, cut_every).distinct())
+    chunks = spool(repeated_chunks(met, long_line, cut_every))
     place = F.struct("d", "h", "start")
     firsts = spool(chunks.groupBy("chunk").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first")).filter("c > 1"))
     found = spool(chunks.join(firsts, "chunk").select("d", "h", "start", "n_lines", "chunk", (place == F.col("first")).alias("is_first")))
@@ -122,7 +126,11 @@ def dedup_lines(docs: DataFrame, long_line: int = 50, cut_every: int = 16) -> Da
     once = once.withColumn("lines", _lines()).select("d", "h", F.explode(F.transform("found", lambda c: F.struct(c["start"].alias("start"), c["n_lines"].alias("n_lines"), c["chunk"].alias("chunk"), c["is_first"].alias("is_first"), F.array_join(F.slice("lines", c["start"] + 1, c["n_lines"]), "\n").alias("passage")))).alias("c")).select("d", "h", "c.*")
     first = once.filter("is_first").select("chunk", F.col("passage").alias("kept"))
     gone = once.filter("not is_first").join(first, "chunk").filter(F.col("passage") == F.col("kept"))
-    gone = gone.select("d", "h", "start", (F.col("start") + F.col("n_lines") - 1).alias("end")).unionByName(repeated_runs(met, long_line))
+    runs = spool(repeated_runs(met, long_line))
+    # a run with a line whose hash stands for other bytes as well stays
+    unlike = met.join(differing(merged(runs.drop("later")), texts), "x").select(F.col("d").alias("d0"), F.col("h").alias("h0"), "i")
+    same = runs.filter("later").join(unlike, (F.col("d") == F.col("d0")) & (F.col("h") == F.col("h0")) & F.col("i").between(F.col("start"), F.col("end")), "left_anti")
+    gone = gone.select("d", "h", "start", (F.col("start") + F.col("n_lines") - 1).alias("end")).unionByName(same.drop("later"))
     gone = merged(gone).groupBy("d", "h").agg(F.array_sort(F.collect_list(F.struct("start", "n_lines"))).alias("gone"))
 
     out = keyed.join(gone, ["d", "h"], "left").withColumn("lines", _lines())

@@ -91,7 +91,7 @@ def test_every_run_of_whole_lines_goes(spark, make_docs):
     assert out[0] == docs[0] and all(out[k].startswith("own start") and out[k].endswith(f"own end {k - 1}") for k in range(1, 26))
 
 
-def plain_dedup(rows, long_line=50, cut_every=16):
+def plain_dedup(rows, long_line=50, cut_every=(16, 4)):
     """(id, text) rows -> kept texts by the rules, in plain Python."""
     import xxhash
 
@@ -105,19 +105,19 @@ def plain_dedup(rows, long_line=50, cut_every=16):
     for r in sorted(set(rows), key=lambda r: place(*r)):
         numbered = [(i, x) for i, x in enumerate(lines[r]) if x.strip(" ")]
         met = [(o, i, x) for o, (i, x) in enumerate(numbered) if count[x] > 1]
-        held = []
-        for k, (_, i, x) in enumerate(met):
-            cut = k == 0
-            if k:
-                _, j, w = met[k - 1]
-                a, b = sorted((count[x], count[w]))
-                two = signed(of(of(x.encode()), of(of(w.encode()))))
-                cut = i != j + 1 or max(words(x), words(w)) >= long_line or b > 2 * a or two % cut_every == 0
-            held = held + [[]] if cut else held
-            held[-1].append((i, x))
-        for c in held:
-            if len(c) > 1 or words(c[0][1]) >= long_line:
-                chunks.setdefault(tuple(x for _, x in c), []).append((r, [i for i, _ in c]))
+        for rate in cut_every:
+            held = []
+            for k, (_, i, x) in enumerate(met):
+                cut = k == 0
+                if k:
+                    _, j, w = met[k - 1]
+                    two = signed(of(of(x.encode()), of(of(w.encode()))))
+                    cut = i != j + 1 or max(words(x), words(w)) >= long_line or two % rate == 0
+                held = held + [[]] if cut else held
+                held[-1].append((i, x))
+            for c in held:
+                if len(c) > 1 or words(c[0][1]) >= long_line:
+                    chunks.setdefault(tuple(x for _, x in c), []).append((r, [i for i, _ in c]))
         for k in range(len(met)):
             for step in (1, -1):
                 n, j, found = 0, k, []
@@ -153,6 +153,26 @@ def test_the_plain_version_agrees_on_hard_cases(spark, make_docs):
     assert got == want
 
 
+def test_a_passage_goes_whatever_its_lines_counts(spark, make_docs):
+    """Three lines that two documents share, the middle one of which stands in six others."""
+    three = ["\n".join(" ".join(f"{a}{i}" for i in range(8)) for a in "pqr")] * 2
+    docs = [f"own {k}\n{t}\nend {k}" for k, t in enumerate(three)] + [f"other {k}\n" + three[0].split("\n")[1] + f"\nlast {k}" for k in range(6)]
+    out = texts(dedup_lines(make_docs(*docs)))
+    assert out[0] == docs[0] and out[1] == "own 1\nend 1" and all(out[k] == docs[k] for k in range(2, 8))
+
+
+def test_lines_of_one_hash_and_other_bytes_are_found(spark, monkeypatch):
+    """With a hash of lengths only, lines of one length meet; runs with such lines stay."""
+    from lectern.llm import linededup
+
+    docs = spark.createDataFrame([(1, 1, "a\nbb\nccc\nbb"), (2, 2, "dddd\nbb\nxyz")], "d int, h int, text string")
+    places = spark.createDataFrame([(1, 1, 1, 3), (2, 2, 0, 3)], "d int, h int, start int, n_lines int")
+    assert linededup.differing(places, docs).count() == 0
+    real = F.xxhash64
+    monkeypatch.setattr(linededup.F, "xxhash64", lambda *c: real(F.length(c[-1])))
+    assert linededup.differing(places, docs).count() == 1
+
+
 def test_own_results_win_over_columns_of_their_names(spark, make_docs):
     out = dedup_lines(make_docs(PASSAGE, PASSAGE).withColumn("n_removed_chunks", F.lit("mine")).withColumn("n_lines", F.lit(None)))
     assert sorted((r.doc_id, r.n_lines, r.n_removed_chunks) for r in out.collect()) == [(0, 6, 0), (1, 6, 1)]
