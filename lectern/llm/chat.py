@@ -1,9 +1,10 @@
 """Chat formatting with budgeted windows, in Column expressions only.
 
 Every turn costs its text's tokens (a fixed regular estimate, as a tokenizer would take Python code) and
-``MARKS`` for its marks. Prefix sums of these costs cut a conversation into turn-aligned spans: turns whose
-sum before them falls into the same half of the fresh budget share a window, and a turn over such a half has a
-window alone. Fresh turns have half of the budget, or what the system turn leaves if that is less. Each window repeats
+``MARKS`` for its marks. Prefix sums of these costs cut a conversation into turn-aligned spans: fresh turns have what the
+system turn and the history leave of the budget (half of what the system turn leaves, at least). Turns whose sum before them falls
+into the same step of a grid share a window; a step is that room less the conversation's largest turn, so the turn that
+reaches over a step's end still fits. A turn of more than half of the room has a window alone. Each window repeats
 the conversation's first system turn and the whole turns of the last ``history`` tokens before it that still fit;
 what is repeated bears no loss, so each assistant text is a target once. A window passes the budget only where
 one turn, or one turn with the system turn, does.
@@ -74,30 +75,31 @@ def chat_windows(turns: DataFrame, budget: int = 2048, history: int = 512) -> Da
     inside = W.partitionBy(*slice_).orderBy("turn", "role", "text")
     t = t.withColumns({"k": F.row_number().over(inside), "sum": F.sum("cost").over(inside.rowsBetween(W.unboundedPreceding, 0))})
     # one row per slice carries the sums, and the first system turn, over to the others
-    parts = t.groupBy(*slice_).agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("tokens"), F.min(F.when(F.col("role") == "system", F.struct("k", "cost", "text"))).alias("s"))
+    parts = t.groupBy(*slice_).agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("tokens"), F.max(F.when(F.col("role") != "system", F.col("cost"))).alias("most"), F.min(F.when(F.col("role") == "system", F.struct("k", "cost", "text"))).alias("s"))
     over = W.partitionBy("c", "cn").orderBy("part", "sub")
     whole = over.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     ahead = lambda c: F.coalesce(F.sum(c).over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.withColumns({"n0": ahead("n"), "c0": ahead("tokens"), "total": F.sum("tokens").over(whole)})
+    parts = parts.withColumns({"n0": ahead("n"), "c0": ahead("tokens"), "total": F.sum("tokens").over(whole), "most": F.max("most").over(whole)})
     parts = parts.withColumn("s", F.when(F.col("s").isNotNull(), F.struct((F.col("s.k") + F.col("n0")).alias("at"), F.col("s.cost").alias("cost"), F.col("s.text").alias("text"))))
-    parts = parts.select(*slice_, "n0", "c0", "total", F.first("s", ignorenulls=True).over(whole).alias("system"))
+    parts = parts.select(*slice_, "n0", "c0", "total", "most", F.first("s", ignorenulls=True).over(whole).alias("system"))
     t = t.join(parts, slice_).withColumns({"at": F.col("k") + F.col("n0"), "before": F.col("sum") + F.col("c0") - F.col("cost")})
 
-    # turns whose sum before them falls into the same half share a window; one over a half ends its span and has a window alone
+    # turns whose sum before them falls into the same step share a window; one over the most that a step allows for has a window alone
     room = budget - F.coalesce("system.cost", F.lit(0))
-    t = t.withColumn("half", F.when(room >= 2, F.least(F.lit(budget // 4), F.floor(room / 2))).otherwise(F.lit(budget // 4)).cast("long"))
-    t = t.withColumn("span", F.floor(F.col("before") / F.col("half")))
+    fresh = F.when(room >= 4, F.greatest(room - history, F.floor(room / 2))).otherwise(F.lit(max(budget // 2, 2)))
+    t = t.withColumn("fresh", fresh.cast("long")).withColumn("most", F.greatest(F.lit(1), F.least("most", F.floor(F.col("fresh") / 2))).cast("long"))
+    t = t.withColumn("step", F.col("fresh") - F.col("most")).withColumn("span", F.floor(F.col("before") / F.col("step")))
     # the system turn's text goes once to each span
     first = F.coalesce(F.lag("span").over(W.partitionBy(*slice_).orderBy("k")) != F.col("span"), F.lit(True))
     t = t.withColumn("system", F.when(first, F.col("system")))
     reach = F.greatest(F.lit(0), F.least(F.lit(history), room))
-    last = F.least(F.floor((F.col("before") + reach) / F.col("half")), F.floor((F.col("total") - 1) / F.col("half")))
-    t = t.select("c", "cn", "half", "span", "at", "role", "text", "cost", "before", "system", F.explode(F.sequence("span", F.greatest("span", last))).alias("to"))
+    last = F.least(F.floor((F.col("before") + reach) / F.col("step")), F.floor((F.col("total") - 1) / F.col("step")))
+    t = t.select("c", "cn", "most", "span", "at", "role", "text", "cost", "before", "system", F.explode(F.sequence("span", F.greatest("span", last))).alias("to"))
     own = F.col("span") == F.col("to")
-    w = t.groupBy("c", "cn", "to", "half").agg(
+    w = t.groupBy("c", "cn", "to", "most").agg(
         F.array_sort(F.collect_list(F.struct("at", "role", "text", "cost", "before", own.alias("own")))).alias("near"), F.max(F.when(own, F.col("system"))).alias("system")
     )
-    kind = lambda small: F.filter("near", lambda x: x["own"] & ((x["cost"] <= F.col("half")) == F.lit(small)))
+    kind = lambda small: F.filter("near", lambda x: x["own"] & ((x["cost"] <= F.col("most")) == F.lit(small)))
     w = w.withColumn("new", F.explode(F.filter(F.array(kind(True), kind(False)), lambda x: F.size(x) > 0)))
     start = F.col("new")[0]
     has_system = F.coalesce(F.col("system.at") < start["at"], F.lit(False))

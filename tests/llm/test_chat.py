@@ -48,6 +48,16 @@ def test_windows_keep_the_budget_repeat_history_and_target_once(spark):
     assert [w.first_turn for w in windows[1:]] == [w.last_turn + 1 for w in windows[:-1]]
 
 
+def test_windows_are_filled(spark):
+    """On a long chat of ordinary turns the budget is used, and never passed; beside a large system turn what it leaves is."""
+    turns = lambda c, n: [(c, i, "user" if i % 2 else "assistant", f"turn {i} " + "some more words here " * (i % 17)) for i in range(1, n)]
+    rows = [(1, 0, "system", "be brief"), *turns(1, 1500), *turns(2, 1500), (3, 0, "system", "rules " * 600), *turns(3, 400)]
+    windows = check(spark, rows).collect()
+    for c, least in ((1, 1700), (2, 1700), (3, 1700)):
+        sizes = [w.tokens for w in sorted((w for w in windows if w.conv_id == c), key=lambda w: w.first_turn)[:-1]]
+        assert max(sizes) <= 2048 and sum(sizes[1:]) / len(sizes[1:]) > least, (c, sizes)
+
+
 def test_very_long_turn_and_empty_table(spark):
     check(spark, [(1, 0, "user", "x " * 200_000), (1, 1, "assistant", "y" * 300_000)])
     assert chat.chat_digests(chat.chat_windows(spark.createDataFrame([], SCHEMA))).count() == 0
