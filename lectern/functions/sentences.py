@@ -10,6 +10,7 @@ sentence iterator; a test holds both together and lists the heaps of signs where
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -63,26 +64,36 @@ def kind(c: str) -> str:
     return "o"
 
 
+#: in the midst of a sentence only these change the state
+_ENDS = re.compile(f"[{re.escape(TERMINATORS + FULL_STOPS)}\u2029]")
+
+
 def breaks(text: str) -> list[int]:
     """The places after which sentences end, the text's end among them."""
-    out, state, mark = [], ".", 0
-    for at, c in enumerate(text):
-        k = kind(c)
+    out, state, mark, at, n = [], ".", 0, 0, len(text)
+    while at < n:
+        if state == ".":
+            m = _ENDS.search(text, at)
+            if not m:
+                break
+            at = m.start()
+        k = kind(text[at])
         if k == "m" and state != "P":
+            at += 1
             continue
         move = MOVES[state, k if k != "m" else "o"]
         if move == "#":  # the sentence ended where the other signs began
             out.append(mark)
-            state = "."
-            continue
-        if move == "!":
+            move = "."
+        elif move == "!":
             out.append(at)
             move = MOVES[".", k if k != "m" else "o"]
         if move in "XY" and state not in "XY":
             mark = at
         state = move
-    if text and (not out or out[-1] < len(text)):
-        out.append(len(text))
+        at += 1
+    if text and (not out or out[-1] < n):
+        out.append(n)
     return out
 
 

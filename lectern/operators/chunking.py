@@ -1,7 +1,7 @@
 """Structure-aware chunking of cleaned pages.
 
 A document is a bounded group (one of more than ``MAX_CHUNKS`` chunks is refused), and each chunk depends on
-the one before it, so documents are folded one by one in Arrow groups; everything that can be said
+the one before it, so documents are folded one by one as they stream past; everything that can be said
 of one chunk, or of neighbours, is worked out afterwards in expressions and windows.
 """
 
@@ -348,37 +348,53 @@ def refused_documents(cleaned: DataFrame, estimate: Estimate = default_estimate,
 
 def drafts(cleaned: DataFrame, estimate: Estimate = default_estimate, max_chunks: int = P.MAX_CHUNKS) -> DataFrame:
     """The rows of ``DRAFT_SCHEMA``: chunks, or one row that tells the problem of a refused document."""
-    pages = cleaned.select(
-        F.col("document_key").cast("string").alias("document_key"),
+    # dealt by document before the window, which needs no exchange of its own then; documents are told apart in the stream
+    dealt = cleaned.withColumn("document_key", F.col("document_key").cast("string")).repartition("document_key")
+    pages = dealt.select(
+        "document_key",
         F.coalesce(T.lenient_int(F.col("page_number")), F.row_number().over(W.partitionBy("document_key").orderBy("page_number", "page_id"))).alias("page_number"),
         F.col("page_id").cast("string").alias("page_id"),
         F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce("source_original_character_count", F.lit(0)).alias("original"),
         F.coalesce("source_cleaned_character_count", F.lit(0)).alias("cleaned"),
     )
+    columns = [c.strip().split(" ")[0] for c in DRAFT_SCHEMA.split(", ")]
+    additive = getattr(estimate, "additive", False)
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["page_number", "page_id"], kind="stable")
-        source = [(Page(i, int(n), int(o), int(c)), t) for i, n, o, c, t in zip(rows.page_id, rows.page_number, rows.original, rows.cleaned, rows.text, strict=True)]
-        columns = [c.strip().split(" ")[0] for c in DRAFT_SCHEMA.split(", ")]
+    def fold(key: str | None, source: list[tuple[Page, str]]) -> Iterator[tuple]:
         try:
             drafts = Chunker(estimate, max_chunks=max_chunks).chunks(source)
         except ValueError as e:
-            return pd.DataFrame([(rows.document_key.iloc[0], *[None] * (len(columns) - 2), str(e))], columns=columns)
+            yield (key, *[None] * (len(columns) - 2), str(e))
+            return
         # as identity.ingestion_fingerprints has it, while the document's chunks are together
-        whole = hashlib.sha256(rows.document_key.iloc[0].encode() + b"".join(b"\x1f" + d.text.encode("utf-8", "replace") for d in drafts)).hexdigest()
-        return pd.DataFrame(
-            [
-                (
-                    rows.document_key.iloc[0], k, d.text, "CODE" in d.kinds, "LIST" in d.kinds, d.heading, d.section or "", list(d.subsections), d.level, d.boundary,
-                    [p.id for p in d.pages], list(dict.fromkeys(p.number for p in d.pages)), d.tokens, d.overlap, d.tokens + d.overlap if getattr(estimate, "additive", False) else estimate(d.text), sum(p.original for p in d.pages), sum(p.cleaned for p in d.pages), whole, None,
-                )
-                for k, d in enumerate(drafts)
-            ],
-            columns=columns,
-        )
-
-    return pages.groupBy("document_key").applyInPandas(fold, DRAFT_SCHEMA)
+        whole = hashlib.sha256((key or "").encode() + b"".join(b"\x1f" + d.text.encode("utf-8", "replace") for d in drafts)).hexdigest()
+        for k, d in enumerate(drafts):
+            yield (
+                key, k, d.text, "CODE" in d.kinds, "LIST" in d.kinds, d.heading, d.section or "", list(d.subsections), d.level, d.boundary,
+                [p.id for p in d.pages], list(dict.fromkeys(p.number for p in d.pages)), d.tokens, d.overlap, d.tokens + d.overlap if additive else estimate(d.text), sum(p.original for p in d.pages), sum(p.cleaned for p in d.pages), whole, None,
+            )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at: tuple = ()
+        source: list[tuple[Page, str]] = []
+        made: list[tuple] = []
+        # a refused document has no numbers: the columns take them as they are
+        frame = lambda rows: pd.DataFrame(rows, columns=columns, dtype=object)
+        for rows in batches:
+            for key, number, page, text, original, kept in zip(*(rows[c] for c in ("document_key", "page_number", "page_id", "text", "original", "cleaned")), strict=True):
+                if (key,) != at:
+                    if source:
+                        made += fold(at[0], source)
+                    at, source = (key,), []
+                source.append((Page(page, int(number), int(original), int(kept)), text))
+            if made:
+                yield frame(made)
+                made = []
+        if source:
+            yield frame(list(fold(at[0], source)))
+
+    return pages.sortWithinPartitions("document_key", "page_number", "page_id").mapInPandas(run, DRAFT_SCHEMA)
 
 
 def with_chunk_metadata(drafts: DataFrame) -> DataFrame:

@@ -136,7 +136,7 @@ def statements(x: str) -> str:
     """Runs of lines that end with a whole declaration or body at the outer two levels."""
     held = "CASE WHEN s.k = 0 THEN l ELSE s.held || chr(10) || l END"
     braces, parens = (f"s.{v} + {count_of('l', a)} - {count_of('l', b)}" for v, a, b in (("b", "{", "}"), ("p", "(", ")")))
-    step = f"""CASE WHEN {parens} <= 0 AND {braces} <= 1 AND regexp_matches(l, '[;}}]\s*$') THEN {{'units': list_append(s.units, {strip(held)}), 'held': '', 'k': 0, 'b': {braces}, 'p': {parens}}}
+    step = rf"""CASE WHEN {parens} <= 0 AND {braces} <= 1 AND regexp_matches(l, '[;}}]\s*$') THEN {{'units': list_append(s.units, {strip(held)}), 'held': '', 'k': 0, 'b': {braces}, 'p': {parens}}}
         ELSE {{'units': s.units, 'held': {held}, 'k': s.k + 1, 'b': {braces}, 'p': {parens}}} END"""
     run = f"list_reduce(string_split({x}, chr(10)), lambda s, l: {step}, {{'units': []::VARCHAR[], 'held': '', 'k': 0, 'b': CAST(0 AS BIGINT), 'p': CAST(0 AS BIGINT)}})"
     return f"list_transform([{run}], lambda r: list_filter(list_append(r.units, {strip('r.held')}), lambda y: y <> ''))[1]"

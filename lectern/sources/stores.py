@@ -31,12 +31,6 @@ def index_exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
-def ensure_index(spark: SparkSession, path: str, schema: str) -> None:
-    """An empty index where there is none; nothing otherwise."""
-    if not index_exists(spark, path):
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
-
-
 def replace_document_safely(replace: Callable[[], None], enabled: bool = True) -> bool:
     """Whether the index was replaced: its failure never makes an ingestion fail."""
     if not enabled:
@@ -48,10 +42,6 @@ def replace_document_safely(replace: Callable[[], None], enabled: bool = True) -
     return True
 
 
-def chunk_counts(chunks: DataFrame) -> DataFrame:
-    return chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 def to_metadata(*columns: str) -> Column:
     """A JSON object of columns; missing values have no key."""
     return F.to_json(F.struct(*columns))
