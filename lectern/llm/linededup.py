@@ -127,8 +127,8 @@ def dedup_lines(docs: DataFrame, long_line: int = 50, cut_every: tuple[int, ...]
     first = once.filter("is_first").select("chunk", F.col("passage").alias("kept"))
     gone = once.filter("not is_first").join(first, "chunk").filter(F.col("passage") == F.col("kept"))
     runs = spool(repeated_runs(met, long_line))
-    # a run with a line whose hash stands for other bytes as well stays
-    unlike = met.join(differing(merged(runs.drop("later")), texts), "x").select(F.col("d").alias("d0"), F.col("h").alias("h0"), "i")
+    # a run with a line whose hash stands for other bytes as well stays; written out, such hashes (none, as a rule) are seen to be few
+    unlike = met.join(spool(differing(merged(runs.drop("later")), texts)), "x").select(F.col("d").alias("d0"), F.col("h").alias("h0"), "i")
     same = runs.filter("later").join(unlike, (F.col("d") == F.col("d0")) & (F.col("h") == F.col("h0")) & F.col("i").between(F.col("start"), F.col("end")), "left_anti")
     gone = gone.select("d", "h", "start", (F.col("start") + F.col("n_lines") - 1).alias("end")).unionByName(same.drop("later"))
     gone = merged(gone).groupBy("d", "h").agg(F.array_sort(F.collect_list(F.struct("start", "n_lines"))).alias("gone"))
