@@ -62,3 +62,19 @@ def test_nulls_empty_and_composition(spark):
 
 def test_empty_table(spark):
     assert cleaned(spark) == []
+
+
+def test_two_forms_of_the_pattern_of_calls_agree():
+    """The pattern without nested repeats matches what the plain form does, on made lines of its own characters."""
+    import random
+    import re
+
+    from lectern.functions import patterns as P
+
+    plain = re.compile(r"^(?:(?:[\w.$<>?\[\],]+\s+)+\w+\s*=.+;|[\w.$]+\s*\([^;]*\);)$", re.ASCII)
+    own = re.compile(P.CODE_CALL, re.ASCII)
+    rng = random.Random(3)
+    parts = ["int", "x", "List<String>", "a.b", "$v", "=", " ", "  ", ";", "(", ")", "[0]", ",", "?", "y1", "==", "-", "\t"]
+    lines = {"".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) + rng.choice(["", ";", ");"]) for _ in range(60_000)}
+    found = [bool(plain.match(x)) for x in lines]
+    assert [bool(own.match(x)) for x in lines] == found and 300 < sum(found) < len(lines) / 2
