@@ -5,8 +5,8 @@ from __future__ import annotations
 import atexit
 import math
 import uuid
-from collections.abc import Callable
-from contextlib import suppress
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +68,18 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of so many rows for the jobs that run inside; the session's own setting afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def carried(docs: DataFrame, *needed: str) -> DataFrame:
     """The needed columns, and all others in one struct, so that no name clashes with an operator's own."""
     others = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c not in needed]
