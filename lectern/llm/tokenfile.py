@@ -53,7 +53,7 @@ BLOCK_IDS = 1 << 21
 #: bytes of text per file, about
 FILE_BYTES = 64 << 20
 #: bytes of text that a worker tokenizes at a time, about, and words that it knows in a generation
-SLICE, KNOWN = 3 << 20, 100_000
+SLICE, KNOWN = 4 << 20, 100_000
 
 
 @dataclass(frozen=True)
@@ -227,7 +227,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     dealt = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(n, *order, "row").sortWithinPartitions(*order)
     blocks = dealt.select("doc_id", "text").mapInArrow(_blocks(tokenizer_path, end_id, width, block_ids), "value binary")
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, 3000):
         # the text writer puts bytes out as they are
         blocks.select(F.col("value").cast("string").alias("value")).write.text(path)
 
