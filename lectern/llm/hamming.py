@@ -8,7 +8,8 @@ better code can be missing and the query stops. A query probes only as many tabl
 k-th distance so far asks for.
 
 Rows of equal code are one index entry with its k smallest ids (all that a top-k can use), so a
-hot code is one entry; probes and entries meet in an equi-join on (segment, value).
+hot code is one entry; probes and entries meet in an equi-join on (segment, value), both sides dealt and
+sorted, so that neither is held whole by the driver or a task.
 
 Defined cases: a null embedding, or one with a null id, has no code: it is neither found nor asked for; missing
 dimensions count as zero, more than 64 are an error; ties are broken by id; with fewer than k rows all are returned; repeated rows
@@ -66,7 +67,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         active = active.withColumn("tables", tables)
         probes = active.withColumn("one", F.lit(1)).join(mask_row, "one").select("q", "dk", "tables", "masks", F.posexplode(F.array(*[_segment(F.col("q"), j) for j in range(SEGMENTS)])).alias("j", "own")).filter("j < tables")
         probes = probes.select("q", "dk", "j", F.explode(F.transform("masks", lambda m: m.bitwiseXOR(F.col("own")))).alias("value"))
-        found = probes.join(index, ["j", "value"]).select("q", "dk", "j", "code", "least", "n", _distance(F.col("q"), F.col("code")).alias("distance"))
+        # probes are many more than their plan tells (an explode is not reckoned): they are dealt, never sent to every task
+        found = probes.hint("merge").join(index.hint("merge"), ["j", "value"]).select("q", "dk", "j", "code", "least", "n", _distance(F.col("q"), F.col("code")).alias("distance"))
         # what lies beyond the k-th distance so far is of no use
         found = found.filter(F.col("dk").isNull() | (F.col("distance") <= F.col("dk"))).drop("dk")
         # a code is taken from the first table that reaches it, in the first round that does
@@ -84,7 +86,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         q = spool(q.join(kth, "q", "left").select("q", F.coalesce("new", "dk").cast("int").alias("dk"), F.col("covered").cast("int").alias("covered")))
         if q.filter(F.col("dk").isNull() | (F.col("dk") > F.col("covered"))).isEmpty():
             break
-    out = best.join(entries.select("code", "ids"), "code").select("q", "distance", F.explode("ids").alias("vec_id"))
+    out = best.hint("merge").join(entries.select("code", "ids"), "code").select("q", "distance", F.explode("ids").alias("vec_id"))
     out = out.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("distance", "vec_id"))).filter(F.col("rank") <= k)
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("code").alias("q"))
     return asked.join(out, "q").select("query_id", "rank", "vec_id", F.col("distance").cast("int").alias("distance"))

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from lectern.llm import hamming
 from lectern.llm.hamming import sign_codes, top_k
 from lectern.llm.queries import ORACLE_SQL, op8_hamming
 
@@ -48,3 +49,15 @@ def test_longer_embeddings_are_not_cut(spark):
     t = spark.createDataFrame([(0, [1.0] * 65)], "vec_id long, embedding array<float>")
     with pytest.raises(Exception, match="more than 64 dimensions"):
         sign_codes(t).collect()
+
+
+def test_probes_are_dealt_and_never_sent_whole(spark, monkeypatch):
+    """A few questions have thousands of probes each; the plan reckons them by the questions alone."""
+    r = random.Random(3)
+    df = spark.createDataFrame([(i, r.getrandbits(63)) for i in range(400)], SCHEMA)
+    plans, kept = [], hamming.spool
+    monkeypatch.setattr(hamming, "spool", lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or kept(d))
+    top_k(df, df.filter("vec_id % 100 = 0"), 5)
+    probing = [p for p in plans if "[j#" in p and "Join [j#" in p]
+    assert probing and not any("BroadcastHashJoin [j#" in p or "BroadcastHashJoin [value#" in p for p in probing)
+    assert all("SortMergeJoin [j#" in p for p in probing)
