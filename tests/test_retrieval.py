@@ -1,10 +1,11 @@
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import identity, retrieval as R
-from lectern.functions import text as T
+from lectern.functions import patterns as P, text as T
 
 HIT = "rank int, score double, text string, chunk_id string, document_id string, chunk_index int, section_title string"
 A = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
@@ -117,3 +118,31 @@ def test_stored_postings_are_read_pruned(spark, tmp_path):
 def test_words_by_unicode_boundaries(spark, text, words):
     found = spark.createDataFrame([(text,)], "t string").select(R.analyzed(F.col("t"))).first()[0]
     assert found == words and R.query_terms(text) == list(dict.fromkeys(words))
+
+
+_PLAIN_WORD = (
+    r"[\p{IsHan}\p{IsHiragana}]\p{M}*|[\p{IsKatakana}ー]+|"
+    r"(?:[_‿]|(?:[\p{L}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]]\p{M}*)(?:[:·.'’](?:[\p{L}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]]\p{M}*))*|\p{Nd}\p{M}*(?:[,;.'’]\p{Nd}\p{M}*)*)+"
+)
+
+
+def test_words_are_those_of_the_plain_pattern_and_may_be_long(spark):
+    r = random.Random(7)
+    texts = ["".join(r.choice("abzéßß漢かカーｱ_‿12٣.:,;'’·- ́̈Ωя") for _ in range(r.randrange(40))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    both = rows.select(*[F.regexp_extract_all(F.lower("text"), F.lit(p), F.lit(0)).alias(n) for n, p in (("own", P.WORD), ("plain", _PLAIN_WORD))])
+    assert both.filter("own != plain").count() == 0 and both.filter("size(own) > 3").count() > 1000
+    long = spark.createDataFrame([("ab" * 50_000 + " x" + "é1" * 50_000,)], "text string")
+    assert long.select(F.size(R.analyzed(F.col("text")))).first()[0] == 2
+
+
+def test_one_search_finds_what_its_words_are_whatever_stands_beside_them(spark):
+    rows = [("a", "re ing"), ("b", "Re. ING,漢ing"), ("c", "pre ing"), ("d", "re ingx"), ("e", "漢re漢 1 ing"), ("f", "re_ ing"), ("g", None), ("h", "reé ing"), ("i", "re:ing re"), ("j", "re1 ing")]
+    source = spark.createDataFrame([(i, "d", t) for i, t in rows], "chunk_id string, document_id string, content string")
+    index = R.postings(source, ["content"])
+    one = R.bm25_search(source, "re ing", 20, boosts={"content": 1.0}, digits=6)
+    other = R.bm25_indexed(index, R.field_statistics(index), "re ing", 20, boosts={"content": 1.0}, digits=6)
+    assert [tuple(x) for x in one.select("rank", "chunk_id", "score").collect()] == [tuple(x) for x in other.select("rank", "chunk_id", "score").collect()]
+    assert {x.chunk_id for x in one.collect()} == {"a", "b", "e"}
+    counts = {x.term: x.n for x in R.term_counts(source).collect()}
+    assert counts == {x.term: x.n for x in index.groupBy("term").agg(F.sum("tf").alias("n")).collect()}
