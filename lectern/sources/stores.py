@@ -97,6 +97,13 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written into a fresh folder and read back: what several plans read is worked out once."""
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def placed(ordered: DataFrame, name: str = "place") -> DataFrame:
     """Rows that stand in order, with their place from 1. No task sees all rows: only their number per partition meets on the driver."""
     spark = ordered.sparkSession
