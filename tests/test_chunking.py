@@ -1,5 +1,6 @@
 import pytest
 
+from lectern.operators import chunking
 from lectern.operators.chunking import Chunker, Page, chunk_pages, default_estimate, kind_of, level_of, sentences_of
 
 SENTENCE = "This sentence number {} talks about a topic with some plain words. "
@@ -104,3 +105,21 @@ def test_a_byte_pair_vocabulary_counts_tokens(tmp_path):
     estimate = bpe_estimate(str(path), r" ?\w+|[^\w\s]|\s")
     assert estimate("the the, x") == 5 and not getattr(estimate, "additive", False)
     assert all(d.tokens == estimate(d.text) for d in chunks("the the the. " * 50, estimate=estimate, target=20, limit=30, preferred=5, overlap_limit=0))
+
+
+def test_pieces_are_counted_as_the_pattern_has_them_and_latin_texts_without_it(monkeypatch):
+    import random
+
+    r, pattern = random.Random(5), chunking._TOKEN
+    plain = lambda t: len(pattern.findall(t))
+    latin = ["".join(r.choices([chr(c) for c in range(256)] + list("abcdeéß 12") * 20, k=r.randrange(80))) for _ in range(3000)]
+    assert all(chunking.default_estimate(t) == plain(t) for t in [*map(chr, range(256)), *latin])
+    other = [t + r.choice("’漢Ж٣ ") + t[::-1] for t in latin[:500]]
+    assert all(chunking.default_estimate(t) == plain(t) for t in other)
+
+    class Never:
+        def findall(self, text):
+            raise AssertionError("taken apart")
+
+    monkeypatch.setattr(chunking, "_TOKEN", Never())
+    assert chunking.default_estimate("Grüße an 12345 words.") == 8
