@@ -78,3 +78,28 @@ def test_two_forms_of_the_pattern_of_calls_agree():
     lines = {"".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) + rng.choice(["", ";", ");"]) for _ in range(60_000)}
     found = [bool(plain.match(x)) for x in lines]
     assert [bool(own.match(x)) for x in lines] == found and 300 < sum(found) < len(lines) / 2
+
+
+def test_plain_lines_stay_and_others_are_normalized_as_before(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lectern.functions import patterns as P, text as T
+
+    r = random.Random(9)
+    lines = ["".join(r.choices("ab,é \t\x0b　\x85  \xa0", (9, 9, 3, 3, 6, 1, 1, 1, 1, 1, 1, 1), k=r.randrange(14))) for _ in range(4000)] + ["", " ", "a b", "a  b", " a", "a ", "\ta"]
+    bare = F.regexp_replace("l", r"\s+$", "")
+    lead = F.regexp_extract(bare, r"^(\s*)", 1)
+    content = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"^\s+", ""), P.HORIZONTAL_SPACE, " "), r"\s+$", "")
+    every = F.when(content == "", "").otherwise(F.concat(F.repeat(F.lit(" "), F.least(F.length(lead) + T.count_of(lead, "\t") * 3, F.lit(P.MAX_INDENT))), content))
+    rows = spark.createDataFrame([(x,) for x in lines], "l string").select("l", T.normalize_line(F.col("l")).alias("own"), every.alias("every"))
+    assert rows.filter("own != every").count() == 0 and rows.filter(F.col("l").rlike(P.NORMAL_LINE)).count() > 500
+
+
+def test_queries_bound_what_a_python_worker_is_given(spark, sf):
+    from lectern.plans import registry
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    registry.QUERIES["clean_pages"](spark, sf)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
