@@ -88,7 +88,7 @@ def test_plain_lines_stay_and_others_are_normalized_as_before(spark):
     from lectern.functions import patterns as P, text as T
 
     r = random.Random(9)
-    lines = ["".join(r.choices("ab,é \t\x0b　\x85  \xa0", (9, 9, 3, 3, 6, 1, 1, 1, 1, 1, 1, 1), k=r.randrange(14))) for _ in range(4000)] + ["", " ", "a b", "a  b", " a", "a ", "\ta"]
+    lines = ["".join(r.choices("ab,é \t\x0b\u3000\x85\u2028\u2029\xa0", (9, 9, 3, 3, 6, 1, 1, 1, 1, 1, 1, 1), k=r.randrange(14))) for _ in range(4000)] + ["", " ", "a b", "a  b", " a", "a ", "\ta"]
     bare = F.regexp_replace("l", r"\s+$", "")
     lead = F.regexp_extract(bare, r"^(\s*)", 1)
     content = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"^\s+", ""), P.HORIZONTAL_SPACE, " "), r"\s+$", "")
