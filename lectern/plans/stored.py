@@ -13,6 +13,7 @@ from lectern.sources.pages import paged, table
 from lectern.streaming import progress
 
 _LATER = datetime(2024, 2, 2)
+_FILE_DOCUMENTS = 512
 
 
 def _ledger(spark, d, *tables: str) -> ledger.Ledger:
@@ -95,10 +96,13 @@ def stored_library(spark, d):
 def stream_progress(spark, d):
     """All documents through a file stream of three batches: what its progress events tell, and that they rise."""
     inbox, store, checkpoint = (stores.scratch_path(spark, n) for n in ("inbox", "store", "checkpoint"))
-    pages = paged(table(spark, d, "documents"))
+    documents = table(spark, d, "documents")
+    # so many files a batch, with hundreds of documents in each: none is empty, so there are three batches
+    files = max(1, documents.agg(F.approx_count_distinct("doc_id")).first()[0] // (3 * _FILE_DOCUMENTS))
+    pages = paged(documents)
     for i in range(3):  # a document's pages lie in one file
-        pages.filter(F.pmod(F.xxhash64("document_key"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(inbox)
-    events = list(progress.stream_events(spark, inbox, store, checkpoint, 1))
+        pages.filter(F.pmod(F.xxhash64("document_key"), F.lit(3)) == i).repartition(files, "document_key").write.mode("append").parquet(inbox)
+    events = list(progress.stream_events(spark, inbox, store, checkpoint, files))
     told = [e["data"] for e in events if e["event"] == "progress"]
     rising = all(a["completed"] < b["completed"] and a["tokens"] < b["tokens"] for a, b in zip(told, told[1:], strict=False)) and events[-1]["event"] == "result"
     last = told[-1]

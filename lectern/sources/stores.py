@@ -13,14 +13,44 @@ from pyspark.sql import functions as F
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Store chunks by document; the partitions of the documents at hand are replaced, others stay."""
+    """Store chunks in a folder per document, for few documents; the folders of the documents at hand are replaced, others stay."""
     if chunks.isEmpty():
         return
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(path)
 
 
+def replace_documents(chunks: DataFrame, path: str) -> None:
+    """Store chunks of any number of documents in one folder a call; what is stored of these documents already goes.
+
+    For many documents, as a folder for each takes longer to make than its rows to write. Only folders that hold a document at
+    hand are written again, without it; to find them, the stored ``document_id`` alone is read. The new folder is published by one rename
+    before old ones go, so a call that failed at any point and is made again leaves each row once. One writer at a time.
+    """
+    spark, name = chunks.sparkSession, f"p{uuid.uuid4().hex}"
+    at = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{p}".rstrip("/"))
+    fs = at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    draft, part = f"_{name}", f"part={name}"  # readers pass over the first, as long as it has no "=" in it
+    chunks.write.parquet(f"{path}/{draft}")
+    new = spark.read.schema(chunks.schema).parquet(f"{path}/{draft}")
+    touched: list[str] = []
+    if new.isEmpty():  # nothing replaces nothing
+        fs.delete(at(draft), True)
+        return
+    if fs.globStatus(at("part=*")):
+        stored = spark.read.schema(f"{chunks.schema.toDDL()}, part string").parquet(path)
+        ids = new.select(F.col("document_id").alias("_id")).distinct()
+        same = F.col("document_id").eqNullSafe(F.col("_id"))
+        touched = [r["part"] for r in stored.join(ids, same, "left_semi").select("part").distinct().collect()]
+        if touched:  # rows are there twice where an earlier call ended between its rename and its deletions
+            stored.filter(F.col("part").isin(touched)).join(ids, same, "left_anti").drop("part").dropDuplicates().write.mode("append").parquet(f"{path}/{draft}")
+    if not fs.rename(at(draft), at(part)):
+        raise OSError(f"{path}/{part} could not be published")
+    for old in touched:
+        fs.delete(at(f"part={old}"), True)
+
+
 def read_chunks(spark: SparkSession, path: str, document_ids: list[str] | None = None) -> DataFrame:
-    """Stored chunks; only the partitions of the documents asked for are read."""
+    """Stored chunks; only the folders (or row groups) of the documents asked for are read."""
     found = spark.read.parquet(path)
     return found.filter(F.col("document_id").isin(document_ids)) if document_ids else found
 

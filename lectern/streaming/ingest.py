@@ -27,12 +27,12 @@ def ingest(pages: DataFrame, estimate=chunking.default_estimate) -> DataFrame:
 def stream_ingest(spark: SparkSession, inbox: str, store: str, checkpoint: str, max_files: int = 100):
     """A query that ingests page files as they come. A document is the unit of writing: a file holds whole documents.
 
-    Each micro-batch replaces its documents' partitions, so a batch run twice after a failure changes nothing.
+    Each micro-batch replaces its documents, so a batch run twice after a failure changes nothing.
     """
     pages = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", max_files).parquet(inbox)
 
     def write(batch: DataFrame, _: int) -> None:
-        stores.write_chunks(ingest(batch), store)
+        stores.replace_documents(ingest(batch), store)
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from lectern.operators import chunking
+from lectern.sources import stores
 from lectern.streaming import ingest as I
 
 
@@ -57,8 +58,8 @@ def observed_ingest(spark: SparkSession, inbox: str, store: str, checkpoint: str
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)  # as large as its files; read once, so that its metrics count once
         tokens = F.coalesce(F.sum("estimated_token_count"), F.lit(0)).cast("long")
         chunks = I.ingest(batch, estimate).observe(seen, F.count(F.lit(1)).alias("chunks"), tokens.alias("tokens"))
-        try:  # no look whether the batch is empty: nothing replaces nothing
-            chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(store)
+        try:
+            stores.replace_documents(chunks, store)
         finally:
             batch.unpersist()
         stored[number] = (seen.get["chunks"], seen.get["tokens"])
