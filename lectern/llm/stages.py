@@ -17,6 +17,9 @@ from lectern.llm.packing import pack
 from lectern.llm.quality import fit_quality, score_quality
 from lectern.llm.queries import tokenizer_path
 
+#: words that a worker knows in a generation while it packs: the executor's heap has grown in the stages before and stays so
+PACK_KNOWN = 50_000
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject, as they are: a null or empty text is judged as an empty one."""
@@ -79,4 +82,4 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 4096 tokens; null and empty texts give their end id, repeated rows go in each."""
     bounded_batches(spark)
-    return pack(docs, tokenizer_path())
+    return pack(docs, tokenizer_path(), known=PACK_KNOWN)

@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
+from lectern.llm import stages
 from lectern.llm.packing import Limits, WordCache, halve_open, pack, place
 from lectern.llm.queries import tokenizer_path
 
@@ -146,3 +147,16 @@ def test_a_very_long_text_in_pieces(monkeypatch):
     text = "Some words, and É漢字 more\n" * 100
     t = Tokenizer.from_file(tokenizer_path())
     assert np.frombuffer(WordCache(tokenizer_path()).encode([text, "x"])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_the_stage_knows_fewer_words_and_packs_the_same_rows(spark, make_docs, sf, monkeypatch):
+    docs = make_docs(*[" ".join(f"{chr(97 + i)}{chr(97 + k % 26)}{chr(97 + k // 26)}, word" for k in range(i, i + 300)) for i in range(20)])
+    rows = lambda df: sorted(df.collect())
+    asked = []
+    monkeypatch.setattr(stages, "pack", lambda *a, **k: asked.append(k["known"]) or pack(*a, **k))
+    assert rows(stages.pack_tokens(spark, docs, sf)) == rows(pack(docs, tokenizer_path())) == rows(pack(docs, tokenizer_path(), known=50))
+    assert asked == [stages.PACK_KNOWN] and stages.PACK_KNOWN <= 50_000
+    cache = WordCache(tokenizer_path(), 100)
+    for i in range(0, 20_000, 50):
+        cache.encode([" ".join("w" + "".join(chr(97 + int(c)) for c in str(k)) for k in range(i, i + 50))])
+    assert max(len(cache.new), len(cache.old)) <= 150 and max(len(cache.cores), len(cache.past)) <= 300 + 50
