@@ -1,7 +1,8 @@
 """Progress of an ingestion out of the running stream.
 
-What a micro-batch read is observed in its plan and told by Spark's own progress event; what it stored is observed while it is
-written. Both meet in one event per batch, in order. Events end with a result, a failure of the stream, or the deadline, at
+What a micro-batch read is counted from its rows by a query of its own: metrics observed in the stream's plan count a partition again
+wherever it is worked out again, as by two executors at once. What it stored is observed while it is written, by the last stage, which
+counts each partition once. Spark's own progress event tells that the batch is done. Events end with a result, a failure of the stream, or the deadline, at
 which the stream is stopped: what is stored stays, and the checkpoint lets the next start go on from there.
 """
 
@@ -35,8 +36,7 @@ class _Listener(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:
         if event.progress.name == self.name:
-            seen = event.progress.observedMetrics.get("pages")
-            self.tell(("batch", event.progress.batchId, (seen["pages"] or 0, seen["documents"] or 0) if seen else (0, 0)))
+            self.tell(("batch", event.progress.batchId, None))
 
     def onQueryIdle(self, event) -> None:
         pass
@@ -46,23 +46,23 @@ class _Listener(StreamingQueryListener):
             self.tell(("end", -1, event.exception))
 
 
-def observed_ingest(spark: SparkSession, inbox: str, store: str, checkpoint: str, name: str, stored: dict[int, tuple[int, int]], max_files: int = 100, estimate=chunking.default_estimate) -> StreamingQuery:
-    """As ``ingest.stream_ingest``, with its metrics: ``stored`` gets (chunks, tokens) of each batch before its progress is told."""
+def observed_ingest(spark: SparkSession, inbox: str, store: str, checkpoint: str, name: str, stored: dict[int, tuple[int, int, int, int]], max_files: int = 100, estimate=chunking.default_estimate) -> StreamingQuery:
+    """As ``ingest.stream_ingest``, with its metrics: ``stored`` gets (pages, documents, chunks, tokens) of each batch before its progress is told."""
     pages = spark.readStream.schema(I.PAGES).option("maxFilesPerTrigger", max_files).parquet(inbox)
     # the files of a batch hold whole documents, so a document is counted in one batch
     first = F.when(F.col("page_number") == 1, F.col("document_key"))
-    pages = pages.observe("pages", F.count(F.lit(1)).alias("pages"), F.count(first).alias("documents"))
 
     def write(batch: DataFrame, number: int) -> None:
         seen = Observation()
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)  # as large as its files; read once, so that its metrics count once
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)  # as large as its files
         tokens = F.coalesce(F.sum("estimated_token_count"), F.lit(0)).cast("long")
         chunks = I.ingest(batch, estimate).observe(seen, F.count(F.lit(1)).alias("chunks"), tokens.alias("tokens"))
         try:
+            read = batch.agg(F.count(F.lit(1)), F.count(first)).first()
             stores.replace_documents(chunks, store)
         finally:
             batch.unpersist()
-        stored[number] = (seen.get["chunks"], seen.get["tokens"])
+        stored[number] = (*read, seen.get["chunks"], seen.get["tokens"])
 
     return pages.writeStream.queryName(name).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -90,8 +90,8 @@ def stream_events(
             if clock() > end:
                 raise TimeoutError
             if kind == "batch" and batch in stored:
-                chunks, tokens = stored.pop(batch)
-                totals = {"pages": totals["pages"] + what[0], "documents": totals["documents"] + what[1], "completed": totals["completed"] + chunks, "tokens": totals["tokens"] + tokens}
+                pages, documents, chunks, tokens = stored.pop(batch)
+                totals = {"pages": totals["pages"] + pages, "documents": totals["documents"] + documents, "completed": totals["completed"] + chunks, "tokens": totals["tokens"] + tokens}
                 yield {"event": "progress", "data": {"batch": batch, **totals}}
             if kind == "end":
                 if what:

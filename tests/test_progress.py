@@ -93,3 +93,15 @@ def test_batches_of_several_files_are_three_all_the_same(spark, sf, monkeypatch)
     events = progress.stream_events
     monkeypatch.setattr(progress, "stream_events", lambda *a: asked.append(a[4]) or events(*a))
     assert queries.stream_progress(spark, sf).first() == one and one["batches"] == 3 and asked[0] > 1
+
+
+def test_pages_count_once_however_often_a_batch_is_worked_out(spark, inbox, tmp_path, monkeypatch):
+    frame = type(spark.range(1))  # nothing is kept, as where another executor has what was kept
+    monkeypatch.setattr(frame, "persist", lambda self, *a: self)
+    monkeypatch.setattr(frame, "unpersist", lambda self, *a: self)
+    write = stores.replace_documents
+    monkeypatch.setattr(stores, "replace_documents", lambda chunks, store: (chunks.count(), write(chunks, store)))
+    last = list(progress.stream_events(spark, inbox, str(tmp_path / "store"), str(tmp_path / "cp"), 1))[-1]
+    stored = spark.read.parquet(str(tmp_path / "store"))
+    assert last["event"] == "result" and (last["data"]["pages"], last["data"]["documents"]) == (12, 6)
+    assert stored.agg(F.count(F.lit(1)), F.sum("estimated_token_count")).first()[:] == (last["data"]["completed"], last["data"]["tokens"])
