@@ -1,14 +1,14 @@
 """Retrieval for a table of questions at once: each question gets what the search for one question gives it.
 
 Questions are rows (question_id, question, embedding, and document_ids where each has its own scope). Their terms are joined to
-the postings; their vectors meet all stored ones in blocks, as matrix products. Every top-k is taken in part by each
+the postings, or looked up in the texts, where there is no index; their vectors meet all stored ones in blocks, as matrix products. Every top-k is taken in part by each
 task before rows travel (a window limited to k ranks), so no task holds all hits of a question. Fusion and the choice
 without redundant chunks work per question on forty candidates at most.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -127,6 +127,42 @@ def keyword_hits(index: DataFrame, statistics: DataFrame, questions: DataFrame,
     return ranked(best.withColumn("score", F.round("score", digits)) if digits is not None else best, top_k)
 
 
+def text_hits(source: DataFrame, questions: DataFrame, top_k: int = P.CANDIDATES, boosts: dict[str, float] | None = None, digits: int | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """As :func:`keyword_hits`, from the texts of ``source`` (as ``retrieval.index_source``), without postings.
+
+    The texts are read for the counts of the terms asked for, again for the chunks that have a question's rarest term in
+    a field, and once more for these chunks' own words. Postings and texts stay in their tasks as long as the questions'
+    side is small enough to be broadcast; counts and candidates travel. ``keep`` may write a table and read it back, so
+    that its size is known: of terms, of counts, of the rarest terms, and of candidates.
+    """
+    boosts = boosts or P.FIELD_BOOSTS
+    boost = F.coalesce(*[F.when(F.col("field") == f, float(b)) for f, b in boosts.items()])
+    fields = lambda of: source.select("chunk_id", "document_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), of(F.col(f)).alias("x")) for f in boosts])).alias("f")).select("chunk_id", "document_id", "f.field", "f.x")
+    words = fields(retrieval.analyzed).filter(F.size("x") > 0)
+    terms = keep(question_terms(questions))
+    # the empty term, which no text has, stands for the field itself
+    asked = terms.select("term").union(questions.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    every = words.select("field", F.size("x").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("x"))).alias("term"))
+    counted = keep(every.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.avg("dl").alias("avgdl")).join(asked, "term", "left_semi"))
+    statistics = counted.filter("term = ''").select("field", F.col("df").alias("n"), "avgdl")
+    known = terms.join(counted.select("field", "term", "df"), "term").groupBy("question_id", "field", "n_terms").agg(F.min(F.struct("df", "term")).alias("least"), F.array_sort(F.collect_list(F.struct("term", "df"))).alias("asked"))
+    known = keep(known.filter(F.size("asked") == F.col("n_terms")).select("question_id", "field", F.col("least.term").alias("term"), "asked"))
+    found = words.select("chunk_id", "document_id", "field", F.explode(F.array_distinct("x")).alias("term")).join(known.select("question_id", "field", "term"), ["field", "term"])
+    if "document_ids" in questions.columns:
+        found = found.join(questions.select("question_id", "document_ids"), "question_id").filter(F.col("document_ids").isNull() | F.array_contains("document_ids", F.col("document_id")))
+    found = keep(found.select("question_id", "field", "chunk_id").distinct())
+    texts = fields(lambda c: c).join(found, ["field", "chunk_id"]).join(known.drop("term"), ["question_id", "field"])
+    # where a text has all terms: its length, and how often it has each
+    met = lambda w: F.when(F.size(F.array_except(F.transform("asked", lambda t: t["term"]), w)) == 0, F.struct(F.size(w).alias("dl"), F.transform("asked", lambda t: F.struct(t["df"].alias("df"), F.size(F.filter(w, lambda x: x == t["term"])).alias("tf"))).alias("ts")))
+    hits = texts.select("question_id", "field", "chunk_id", "document_id", T.let(retrieval.analyzed(F.col("x")), met).alias("c")).filter("c IS NOT NULL").join(statistics, "field")
+    k1, b = P.BM25_K1, P.BM25_B
+    norm = k1 * (1 - b + b * F.col("c.dl") / F.col("avgdl"))
+    one = lambda t: F.log1p((F.col("n") - t["df"] + 0.5) / (t["df"] + 0.5)) * t["tf"] / (t["tf"] + norm)
+    scored = hits.withColumn("score", boost * F.aggregate("c.ts", F.lit(0.0), lambda s, t: s + one(t)))
+    best = scored.groupBy("question_id", "chunk_id", "document_id").agg(F.max("score").alias("score"))
+    return ranked(best.withColumn("score", F.round("score", digits)) if digits is not None else best, top_k)
+
+
 def fused(vector: DataFrame, keyword: DataFrame, rrf_k: int = P.RRF_K, digits: int | None = None) -> DataFrame:
     """Both rankings on one row per question and chunk, with the fused score; ``alone``: the question has no keyword hit."""
     side = lambda df, name: df.select("question_id", "chunk_id", *[(F.col(c) if name == own else F.lit(None).cast(t)).alias(f"{own}_{c}") for own in ("vector", "keyword") for c, t in (("rank", "int"), ("score", "double"))])

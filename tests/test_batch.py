@@ -45,6 +45,32 @@ def test_keywords_as_one_by_one(spark, sf, asked):
         assert found.get(q["question_id"], []) == [(r["rank"], r["chunk_id"], round(r["score"], 6)) for r in alone], q
 
 
+def test_keywords_from_texts_as_from_postings(spark, sf, asked):
+    source = R.index_source(_chunks(spark, sf))
+    index = R.postings(source, list(FIELDS))
+    want = by_question(B.keyword_hits(index, R.field_statistics(index), asked, 20, FIELDS, digits=6))
+    assert want and by_question(B.text_hits(source, asked, 20, FIELDS, digits=6)) == want
+    free = asked.drop("document_ids")
+    assert by_question(B.text_hits(source, free, 5, FIELDS, digits=6)) == by_question(B.keyword_hits(index, R.field_statistics(index), free, 5, FIELDS, digits=6))
+    assert B.text_hits(source, asked.limit(0), 5, FIELDS).count() == 0
+
+
+@pytest.mark.parametrize("name", ["bm25_batch"])
+def test_batches_store_and_shuffle_no_postings_and_no_texts(spark, sf, monkeypatch, name):
+    kept, made = indexes.stores.kept, []
+
+    def watched(rows, name):
+        made.append(rows)
+        return kept(rows, name)
+
+    monkeypatch.setattr(indexes.stores, "kept", watched)
+    made.append(getattr(indexes, name)(spark, sf))
+    for rows in made:
+        assert not {"text", "words", "tf", "dl"} & set(rows.columns)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan
+
+
 def test_fusion_as_one_by_one(spark, sf, asked):
     chunks = _chunks(spark, sf)
     v = B.vector_hits(_vectors(spark, sf).drop("document_id").join(chunks.select("chunk_id", "document_id"), "chunk_id"), asked.drop("document_ids"), 20, digits=6)
