@@ -59,7 +59,7 @@ def ingest_document(library: Library, pages: DataFrame, file_name: str, embed: E
     library.documents = keep(catalog.register(library.documents, new, at))
     document_id = library.documents.filter(F.col("content_fingerprint") == key).first().document_id
     try:
-        chunks = keep(ingest.ingest(pages).withColumn("document_id", F.lit(document_id)).withColumn("source_file_name", F.lit(file_name)))
+        chunks = keep(ingest.ingest(pages, max_chunks=P.MAX_CHUNKS).withColumn("document_id", F.lit(document_id)).withColumn("source_file_name", F.lit(file_name)))
         count = chunks.count()
         if not count:
             refused = chunking.refused_documents(cleaning.clean_pages(pages)).first()

@@ -17,9 +17,9 @@ from lectern.sources import stores
 PAGES = "document_key string, page_number int, page_id string, text string, file_name string"
 
 
-def ingest(pages: DataFrame, estimate=chunking.default_estimate) -> DataFrame:
-    """Pages to identified chunks, as a batch."""
-    chunks = chunking.chunk_pages(cleaning.clean_pages(pages), estimate)
+def ingest(pages: DataFrame, estimate=chunking.default_estimate, max_chunks: int | None = None) -> DataFrame:
+    """Pages to identified chunks, as a batch; all chunks of all documents, but for a limit that a request sets."""
+    chunks = chunking.chunk_pages(cleaning.clean_pages(pages), estimate, max_chunks)
     chunks = chunks.withColumns({"document_id": F.col("document_key"), "document_fingerprint": F.col("document_key")})
     return identity.with_chunk_identity(chunks)
 

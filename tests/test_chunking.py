@@ -89,6 +89,18 @@ def test_a_refused_document_keeps_no_other_back(spark):
     assert [r.text for r in drafts(df, max_chunks=5).filter("problem IS NULL").collect()] == ["Plain words."]
 
 
+def test_a_table_keeps_all_chunks_of_a_long_document(spark):
+    from lectern.functions.patterns import MAX_CHUNKS
+    from lectern.streaming.ingest import PAGES, ingest
+
+    n = MAX_CHUNKS + 5
+    rows = [("long", 1, "l:1", "\n".join(f"# Title {i}\nwords" for i in range(n)), "f"), ("short", 1, "s:1", "Plain words.", "f")]
+    chunks = ingest(spark.createDataFrame(rows, PAGES))
+    found = sorted((r.document_id, r.chunk_index, r.text) for r in chunks.collect())
+    assert found == [*(("long", i, f"# Title {i}\n\nwords") for i in range(n)), ("short", 0, "Plain words.")]
+    assert [r.document_id for r in ingest(spark.createDataFrame(rows, PAGES), max_chunks=MAX_CHUNKS).collect()] == ["short"]
+
+
 def test_counts_that_add_up_and_those_that_dont_give_the_same_chunks():
     text = "1. Topic\n\n" + "".join(SENTENCE.format(i) for i in range(40)) + "\n\n- a\n- b c\n\n" + "y" * 3000 + "; " + "z" * 3000
     assert chunks(text) == chunks(text, estimate=lambda t: default_estimate(t))
